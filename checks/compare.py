@@ -22,6 +22,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def session() -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]")
              .appName("checks").config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "12g")
              .config("spark.sql.shuffle.partitions", "8")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())

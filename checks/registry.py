@@ -24,4 +24,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from checks import perturb_queries, sample_queries  # noqa: F401
+    from checks import (metric_queries, perturb_queries, reward_queries,  # noqa: F401
+                        sample_queries, score_queries)

@@ -73,7 +73,8 @@ def prob_pairs(spark, sf) -> DataFrame:
         "CASE WHEN label = 3 THEN NULL WHEN label = 4 THEN '' ELSE concat('p', vec_id) END"
         " AS pert_prompt")
     return raw.select(
-        "sample_id", "sentiment", "label", "batch_id", "step", "run_id", "pert_prompt",
+        "sample_id", "sentiment", F.col("label").alias("cluster"), "batch_id", "step", "run_id",
+        "pert_prompt",
         F.col("sentiment").alias("ground_truth"), _normal("e_clean").alias("p_student"),
         _normal("e_pert").alias("p_pert"), _normal("e_teacher").alias("p_teacher"),
         _normal("e_anchor").alias("p_anchor"))
@@ -83,9 +84,9 @@ def holed_probs(spark, sf) -> DataFrame:
     """``prob_pairs`` with non-finite entries in some rows and zeros in others."""
     nan, inf, zero = (F.lit(float(x)) for x in ("nan", "inf", "0"))
     p = F.col("p_student")
-    holed = (F.when(F.col("label") == 9, F.array(nan, p[1], p[2]))
-             .when(F.col("label") == 8, F.array(p[0], inf, p[2]))
-             .when(F.col("label") == 7, F.array(p[0], p[1], zero)).otherwise(p))
+    holed = (F.when(F.col("cluster") == 9, F.array(nan, p[1], p[2]))
+             .when(F.col("cluster") == 8, F.array(p[0], inf, p[2]))
+             .when(F.col("cluster") == 7, F.array(p[0], p[1], zero)).otherwise(p))
     return prob_pairs(spark, sf).select(
         "sample_id", "sentiment", holed.alias("p_clean"), "p_pert")
 

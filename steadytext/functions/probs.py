@@ -67,7 +67,7 @@ def all_finite(p: Column) -> Column:
 
 def margin(p: Column) -> Column:
     """Largest minus second-largest entry."""
-    return F.element_at(F.array_sort(p), -1) - F.element_at(F.array_sort(p), -2)
+    return F.element_at(F.sort_array(p), -1) - F.element_at(F.sort_array(p), -2)
 
 
 def argmax_label(p: Column, order: Sequence[str]) -> Column:

@@ -11,11 +11,14 @@ from steadytext.functions.hashing import digest, draw
 
 # All characters a whitespace split cuts on. Spelled out, because the regex
 # class "\s" covers ASCII only.
-WHITESPACE = (
-    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
-_PERCENT = rf"(?U)(\d+\.?\d*){WHITESPACE}?%"
+_SPACES = (r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+           r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+WHITESPACE = f"[{_SPACES}]"
+_OTHER_SPACES = "".join(chr(c) for c in (
+    *range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+# One percentage with the text before it, starting where the last match ended.
+_TO_PERCENT = rf"(?sU)\G(.*?)(\d+\.?\d*){WHITESPACE}?%"
 # Private-use character standing for a protected span while the rest is edited.
 _HOLE = "\ue000"
 
@@ -31,8 +34,13 @@ def _strings(values: Sequence[str]) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Whitespace tokens; empty and blank texts give an empty array."""
-    return F.filter(F.split(text, WHITESPACE + "+"), lambda t: t != "")
+    """Whitespace tokens; empty and blank texts give an empty array.
+
+    All whitespace becomes blanks first: splitting at one plain character needs
+    no regex, which a split would compile anew for every row.
+    """
+    blanks = F.translate(text, _OTHER_SPACES, " " * len(_OTHER_SPACES))
+    return F.array_remove(F.split(blanks, " "), "")
 
 
 def word_count(text: Column) -> Column:
@@ -129,11 +137,14 @@ def jitter_percents(text: Column, key: Column, seed=0) -> Column:
         return F.concat(F.coalesce(shifted.cast("decimal(38,1)").cast("string"), number),
                         F.lit("%"))
 
-    figures = F.transform(F.regexp_extract_all(text, F.lit(_PERCENT), F.lit(1)), moved)
-    gaps = F.split(text, _PERCENT, -1)
-    woven = F.zip_with(gaps, figures, lambda gap, figure: F.concat(
-        F.coalesce(gap, F.lit("")), F.coalesce(figure, F.lit(""))))
-    return F.when(F.contains(text, F.lit("%")), F.array_join(woven, "")).otherwise(text)
+    def part(group):
+        return F.regexp_extract_all(text, F.lit(_TO_PERCENT), F.lit(group))
+
+    figures = F.transform(part(2), moved)
+    changed = F.array_join(F.zip_with(part(1), figures, lambda gap, figure: F.concat(gap, figure)),
+                           "")
+    rest = F.substring(text, F.char_length(F.array_join(part(0), "")) + 1, F.char_length(text))
+    return F.when(F.contains(text, F.lit("%")), F.concat(changed, rest)).otherwise(text)
 
 
 # ------------------------------------------------------------------ peers
@@ -204,7 +215,7 @@ def replace_synonyms(text: Column, key: Column, n: Column | int,
 
     def edit(toks):
         hits = F.array_distinct(F.filter(toks, lambda t: t.isin(eligible)))
-        ranked = F.array_sort(F.transform(
+        ranked = F.sort_array(F.transform(
             hits, lambda w: F.struct(digest(seed, key, w).alias("rank"), w.alias("word"))))
         chosen = F.map_from_entries(F.transform(
             F.slice(ranked, 1, F.greatest(count, F.lit(0))),
@@ -240,7 +251,7 @@ def replace_forms(text: Column, key: Column, synonyms: Mapping[str, Sequence[str
                 digest(seed, key, i).alias("rank"), i.alias("at"), F.lower(t).alias("form"))),
             lambda s: s["form"].isin(forms))
         chosen = F.map_from_entries(F.transform(
-            F.slice(F.array_sort(spots), 1, max_repl),
+            F.slice(F.sort_array(spots), 1, max_repl),
             lambda s: F.struct(s["at"], _choose(table[s["form"]], f"{seed}:pick", key,
                                                 s["at"]))))
         return _let(chosen, lambda m: F.array_join(
@@ -252,8 +263,9 @@ def replace_forms(text: Column, key: Column, synonyms: Mapping[str, Sequence[str
 def replace_forms_guarded(text: Column, key: Column, synonyms, entity_pattern: str,
                           max_repl: int = 2, seed=0) -> Column:
     """``replace_forms`` that leaves every span matching ``entity_pattern`` alone."""
-    held = F.regexp_extract_all(text, F.lit(entity_pattern), F.lit(0))
-    masked = F.regexp_replace(text, entity_pattern, _HOLE)
+    pattern = f"{entity_pattern}|{_HOLE}"  # a hole already in the text is held as well
+    held = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    masked = F.regexp_replace(text, pattern, _HOLE)
     edited = F.split(replace_forms(masked, key, synonyms, max_repl, seed), _HOLE, -1)
     return F.array_join(F.zip_with(edited, held, lambda gap, span: F.concat(
         F.coalesce(gap, F.lit("")), F.coalesce(span, F.lit("")))), "")

@@ -17,7 +17,7 @@ def synonyms_of(lexicon: DataFrame) -> DataFrame:
     entry = F.struct(F.col("ord"), F.translate("synonym", "_", " ").alias("synonym"))
     return (lexicon.filter("sense = 0")
             .filter(F.lower("synonym") != F.lower("surface"))
-            .groupBy("surface").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+            .groupBy("surface").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
             .select("surface", F.col("entries.synonym").alias("synonyms")))
 
 
@@ -59,7 +59,7 @@ def replace_from_lexicon(rows: DataFrame, lexicon: DataFrame, quota: Column,
             F.element_at("synonyms", pick).alias("synonym")).alias("hit"))
     # bounded by the distinct words of one text
     chosen = hits.groupBy(id_col).agg(
-        F.array_sort(F.collect_list("hit")).alias("hits"), F.first("_quota").alias("_quota"))
+        F.sort_array(F.collect_list("hit")).alias("hits"), F.first("_quota").alias("_quota"))
     chosen = chosen.select(id_col, F.map_from_entries(F.transform(
         F.slice("hits", 1, F.greatest(F.col("_quota"), F.lit(0))),
         lambda h: F.struct(h["surface"], h["synonym"]))).alias("_map"))

@@ -98,6 +98,6 @@ def sorted_ids(seeds: DataFrame, vocab: DataFrame, default_id: int) -> DataFrame
     """
     last = F.try_element_at("token_ids", F.lit(-1))
     ids = tokenized(seeds, vocab).groupBy("label").agg(
-        F.array_sort(F.collect_set(last)).alias("ids"))
+        F.sort_array(F.collect_set(last)).alias("ids"))
     return ids.select("label", F.when(F.size("ids") == 0, F.array(F.lit(default_id)))
                       .otherwise(F.col("ids")).alias("ids"))
