@@ -63,8 +63,9 @@ def compare(spark, con, sf: str, name: str) -> str:
     a, b = normal(df.columns, got), normal(names, want)
     if a == b:
         return f"ok   {len(got):>7} {took:5.1f}s"
-    only_a = [r for r in a if r not in set(b)][:2]
-    only_b = [r for r in b if r not in set(a)][:2]
+    in_a, in_b = set(a), set(b)
+    only_a = [r for r in a if r not in in_b][:2]
+    only_b = [r for r in b if r not in in_a][:2]
     return f"DIFF {len(a)} / {len(b)} rows\n   spark {only_a}\n   sql   {only_b}"
 
 

@@ -162,7 +162,7 @@ def _(spark, sf):
 
 
 @query("label_index", f"""WITH {S.PREDS}, v AS (SELECT sample_id, CASE y_pred WHEN 'none' THEN ' 2 '
-WHEN 'neutral' THEN ' Neutral' ELSE y_pred END AS y FROM preds), e AS (SELECT sample_id, y_true,
+WHEN 'neutral' THEN ' Neutral' ELSE y_pred END AS y FROM preds), e AS (SELECT sample_id,
 CASE lower(trim(y)) WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2
 WHEN '2' THEN 2 END AS idx FROM v) SELECT sample_id, idx FROM e""")
 def _(spark, sf):

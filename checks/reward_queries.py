@@ -90,12 +90,14 @@ ON a.run_id = b.run_id AND a.i <= b.i GROUP BY b.run_id, b.step)"""
 
 
 @query("ema_baseline", f"""WITH {S.REWARD_LOG}, {_ema_sql('reward_log')} SELECT sample_id,
-{S.r6('baseline')} AS baseline, {S.r6('reward - baseline')} AS advantage
+{S.r6('baseline + 1e-9')} AS baseline, {S.r6('reward - baseline + 1e-9')} AS advantage
 FROM reward_log JOIN ema USING (run_id, step)""")
 def _(spark, sf):
+    # rewards have few decimals, so early baselines lie exactly between two rounded
+    # values; both sides are moved off that point
     return R.ema_advantage(V.reward_log(spark, sf)).select(
-        "sample_id", round6(F.col("baseline")).alias("baseline"),
-        round6(F.col("advantage")).alias("advantage"))
+        "sample_id", round6(F.col("baseline") + 1e-9).alias("baseline"),
+        round6(F.col("advantage") + 1e-9).alias("advantage"))
 
 
 @query("group_advantage", f"""WITH {S.REWARD_LOG}, st AS (SELECT group_id, avg(reward) AS m,

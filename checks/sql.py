@@ -287,9 +287,10 @@ SEEDS = PREDS + f""", seed_words AS (SELECT y_true AS label, ' ' || w AS word,
 
 
 def variants(w: str) -> str:
+    """Spellings in order; DuckDB keeps one capital for the sharp s, Python and Spark write two."""
     def lstrip(x):
         return f"regexp_replace({x}, '^{WHITESPACE}+', '')"
-    tried = (f"[{w}, ' ' || {lstrip(w)}, {strip(w)}, lower({w}), upper({w}), "
+    tried = (f"[{w}, ' ' || {lstrip(w)}, {strip(w)}, lower({w}), upper(replace({w}, 'ß', 'ss')), "
              f"' ' || {lstrip(f'lower({w})')}, "
              f"' ' || regexp_replace({strip(w)}, '{WHITESPACE}+', '-', 'g')]")
     return (f"list_filter({tried}, lambda v, i: list_position({tried}, v) = i)"
