@@ -41,6 +41,19 @@ def _(spark, sf):
     return s.select("sample_id", "label", round6(F.col("score")).alias("score"))
 
 
+BY_THIRD = {"negative": range(0, 21), "neutral": [30], "positive": range(40, 64)}
+
+
+@query("label_probs_from_vectors", f"""WITH {S.TOKEN_LOGITS}, s AS (SELECT sample_id,
+[sum(exp(logit)) FILTER (token_id < 21), sum(exp(logit)) FILTER (token_id = 30),
+sum(exp(logit)) FILTER (token_id >= 40)] AS e FROM token_logits GROUP BY sample_id)
+SELECT sample_id, {_sql3('list_transform(e, lambda x: x / list_sum(e))')} FROM s""")
+def _(spark, sf):
+    p = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"), T.label_probs_from_vector(
+        F.col("embedding"), BY_THIRD).alias("p"))
+    return p.select("sample_id", *_cols3(F.col("p")))
+
+
 def _label_sums(order):
     return ", ".join(f"coalesce(sum(exp(logit)) FILTER (label = '{x}'), 0)" for x in order)
 

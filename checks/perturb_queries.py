@@ -244,7 +244,7 @@ FROM headlines LEFT JOIN rewrites ON text = orig), {S.sim_ctes('s', 'dp', 'sampl
 SELECT sample_id, length(pert) <= 80 AND sim >= 0.85 AS passed FROM dp JOIN s USING (sample_id)""")
 def _(spark, sf):
     longer = F.concat("pert", F.lit(" as the markets had expected it to be"))
-    rows = L.candidates(V.headlines(spark, sf), L.LibraryConfig(methods=("rewrite",)),
+    rows = L.candidates(V.headlines(spark, sf, spread=True), L.LibraryConfig(methods=("rewrite",)),
                         V.rewrites(spark, sf))
     rows = rows.withColumn("pert", F.when(F.col("pert") != F.col("orig"), longer)
                            .otherwise(F.col("pert")))
@@ -259,7 +259,7 @@ CAND = f"{H}, {S.candidate_ctes('cand')}"
 @query("drop_identity", f"""{CAND} SELECT sample_id, method, pert FROM cand
 WHERE {S.strip('pert')} <> {S.strip('orig')}""")
 def _(spark, sf):
-    return L.candidates(V.headlines(spark, sf), L.LibraryConfig(drop_identity=True),
+    return L.candidates(V.headlines(spark, sf, spread=True), L.LibraryConfig(drop_identity=True),
                         V.rewrites(spark, sf)).select("sample_id", "method", "pert")
 
 
@@ -267,7 +267,7 @@ def _(spark, sf):
 
 @query("gen_candidates", f"{CAND} SELECT sample_id, method_ord, method, orig, pert FROM cand")
 def _(spark, sf):
-    return L.candidates(V.headlines(spark, sf), rewrites=V.rewrites(spark, sf)).select(
+    return L.candidates(V.headlines(spark, sf, spread=True), rewrites=V.rewrites(spark, sf)).select(
         "sample_id", "method_ord", "method", "orig", "pert")
 
 
@@ -277,7 +277,7 @@ SELECT sample_id, 0 AS method_ord, 'synonym_dict' AS method, pert FROM f
 UNION ALL SELECT sample_id, 1, 'template', {S.template('text')} FROM headlines
 UNION ALL SELECT sample_id, 2, 'numbers', pert FROM n""")
 def _(spark, sf):
-    return L.candidates(V.headlines(spark, sf), L.LibraryConfig(methods=L.PROTOTYPE_METHODS)
+    return L.candidates(V.headlines(spark, sf, spread=True), L.LibraryConfig(methods=L.PROTOTYPE_METHODS)
                         ).select("sample_id", "method_ord", "method", "pert")
 
 
@@ -292,7 +292,7 @@ TAG_OUT = f"orig_label, pert_label, flipped, weakened, {S.r6('m0')} AS m0, {S.r6
 
 
 def _scored_library(spark, sf):
-    rows, rew = V.headlines(spark, sf), V.rewrites(spark, sf)
+    rows, rew = V.headlines(spark, sf, spread=True), V.rewrites(spark, sf)
     cand = L.candidates(rows, rewrites=rew)
     texts = cand.select(F.col("orig").alias("text")).unionByName(
         cand.select(F.col("pert").alias("text")))

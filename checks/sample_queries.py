@@ -24,7 +24,7 @@ def pairs(spark, sf):
 
 
 def library(spark, sf):
-    return build_library(V.headlines(spark, sf), rewrites=V.rewrites(spark, sf))
+    return build_library(V.headlines(spark, sf, spread=True), rewrites=V.rewrites(spark, sf))
 
 
 # ---------------------------------------------------------------- sources

@@ -19,6 +19,11 @@ def softmax(scores: Column) -> Column:
         shifted, lambda e: e / total)), 1)
 
 
+def logsumexp(scores: Column) -> Column:
+    top = F.array_max(scores)
+    return top + F.ln(_sum(F.transform(scores, lambda x: F.exp(x - top))))
+
+
 def reorder(by_label: Column, order: Sequence[str]) -> Column:
     """Array of a label -> probability map in ``order``; a missing label fails the job."""
     return F.array(*[

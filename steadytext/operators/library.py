@@ -103,21 +103,18 @@ def label_margins(scored: DataFrame, order: Sequence[str] = K.REWARD_ORDER,
                          probs.margin(F.col(p)).alias("margin"))
 
 
-def adversarial_tags(library: DataFrame, scored: DataFrame,
-                     config: LibraryConfig = DEFAULT) -> DataFrame:
-    """Label flip and margin drop of passed rows; null for the others.
+def _margins_for(scored: DataFrame, config: LibraryConfig, text: str, label: str,
+                 margin: str) -> DataFrame:
+    return label_margins(scored, config.label_order).select(
+        F.col("text").alias(text), F.col("label").alias(label), F.col("margin").alias(margin))
 
-    ``scored(text, probs)`` holds one row per distinct text.
-    """
-    margins = label_margins(scored, config.label_order).select("text", "label", "margin")
-    src = margins.select(F.col("text").alias("orig"), F.col("label").alias("_y0"),
-                         F.col("margin").alias("_m0"))
-    tgt = margins.select(F.col("text").alias("pert"), F.col("label").alias("_y1"),
-                         F.col("margin").alias("_m1"))
-    joined = library.join(src, "orig", "left").join(tgt, "pert", "left")
+
+def _tagged(library: DataFrame, columns: Sequence[str], scored: DataFrame,
+            config: LibraryConfig) -> DataFrame:
+    joined = library.join(_margins_for(scored, config, "pert", "_y1", "_m1"), "pert", "left")
     ok = F.col("passed")
     return joined.select(
-        *library.columns,
+        *columns,
         F.when(ok, F.col("_y0")).alias("orig_label"),
         F.when(ok, F.col("_y1")).alias("pert_label"),
         F.when(ok, F.col("_y0") != F.col("_y1")).alias("flipped"),
@@ -126,12 +123,27 @@ def adversarial_tags(library: DataFrame, scored: DataFrame,
         F.when(ok, F.col("_m1")).alias("m1"))
 
 
+def adversarial_tags(library: DataFrame, scored: DataFrame,
+                     config: LibraryConfig = DEFAULT) -> DataFrame:
+    """Label flip and margin drop of passed rows; null for the others.
+
+    ``scored(text, probs)`` holds one row per distinct text.
+    """
+    sourced = library.join(_margins_for(scored, config, "orig", "_y0", "_m0"), "orig", "left")
+    return _tagged(sourced, library.columns, scored, config)
+
+
 def build_library(rows: DataFrame, config: LibraryConfig = DEFAULT,
                   rewrites: DataFrame | None = None, scored: DataFrame | None = None,
                   text: str = "text", id_col: str = "sample_id") -> DataFrame:
     """All candidates of all rows with filter results, and tags if scores are given."""
-    out = cascade(candidates(rows, config, rewrites, text, id_col), config)
-    return out if scored is None else adversarial_tags(out, scored, config)
+    if scored is None:
+        return cascade(candidates(rows, config, rewrites, text, id_col), config)
+    # the source's score joins the rows, before each becomes several candidates
+    sourced = rows.join(_margins_for(scored, config, text, "_y0", "_m0"), text, "left")
+    out = cascade(candidates(sourced, config, rewrites, text, id_col), config)
+    plain = [c for c in out.columns if c not in ("_y0", "_m0")]
+    return _tagged(out, plain, scored, config)
 
 
 def passed_pairs(library: DataFrame, only_passed: bool = True,

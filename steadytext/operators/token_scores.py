@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from steadytext import constants as K
-from steadytext.functions.probs import softmax
+from steadytext.functions.probs import logsumexp, softmax
 
 
 def logsumexp_by(scores: DataFrame, keys: Sequence[str], value: str = "logit",
@@ -27,10 +27,10 @@ def label_scores(token_scores: DataFrame, verbalizer: DataFrame,
                  id_col: str = "sample_id") -> DataFrame:
     """Score per (id, label): log-sum-exp over the label's tokens.
 
-    ``verbalizer(label, token_id)`` is bounded by the vocabulary and kept small
-    by design: a handful of words per label.
+    ``verbalizer(label, token_id)`` is usually small enough for Spark to broadcast it
+    by its measured size.
     """
-    hits = token_scores.join(F.broadcast(verbalizer), "token_id")
+    hits = token_scores.join(verbalizer, "token_id")
     return logsumexp_by(hits, [id_col, "label"])
 
 
@@ -44,6 +44,19 @@ def label_probs(token_scores: DataFrame, verbalizer: DataFrame,
         id_col, softmax(F.col("_scores")).alias("probs"))
 
 
+def label_probs_from_vector(scores: Column, token_ids: dict[str, Sequence[int]],
+                            order: Sequence[str] = K.REWARD_ORDER) -> Column:
+    """Class probabilities of a next-token score array; nothing leaves the row.
+
+    ``token_ids`` are 0-based positions per label; a label without any scores -1e9.
+    """
+    def label_score(ids):
+        if not ids:
+            return F.lit(K.EMPTY_LABEL_SCORE)
+        return logsumexp(F.array(*[F.get(scores, F.lit(i)).cast("double") for i in ids]))
+    return softmax(F.array(*[label_score(token_ids.get(x, ())) for x in order]))
+
+
 def renormalised_label_probs(token_scores: DataFrame, label_tokens: dict[str, int],
                              order: Sequence[str] = K.SCORER_ORDER,
                              id_col: str = "sample_id") -> DataFrame:
