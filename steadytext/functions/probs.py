@@ -62,8 +62,10 @@ def argmax(p: Column) -> Column:
 
 
 def gather_log(p: Column, index: Column, floor: float = PROB_FLOOR) -> Column:
-    """Log of the entry at a 0-based index."""
-    return F.ln(F.greatest(F.get(p, index), F.lit(floor)))
+    """Log of the entry at a 0-based index; null for a null or foreign index."""
+    entry = F.get(p, index)
+    # greatest() alone would turn a null entry into the floor
+    return F.when(entry.isNotNull(), F.ln(F.greatest(entry, F.lit(floor))))
 
 
 def all_finite(p: Column) -> Column:

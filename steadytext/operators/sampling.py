@@ -57,13 +57,17 @@ def split_stratified(df: DataFrame, n_train: int = K.TRAIN_PER_CLASS,
     """
     need = n_train + n_test
     found = _buckets(df, by, labels, id_col, seed)
-    expected = df.sparkSession.createDataFrame([(x,) for x in labels], f"{by} string")
+    # one row per expected class, also for a class without rows, so that the check sees it
+    totals = found.agg(*[F.max(F.when(F.col(by) == x, F.col("_total"))).alias(f"_t{i}")
+                         for i, x in enumerate(labels)])
     too_small = F.raise_error(F.concat(F.lit("class too small for the split: "), F.col(by)))
-    wanted = (expected.join(found, by, "left")
-              .withColumn("_before", F.when(
-                  F.coalesce(F.col("_total"), F.lit(0)) >= need, F.col("_before"))
-                  .otherwise(too_small.cast("long")))
-              .filter(F.col("_before") < need)
+    sizes = totals.select(F.inline(F.array(*[
+        F.struct(F.lit(x).alias(by), F.coalesce(f"_t{i}", F.lit(0)).alias("_rows"))
+        for i, x in enumerate(labels)]))).select(by, F.when(
+            F.col("_rows") >= need, F.col("_rows")).otherwise(too_small.cast("long"))
+            .alias("_rows"))
+    wanted = (found.join(sizes, by)
+              .filter((F.col("_before") < need) & (F.col("_rows") >= need))
               .select(by, "_bucket", "_before"))
     split = F.when(F.col("_rank") <= n_test, "test").otherwise("train")
     return (_ranked(df, wanted, by, labels, id_col, seed)
