@@ -23,7 +23,7 @@ def ID():
 
 
 def documents(spark, sf):
-    return V.table(spark, sf, "documents").withColumnRenamed("doc_id", "sample_id")
+    return V.documents(spark, sf)
 
 
 # ----------------------------------------------------------------- tokens
@@ -51,14 +51,14 @@ def _(spark, sf):
 @query("synonym_replace", f"""{H}, {S.SYNONYMS}, {S.synonym_ctes('s', 'headlines', '2')}
 SELECT sample_id, pert FROM s""")
 def _(spark, sf):
-    return V.headlines(spark, sf).select("sample_id", X.replace_synonyms(
+    return V.headlines(spark, sf, spread=True).select("sample_id", X.replace_synonyms(
         T(), ID(), 2, D.SURFACE_SYNONYMS, D.STOP_WORDS).alias("pert"))
 
 
 @query("synonym_replace_ratio", f"""{H}, {S.SYNONYMS},
 {S.synonym_ctes('s', 'headlines', S.RATIO_QUOTA)} SELECT sample_id, pert FROM s""")
 def _(spark, sf):
-    return V.headlines(spark, sf).select("sample_id", X.replace_synonyms_ratio(
+    return V.headlines(spark, sf, spread=True).select("sample_id", X.replace_synonyms_ratio(
         T(), ID(), D.SURFACE_SYNONYMS, D.STOP_WORDS).alias("pert"))
 
 
@@ -75,7 +75,7 @@ def _(spark, sf):
 @query("synonym_replace_dict", f"""{H}, {S.SYNONYMS}, {S.forms_ctes('f', 'headlines')}
 SELECT sample_id, pert FROM f""")
 def _(spark, sf):
-    return V.headlines(spark, sf).select("sample_id", X.replace_forms(
+    return V.headlines(spark, sf, spread=True).select("sample_id", X.replace_forms(
         T(), ID(), D.SURFACE_SYNONYMS).alias("pert"))
 
 
@@ -90,23 +90,23 @@ string_split(pert, chr(57344)) AS g FROM f JOIN masked USING (sample_id))
 SELECT sample_id, array_to_string(list_transform(g, lambda x, i: x || coalesce(held[i], '')), '')
 AS pert FROM gaps""")
 def _(spark, sf):
-    return V.headlines(spark, sf).select("sample_id", X.replace_forms_guarded(
+    return V.headlines(spark, sf, spread=True).select("sample_id", X.replace_forms_guarded(
         T(), ID(), D.SURFACE_SYNONYMS, entity_pattern(D.GAZETTEER)).alias("pert"))
 
 
 @query("template_paraphrase", f"{H} SELECT sample_id, {S.template('text')} AS pert FROM headlines")
 def _(spark, sf):
-    return V.headlines(spark, sf).select("sample_id", X.template_paraphrase(T()).alias("pert"))
+    return V.headlines(spark, sf, spread=True).select("sample_id", X.template_paraphrase(T()).alias("pert"))
 
 
 @query("paraphrase_unguarded", f"{H} SELECT sample_id, {S.paraphrase('text')} AS pert FROM headlines")
 def _(spark, sf):
-    return V.headlines(spark, sf).select("sample_id", X.paraphrase_rules(T()).alias("pert"))
+    return V.headlines(spark, sf, spread=True).select("sample_id", X.paraphrase_rules(T()).alias("pert"))
 
 
 @query("jitter_percent", f"{H} SELECT sample_id, {S.jitter('text')} AS pert FROM headlines")
 def _(spark, sf):
-    return V.headlines(spark, sf).select("sample_id", X.jitter_percents(T(), ID()).alias("pert"))
+    return V.headlines(spark, sf, spread=True).select("sample_id", X.jitter_percents(T(), ID()).alias("pert"))
 
 
 @query("swap_peer", f"""SELECT doc_id AS sample_id, md5({S.swap('text')}) AS digest FROM documents
@@ -121,7 +121,7 @@ def _(spark, sf):
 @query("perturb_numbers_entities", f"""{H}, {S.numbers_ctes('n', 'headlines')}
 SELECT sample_id, pert FROM n""")
 def _(spark, sf):
-    return V.headlines(spark, sf).select("sample_id", X.perturb_numbers_entities(T(), ID())
+    return V.headlines(spark, sf, spread=True).select("sample_id", X.perturb_numbers_entities(T(), ID())
                                          .alias("pert"))
 
 
@@ -213,7 +213,7 @@ def _(spark, sf):
 SELECT sample_id, {S.entities('text')} = {S.entities('pert')} AS ner_ok
 FROM headlines JOIN n USING (sample_id)""")
 def _(spark, sf):
-    rows = V.headlines(spark, sf).select("sample_id", "text", F.inline(F.array(F.struct(
+    rows = V.headlines(spark, sf, spread=True).select("sample_id", "text", F.inline(F.array(F.struct(
         X.perturb_numbers_entities(T(), ID()).alias("pert")))))
     return rows.select("sample_id", (entity_types(T(), D.GAZETTEER) == entity_types(
         F.col("pert"), D.GAZETTEER)).alias("ner_ok"))
@@ -387,7 +387,7 @@ FROM headlines JOIN n USING (sample_id)) SELECT sentiment, count(*) AS pairs,
 @query("numbers_pass_rate", FLAGSHIP)
 def flagship(spark, sf):
     """Pass rate and pair count per class of the numbers-and-entities edit."""
-    rows = V.headlines(spark, sf).select("sentiment", "text", F.inline(F.array(F.struct(
+    rows = V.headlines(spark, sf, spread=True).select("sentiment", "text", F.inline(F.array(F.struct(
         X.perturb_numbers_entities(T(), ID()).alias("pert")))))
     ok = (X.length_change(T(), F.col("pert")) <= K.LENGTH_RATIO) & (
         entity_types(T(), D.GAZETTEER) == entity_types(F.col("pert"), D.GAZETTEER))

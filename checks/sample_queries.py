@@ -184,7 +184,7 @@ arg_min(a, ord) AS peer, arg_min(b, ord) AS replacement FROM headlines
 JOIN peers ON contains(text, a) GROUP BY sample_id)
 SELECT sample_id, peer, replacement FROM headlines LEFT JOIN hits USING (sample_id)""")
 def _(spark, sf):
-    return L.first_peer(V.headlines(spark, sf), V.peers(spark)).select(
+    return L.first_peer(V.headlines(spark, sf, spread=True), V.peers(spark)).select(
         "sample_id", "peer", "replacement")
 
 

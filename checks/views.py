@@ -132,21 +132,29 @@ def reward_log(spark, sf) -> DataFrame:
         "value AS reward")
 
 
+def documents(spark, sf, spread: bool = True) -> DataFrame:
+    """Whole documents; all cores work on them even if they fit one file split."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread_small(docs, "doc_id") if spread else docs
+    return docs.withColumnRenamed("doc_id", "sample_id")
+
+
 def doc_pairs(spark, sf) -> DataFrame:
-    """Whole documents against a version without their middle-frequency joiners."""
-    return table(spark, sf, "documents").select(
-        F.col("doc_id").alias("sample_id"), F.col("text").alias("orig"),
+    """Whole documents against a version without two frequent words."""
+    return documents(spark, sf).select(
+        "sample_id", F.col("text").alias("orig"),
         F.replace(F.replace("text", F.lit(" and "), F.lit(" ")),
                   F.lit(" the "), F.lit(" ")).alias("pert"))
 
 
 def seeds(spark, sf) -> DataFrame:
     """(label, ord, word): the words of the labelled documents, in order of appearance."""
-    y = preds(spark, sf).select(F.col("sample_id").alias("doc_id"), F.col("y_true").alias("label"))
-    words = table(spark, sf, "documents").select("doc_id", F.posexplode(
+    y = preds(spark, sf).select("sample_id", F.col("y_true").alias("label"))
+    # the label joins the document, before it becomes many words
+    words = documents(spark, sf).join(y, "sample_id").select("sample_id", "label", F.posexplode(
         tokens(F.col("text"))).alias("pos", "w"))
-    return (words.join(y, "doc_id").groupBy("label", "w")
-            .agg(F.min(F.col("doc_id") * 1_000_000 + F.col("pos")).alias("ord"))
+    return (words.groupBy("label", "w")
+            .agg(F.min(F.col("sample_id") * 1_000_000 + F.col("pos")).alias("ord"))
             .select("label", "ord", F.concat(F.lit(" "), F.col("w")).alias("word")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections.abc import Mapping, Sequence
 
@@ -16,6 +18,16 @@ MONEY_PATTERN = (
 )
 
 
+# every match of MONEY_PATTERN contains one of these
+_MONEY_SIGNS = ("$", "€", "£", "EUR", "USD", "GBP", "euro", "dollar", "mn", "bn", "illion")
+_FEW = 16  # up to so many names plain substring tests beat a regex
+
+
+def _contains_any(text: Column, parts: Sequence[str]) -> Column:
+    return functools.reduce(operator.or_, [F.contains(text, F.lit(p)) for p in parts],
+                            F.lit(False))
+
+
 def any_name(names: Sequence[str]) -> str:
     """Regex finding any of the names; the lookahead skips other first letters fast."""
     initials = "".join(sorted({re.escape(n[0]) for n in names}))
@@ -24,11 +36,11 @@ def any_name(names: Sequence[str]) -> str:
 
 def entity_types(text: Column, gazetteer: Mapping[str, Sequence[str]]) -> Column:
     """Sorted array of the entity types found in ``text``."""
-    has_digit = text.rlike("[0-9]")
     tests = {"PERCENT": F.contains(text, F.lit("%")) & text.rlike(PERCENT_PATTERN),
-             "MONEY": has_digit & text.rlike(MONEY_PATTERN)}
+             "MONEY": _contains_any(text, _MONEY_SIGNS) & text.rlike(MONEY_PATTERN)}
     for kind, names in gazetteer.items():
-        tests[kind] = text.rlike(any_name(names)) if names else F.lit(False)
+        tests[kind] = (_contains_any(text, names) if len(names) <= _FEW
+                       else text.rlike(any_name(names)))
     found = [F.when(tests[kind], F.lit(kind)) for kind in ENTITY_TYPES if kind in tests]
     # ENTITY_TYPES is sorted, hence so is the result
     return F.when(text.isNotNull(), F.array_compact(F.array(*found)))

@@ -25,38 +25,34 @@ def cosine(a: Column, b: Column) -> Column:
     return _dot(a, b) / norms
 
 
+def _squared_counts(tokens: Column) -> Column:
+    """Sum of squared token counts: squared lengths of the runs of the sorted array."""
+    def runs(s):
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.get(s, i) != F.get(s, i - 1))
+        zero = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("sum"))
+
+        def add(acc, at):
+            length = (at - acc["at"]).cast("long")
+            return F.struct(at.alias("at"), (acc["sum"] + length * length).alias("sum"))
+
+        total = F.aggregate(F.concat(starts, F.array(n)), zero, add, lambda acc: acc["sum"])
+        return F.when(n < 2, n.cast("long")).otherwise(total)
+
+    return F.element_at(F.transform(F.array(F.sort_array(tokens)), runs), 1)
+
+
 def _bag_cosine(a: Column, b: Column) -> Column:
-    """Token cosine by sorting both sides together and folding the runs once."""
-    tagged = F.sort_array(F.concat(
-        F.transform(a, lambda t: F.struct(t.alias("t"), F.lit(0).cast("long").alias("side"))),
-        F.transform(b, lambda t: F.struct(t.alias("t"), F.lit(1).cast("long").alias("side"))),
-    ))
-    zero = F.lit(0).cast("long")
-    start = F.struct(F.lit(None).cast("string").alias("t"), zero.alias("na"), zero.alias("nb"),
-                     zero.alias("dot"), zero.alias("aa"), zero.alias("bb"))
-
-    def step(acc, x):
-        # within a run side 0 comes first, so every b meets all a of its token;
-        # the k-th copy adds 2k - 1 to a sum of squares
-        return F.when(acc["t"] == x["t"], F.when(x["side"] == 0, F.struct(
-            acc["t"].alias("t"), (acc["na"] + 1).alias("na"), acc["nb"].alias("nb"),
-            acc["dot"].alias("dot"), (acc["aa"] + 2 * acc["na"] + 1).alias("aa"),
-            acc["bb"].alias("bb"),
-        )).otherwise(F.struct(
-            acc["t"].alias("t"), acc["na"].alias("na"), (acc["nb"] + 1).alias("nb"),
-            (acc["dot"] + acc["na"]).alias("dot"), acc["aa"].alias("aa"),
-            (acc["bb"] + 2 * acc["nb"] + 1).alias("bb"),
-        ))).otherwise(F.struct(
-            x["t"].alias("t"), (1 - x["side"]).alias("na"), x["side"].alias("nb"),
-            acc["dot"].alias("dot"), (acc["aa"] + 1 - x["side"]).alias("aa"),
-            (acc["bb"] + x["side"]).alias("bb"),
-        ))
-
-    def finish(acc):
-        norms = F.sqrt(acc["aa"].cast("double") * acc["bb"].cast("double"))
-        return F.when(norms > 0, acc["dot"] / norms).otherwise(F.lit(0.0))
-
-    return F.aggregate(tagged, start, step, finish)
+    """Token cosine from squared counts: those of a + b are aa + 2 dot + bb."""
+    sums = F.struct(_squared_counts(a).alias("aa"), _squared_counts(b).alias("bb"),
+                    _squared_counts(F.concat(a, b)).alias("cc"))
+
+    def ratio(x):
+        norms = F.sqrt(x["aa"].cast("double") * x["bb"].cast("double"))
+        dot = (x["cc"] - x["aa"] - x["bb"]) / 2
+        return F.when(norms > 0, dot / norms).otherwise(F.lit(0.0))
+
+    return F.element_at(F.transform(F.array(sums), ratio), 1)
 
 
 def _set_cosine(a: Column, b: Column) -> Column:

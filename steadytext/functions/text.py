@@ -88,10 +88,15 @@ def chat_prompt(text: Column) -> Column:
 
 # ------------------------------------------------------- length comparison
 
+def size_change(before: Column, after: Column) -> Column:
+    """Relative change of the number of tokens."""
+    n = F.size(before)
+    return F.abs(F.size(after) - n) / F.greatest(F.lit(1), n)
+
+
 def length_change(orig: Column, new: Column) -> Column:
     """Relative change of the word count."""
-    before = word_count(orig)
-    return F.abs(word_count(new) - before) / F.greatest(F.lit(1), before)
+    return size_change(tokens(orig), tokens(new))
 
 
 def guard_length(orig: Column, new: Column,
@@ -201,19 +206,13 @@ def replace_words(toks: Column, chosen: Column) -> Column:
     return F.array_join(F.transform(toks, lambda t: F.coalesce(chosen[t], t)), " ")
 
 
-def replace_synonyms(text: Column, key: Column, n: Column | int,
-                     synonyms: Mapping[str, Sequence[str]], stop_words: Sequence[str],
-                     seed=0) -> Column:
-    """Replace all occurrences of up to ``n`` distinct words that have synonyms.
-
-    For dictionaries small enough to be a literal (some hundred words); it needs
-    no join and no shuffle. ``operators.lexicon`` does the same against a table.
-    """
+def _synonym_editor(key: Column, synonyms: Mapping[str, Sequence[str]],
+                    stop_words: Sequence[str], seed):
+    """Function (tokens, count) -> edited text."""
     eligible = [w for w, options in synonyms.items() if options and w not in set(stop_words)]
     table = _synonym_map({w: synonyms[w] for w in eligible})
-    count = F.lit(n) if isinstance(n, int) else n
 
-    def edit(toks):
+    def edit(toks, count):
         hits = F.array_distinct(F.filter(toks, lambda t: t.isin(eligible)))
         ranked = F.sort_array(F.transform(
             hits, lambda w: F.struct(digest(seed, key, w).alias("rank"), w.alias("word"))))
@@ -223,7 +222,20 @@ def replace_synonyms(text: Column, key: Column, n: Column | int,
                                                   r["word"]))))
         return _let(chosen, lambda m: replace_words(toks, m))
 
-    return _let(tokens(text), edit)
+    return edit
+
+
+def replace_synonyms(text: Column, key: Column, n: Column | int,
+                     synonyms: Mapping[str, Sequence[str]], stop_words: Sequence[str],
+                     seed=0) -> Column:
+    """Replace all occurrences of up to ``n`` distinct words that have synonyms.
+
+    For dictionaries small enough to be a literal (some hundred words); it needs
+    no join and no shuffle. ``operators.lexicon`` does the same against a table.
+    """
+    edit = _synonym_editor(key, synonyms, stop_words, seed)
+    count = F.lit(n) if isinstance(n, int) else n
+    return _let(tokens(text), lambda toks: edit(toks, count))
 
 
 def synonym_quota(toks: Column, ratio: float = K.SYNONYM_RATIO) -> Column:
@@ -232,11 +244,18 @@ def synonym_quota(toks: Column, ratio: float = K.SYNONYM_RATIO) -> Column:
 
 
 def replace_synonyms_ratio(text: Column, key: Column, synonyms, stop_words,
-                           ratio: float = K.SYNONYM_RATIO, seed=0) -> Column:
-    """``replace_synonyms`` for a share of the words; a text without words stays as is."""
-    edited = replace_synonyms(text, key, synonym_quota(tokens(text), ratio), synonyms,
-                              stop_words, seed)
-    return F.when(word_count(text) == 0, text).otherwise(edited)
+                           ratio: float = K.SYNONYM_RATIO, seed=0,
+                           toks: Column | None = None) -> Column:
+    """``replace_synonyms`` for a share of the words; a text without words stays as is.
+
+    ``toks`` are the tokens of ``text`` if they are at hand.
+    """
+    edit = _synonym_editor(key, synonyms, stop_words, seed)
+
+    def edited(t):
+        return F.when(F.size(t) == 0, text).otherwise(edit(t, synonym_quota(t, ratio)))
+
+    return _let(tokens(text), edited) if toks is None else edited(toks)
 
 
 def replace_forms(text: Column, key: Column, synonyms: Mapping[str, Sequence[str]],

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from steadytext.functions.hashing import digest, draw
 from steadytext.functions.text import replace_words, tokens
 
+IN_ROW_NAMES = 1_000      # names tested one by one inside each row
 BROADCAST_ROWS = 200_000  # larger lexicons are joined by shuffling the word hits
 
 
@@ -74,11 +75,27 @@ def first_peer(rows: DataFrame, peers: DataFrame, text: str = "text",
                id_col: str = "sample_id") -> DataFrame:
     """Lowest-``ord`` peer whose name is a substring of the text, per row.
 
-    ``peers(ord, a, b)`` may be large. Containment becomes an equi-join on the
-    first up to three characters of a name, verified afterwards, so names are
-    never compared with every text.
+    Up to ``IN_ROW_NAMES`` of ``peers(ord, a, b)`` are tested inside the row. A larger
+    table is joined: containment becomes an equi-join on the first up to three
+    characters of a name, verified afterwards, so names never meet every text.
     """
+    head = peers.select("ord", "a", "b").orderBy("ord").limit(IN_ROW_NAMES + 1).collect()
+    if len(head) <= IN_ROW_NAMES:
+        return _first_peer_in_row(rows, head, text)
+    return _first_peer_joined(rows, peers, text, id_col)
+
+
+def _first_peer_in_row(rows: DataFrame, head, text: str) -> DataFrame:
+    names = F.array(*[F.lit(r["a"]) for r in head]).cast("array<string>")
+    others = F.array(*[F.lit(r["b"]) for r in head]).cast("array<string>")
+    hit = F.array_position(F.transform(names, lambda n: F.contains(F.col(text), n)), True)
+    at = (hit - 1).cast("int")
+    return rows.select("*", F.get(names, at).alias("peer"), F.get(others, at).alias("replacement"))
+
+
+def _first_peer_joined(rows: DataFrame, peers: DataFrame, text: str, id_col: str) -> DataFrame:
     keyed = peers.withColumn("_gram", F.substring("a", 1, 3))
+    widths = [r[0] for r in keyed.select(F.char_length("_gram")).distinct().collect()]  # 1..3
     t = F.col(text)
 
     def grams(width):
@@ -87,15 +104,10 @@ def first_peer(rows: DataFrame, peers: DataFrame, text: str = "text",
             F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
             lambda i: F.substring(t, i, F.lit(width)))).otherwise(F.array().cast("array<string>"))
 
-    found = F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("_gram")
-    if _is_small(keyed):
-        hits = rows.select(id_col, text, found).join(F.broadcast(keyed), "_gram")
-    else:
-        # shuffle ids and grams only; the text comes back for the few candidates
-        pairs = rows.select(id_col, found).join(keyed, "_gram").select(id_col, "ord", "a", "b")
-        hits = pairs.join(rows.select(id_col, text), id_col)
-    hits = hits.filter(F.contains(t, F.col("a")))
-    best = hits.groupBy(id_col).agg(
-        F.min(F.struct("ord", "a", "b")).alias("_peer"))
+    found = F.explode(F.array_distinct(F.concat(*[grams(w) for w in widths]))).alias("_gram")
+    # join ids and grams only; the text comes back for the candidates
+    pairs = rows.select(id_col, found).join(_sized(keyed), "_gram").select(id_col, "ord", "a", "b")
+    hits = pairs.join(rows.select(id_col, text), id_col).filter(F.contains(t, F.col("a")))
+    best = hits.groupBy(id_col).agg(F.min(F.struct("ord", "a", "b")).alias("_peer"))
     return rows.join(best, id_col, "left").select(
         *rows.columns, F.col("_peer.a").alias("peer"), F.col("_peer.b").alias("replacement"))

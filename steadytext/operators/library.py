@@ -47,7 +47,8 @@ def candidates(rows: DataFrame, config: LibraryConfig = DEFAULT,
     t, key = F.col(text), F.col(id_col)
     makers = {
         "synonym": lambda: X.replace_synonyms_ratio(
-            t, key, config.synonyms, config.stop_words, config.synonym_ratio, config.seed),
+            t, key, config.synonyms, config.stop_words, config.synonym_ratio, config.seed,
+            F.col("_src_tokens") if "_src_tokens" in rows.columns else None),
         "synonym_dict": lambda: X.replace_forms(t, key, config.synonyms, 2, config.seed),
         "rewrite": lambda: F.col("_rewrite_text"),
         "template": lambda: X.template_paraphrase(t),
@@ -66,6 +67,15 @@ def candidates(rows: DataFrame, config: LibraryConfig = DEFAULT,
     return out
 
 
+_SOURCE_FACTS = ("_src_tokens", "_src")
+
+
+def _with_source_facts(df: DataFrame, text: Column, config: LibraryConfig) -> DataFrame:
+    """Tokens and entity types of the source text, computed once per row."""
+    return compute_once(df, _src_tokens=X.tokens(text),
+                        _src=entity_types(text, config.gazetteer))
+
+
 def cascade(pairs: DataFrame, config: LibraryConfig = DEFAULT, sim: Column | None = None,
             orig: str = "orig", pert: str = "pert") -> DataFrame:
     """Similarity, then length, then entity types; the first failure decides the details.
@@ -75,19 +85,20 @@ def cascade(pairs: DataFrame, config: LibraryConfig = DEFAULT, sim: Column | Non
     token counts.
     """
     a, b = F.col(orig), F.col(pert)
+    ready = pairs if "_src_tokens" in pairs.columns else _with_source_facts(pairs, a, config)
+    ready = compute_once(ready, _tgt_tokens=X.tokens(b), _tgt=entity_types(b, config.gazetteer))
+    x, y = F.col("_src_tokens"), F.col("_tgt_tokens")
     if sim is None:
         # equal texts need no folding of tokens, unless they have none
-        sim = F.when((a == b) & (F.length(X.strip(a)) > 0), F.lit(1.0)).otherwise(
-            token_cosine(X.tokens(a), X.tokens(b)))
-    measured = compute_once(
-        pairs, sim=sim, _change=X.length_change(a, b),
-        _src=entity_types(a, config.gazetteer), _tgt=entity_types(b, config.gazetteer))
+        sim = F.when((a == b) & (F.size(x) > 0), F.lit(1.0)).otherwise(token_cosine(x, y))
+    measured = compute_once(ready, sim=sim, _change=X.size_change(x, y))
+    kept = [c for c in pairs.columns if c not in _SOURCE_FACTS]
     sim_ok = F.col("sim") >= config.sim_threshold
     len_ok = F.col("_change") <= config.length_ratio
     ner_ok = F.col("_src") == F.col("_tgt")
     ner_failed = sim_ok & len_ok & ~ner_ok
     return measured.select(
-        *pairs.columns,
+        *kept,
         F.coalesce(sim_ok & len_ok & ner_ok, F.lit(False)).alias("passed"),
         "sim",
         F.when(sim_ok & ~len_ok, F.lit(False)).alias("len_ok"),
@@ -137,6 +148,7 @@ def build_library(rows: DataFrame, config: LibraryConfig = DEFAULT,
                   rewrites: DataFrame | None = None, scored: DataFrame | None = None,
                   text: str = "text", id_col: str = "sample_id") -> DataFrame:
     """All candidates of all rows with filter results, and tags if scores are given."""
+    rows = _with_source_facts(rows, F.col(text), config)
     if scored is None:
         return cascade(candidates(rows, config, rewrites, text, id_col), config)
     # the source's score joins the rows, before each becomes several candidates

@@ -148,9 +148,10 @@ def test_lexicon_first_sense_without_the_word_itself(spark):
     assert got == {"sales": ["gross revenue"], "outlook": ["mindset", "mentality"], "zzz": []}
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_first_peer_on_both_join_paths(spark, monkeypatch, small):
-    monkeypatch.setattr(lexicon, "BROADCAST_ROWS", 1000 if small else 1)
+@pytest.mark.parametrize("in_row, broadcast", [(1000, 1000), (1, 1000), (1, 1)])
+def test_first_peer_on_all_paths(spark, monkeypatch, in_row, broadcast):
+    monkeypatch.setattr(lexicon, "IN_ROW_NAMES", in_row)
+    monkeypatch.setattr(lexicon, "BROADCAST_ROWS", broadcast)
     rows = spark.createDataFrame([(1, "Apple and X"), (2, "BP"), (3, "none"), (4, ""), (5, "éX")],
                                  "sample_id long, text string")
     peers = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(K.SECTOR_PEERS)],
