@@ -12,7 +12,7 @@ from steadytext.operators import joins as J, lexicon as L, sampling as P
 from steadytext.operators.library import clean_rows, passed_pairs, build_library
 from steadytext.operators.prompts import prompt_frames, rows_for_reward
 from steadytext.sources import files as IO
-from steadytext.sources.scratch import scratch_path, scratch_root
+from steadytext.sources.scratch import scratch_path
 
 H, R = f"WITH {S.HEADLINES}", f"WITH {S.HEADLINES}, {S.REWRITES}"
 LIB = f"WITH {S.HEADLINES}, {S.library_ctes()}"
@@ -48,10 +48,11 @@ def _(spark, sf):
 
 @query("materialize_if_absent", f"{H} SELECT * FROM headlines")
 def _(spark, sf):
+    root = scratch_path(spark, "stored")
     # the second call reads what the first one stored
     for _ in range(2):
-        out = IO.materialize(spark, lambda: V.headlines(spark, sf), scratch_root(spark),
-                             "headlines", {"input": sf, "version": 1})
+        out = IO.materialize(spark, lambda: V.headlines(spark, sf), root, "headlines",
+                             {"input": sf, "version": 1})
     return out
 
 

@@ -20,16 +20,32 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(row)))
 
 
+def join_lookup(df: DataFrame, lookup: DataFrame, keys: Sequence[str],
+                how: str = "left") -> DataFrame:
+    """Join a lookup with one row per key so that hot keys of ``df`` can be split.
+
+    A lookup is mostly the result of an aggregate, which Spark would join without
+    another shuffle. The adaptive skew join handles only sides that come straight
+    from a shuffle, so a key held by a third of the rows would stay one task. The
+    rebuilt key columns hide the old partitioning: the lookup, which has few rows
+    per key by nature, is shuffled once more, and Spark splits the hot keys of
+    ``df`` at run time. A small lookup is still broadcast instead.
+    """
+    fresh = [F.element_at(F.array(F.col(c)), 1).alias(c) if c in keys else F.col(c)
+             for c in lookup.columns]
+    return df.join(lookup.select(*fresh), list(keys), how)
+
+
 def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
     """Attach per-group aggregates to every row.
 
     Aggregate and join back instead of a window: the aggregate is combined on
     the map side, the statistics of few groups are broadcast at run time, and a
-    hot group can be split by the adaptive skew join, whereas a window sends
-    every row of a group to one task.
+    hot group is split by the adaptive skew join, whereas a window sends every
+    row of a group to one task.
     """
     table = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    return df.join(table, list(keys), "left")
+    return join_lookup(df, table, keys)
 
 
 def round6(value: Column) -> Column:

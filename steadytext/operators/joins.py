@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from steadytext.functions.hashing import digest
+from steadytext.operators.frames import join_lookup
 
 
 def latest_label(rows: DataFrame, text: str = "text", label: str = "sentiment",
@@ -17,13 +18,9 @@ def latest_label(rows: DataFrame, text: str = "text", label: str = "sentiment",
 
 def lookup_label(pairs: DataFrame, rows: DataFrame, on: str = "orig", text: str = "text",
                  label: str = "sentiment", id_col: str = "sample_id") -> DataFrame:
-    """Add the label of the source text; an unknown source gets null.
-
-    Lookups are unique per text, so a hot text on the left is split by the
-    adaptive skew join.
-    """
+    """Add the label of the source text; an unknown source gets null."""
     lookup = latest_label(rows, text, label, id_col).withColumnRenamed(text, on)
-    return pairs.join(lookup, on, "left")
+    return join_lookup(pairs, lookup, [on])
 
 
 def first_pert(pairs: DataFrame, order: Sequence[str] = ("sample_id", "method_ord")) -> DataFrame:
@@ -34,7 +31,7 @@ def first_pert(pairs: DataFrame, order: Sequence[str] = ("sample_id", "method_or
 
 def join_pairs(rows: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
     """Inner join of rows with the pairs of their text; equal texts all match."""
-    return rows.join(pairs, rows[text] == pairs["orig"], "inner")
+    return join_lookup(rows, pairs.withColumn(text, F.col("orig")), [text], "inner")
 
 
 def keep_known(pairs: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
@@ -55,7 +52,7 @@ def external_rewrite(rows: DataFrame, rewrites: DataFrame, text: str = "text",
                      out: str = "rewrite") -> DataFrame:
     """Supplied rewrite of each text, or the text itself where none is supplied."""
     supplied = rewrites.groupBy("orig").agg(F.min("rewrite").alias("_rewrite"))
-    joined = rows.join(supplied, rows[text] == supplied["orig"], "left")
+    joined = join_lookup(rows, supplied.withColumnRenamed("orig", text), [text])
     return joined.select(*rows.columns,
                          F.coalesce(F.col("_rewrite"), F.col(text)).alias(out))
 

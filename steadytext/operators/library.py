@@ -12,7 +12,7 @@ from steadytext import dictionaries as D
 from steadytext.functions import probs, text as X
 from steadytext.functions.entities import entity_types
 from steadytext.functions.similarity import token_cosine
-from steadytext.operators.frames import compute_once
+from steadytext.operators.frames import compute_once, join_lookup
 from steadytext.operators.joins import external_rewrite, first_pert, join_pairs, keep_known, \
     lookup_label
 
@@ -122,7 +122,7 @@ def _margins_for(scored: DataFrame, config: LibraryConfig, text: str, label: str
 
 def _tagged(library: DataFrame, columns: Sequence[str], scored: DataFrame,
             config: LibraryConfig) -> DataFrame:
-    joined = library.join(_margins_for(scored, config, "pert", "_y1", "_m1"), "pert", "left")
+    joined = join_lookup(library, _margins_for(scored, config, "pert", "_y1", "_m1"), ["pert"])
     ok = F.col("passed")
     return joined.select(
         *columns,
@@ -140,7 +140,7 @@ def adversarial_tags(library: DataFrame, scored: DataFrame,
 
     ``scored(text, probs)`` holds one row per distinct text.
     """
-    sourced = library.join(_margins_for(scored, config, "orig", "_y0", "_m0"), "orig", "left")
+    sourced = join_lookup(library, _margins_for(scored, config, "orig", "_y0", "_m0"), ["orig"])
     return _tagged(sourced, library.columns, scored, config)
 
 
@@ -152,7 +152,7 @@ def build_library(rows: DataFrame, config: LibraryConfig = DEFAULT,
     if scored is None:
         return cascade(candidates(rows, config, rewrites, text, id_col), config)
     # the source's score joins the rows, before each becomes several candidates
-    sourced = rows.join(_margins_for(scored, config, text, "_y0", "_m0"), text, "left")
+    sourced = join_lookup(rows, _margins_for(scored, config, text, "_y0", "_m0"), [text])
     out = cascade(candidates(sourced, config, rewrites, text, id_col), config)
     plain = [c for c in out.columns if c not in ("_y0", "_m0")]
     return _tagged(out, plain, scored, config)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from steadytext import constants as K
 from steadytext.functions import probs as P
 from steadytext.functions.labels import label_index
-from steadytext.operators.frames import compute_once, with_group_stats
+from steadytext.operators.frames import compute_once, join_lookup, with_group_stats
 
 
 @dataclass(frozen=True)
@@ -210,7 +210,7 @@ def ema_advantage(df: DataFrame, value: str = "reward", run: str = "run_id",
     """Reward minus the running baseline, which already contains the step itself."""
     means = df.groupBy(run, step).agg(F.avg(value).alias("mean_reward"))
     base = ema_by_step(means, "mean_reward", run, step, decay)
-    return df.join(base, [run, step]).select(
+    return join_lookup(df, base, [run, step], "inner").select(
         *df.columns, "baseline", (F.col(value) - F.col("baseline")).alias("advantage"))
 
 

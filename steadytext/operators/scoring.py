@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from steadytext import constants as K
 from steadytext.functions import probs as P
 from steadytext.functions.text import WHITESPACE
+from steadytext.operators.frames import join_lookup
 
 # loader() -> fn(array of texts) -> array [n, k]
 Loader = Callable[[], Callable]
@@ -41,7 +42,7 @@ def score_text(df: DataFrame, loader: Loader, model_order: Sequence[str] = K.SCO
     ordered = scored.select(text, P.reorder(F.map_from_arrays(names, F.col("_raw")), order)
                             .alias("probs"))
     ordered = ordered.withColumn("label", P.argmax_label(F.col("probs"), order))
-    return df.join(ordered, text, "left")
+    return join_lookup(df, ordered, [text])
 
 
 def score_teacher(df: DataFrame, loader: Loader | None, model_order: Sequence[str],
@@ -52,14 +53,14 @@ def score_teacher(df: DataFrame, loader: Loader | None, model_order: Sequence[st
         return df.withColumn(out, F.lit(None).cast("array<double>"))
     scored = score_text(df.select(text).distinct(), loader, model_order, order, text,
                         batch_size)
-    return df.join(scored.select(text, F.col("probs").alias(out)), text, "left")
+    return join_lookup(df, scored.select(text, F.col("probs").alias(out)), [text])
 
 
 def embed_text(df: DataFrame, loader: Loader, text: str = "text", out: str = "embedding",
                batch_size: int = 256) -> DataFrame:
     """Add a sentence vector from a supplied encoder."""
     vectors = score_distinct(df, loader, text, out, batch_size, T.FloatType)
-    return df.join(vectors, text, "left")
+    return join_lookup(df, vectors, [text])
 
 
 def hashed_terms(df: DataFrame, text: str = "text", out: str = "embedding",

@@ -3,10 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks import registry, views as V
 from checks.score_queries import word_model
-from steadytext.operators import library as L, rewards as R
+from steadytext.operators import joins as J, library as L, rewards as R
 from steadytext.plans import experiment as E
 
 registry.load()
@@ -62,6 +63,45 @@ def test_filter_on_passed_does_not_repeat_the_cascade(spark):
         re.findall(r"array_intersect", plan(lib.select("sim"))))
 
 
+HOT = {"spark.sql.shuffle.partitions": "40",
+       "spark.sql.autoBroadcastJoinThreshold": "-1",
+       "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+       "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+       "spark.sql.adaptive.coalescePartitions.enabled": "false",
+       "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50000"}
+
+
+@pytest.mark.parametrize("case", ["rewrite", "label", "stats", "scores", "ema"])
+def test_hot_keys_are_split(spark, case):
+    """A key with a third of the rows is spread by the adaptive skew join."""
+    n = 60000
+    hot = spark.range(0, n, 1, 8).select(
+        F.col("id").alias("sample_id"), F.lit("neutral").alias("sentiment"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("batch_id"),
+        F.lit(0).cast("long").alias("run_id"), F.rand(1).alias("reward"))
+    hot = hot.withColumn("text", F.concat(F.lit("text number "), F.col("batch_id")))
+    hot = hot.withColumn("step", F.col("batch_id"))
+    pairs = hot.select(F.col("text").alias("orig"), F.lit("x").alias("rewrite"))
+    old = {k: spark.conf.get(k, None) for k in HOT}
+    for k, v in HOT.items():
+        spark.conf.set(k, v)
+    try:
+        df = {"rewrite": lambda: J.external_rewrite(hot, pairs),
+              "label": lambda: J.lookup_label(hot.select(F.col("text").alias("orig"), "reward"),
+                                              hot),
+              "stats": lambda: R.batch_zscore(hot, "reward"),
+              "scores": lambda: L.adversarial_tags(
+                  hot.select("sample_id", F.col("text").alias("orig"), F.col("text").alias("pert"),
+                             F.lit(True).alias("passed")), V.text_scores(hot)),
+              "ema": lambda: R.ema_advantage(hot)}[case]()
+        rows = df.collect()
+        assert len(rows) == n
+        assert "skew=true" in plan(df)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_whole_experiment(spark, tmp_path):
     rows = V.headlines(spark, SF)
     exp = E.Experiment(str(tmp_path), "sf0.01", 200, 150, 20)
