@@ -271,7 +271,7 @@ def _(spark, sf):
 def pair_frame(spark, sf):
     """Pairs with labels of both variants and, measured separately, probabilities."""
     rows = V.holed_probs(spark, sf)
-    clean = P.argmax_label(F.col("p_pert"), K.REWARD_ORDER)
+    clean = P.argmax_label(F.col("p_pert"), K.REWARD_ORDER)  # finite in every row
     return rows.select("sample_id", F.col("sentiment").alias("y_true"), "p_clean", "p_pert",
                        clean.alias("pred_clean"), F.when(
                            F.pmod(V.draw("flip", F.col("sample_id")), F.lit(4)) == 0, "none")

@@ -8,12 +8,14 @@ from checks import sql as S, views as V
 from checks.registry import query
 from checks.sample_queries import HEAD, LIB, library
 from steadytext import constants as K, dictionaries as D
-from steadytext.functions import probs, similarity, text as X
+from steadytext.functions import similarity, text as X
 from steadytext.functions.entities import entity_pattern, entity_types
 from steadytext.operators import library as L, lexicon, sampling
 from steadytext.operators.frames import round6
 
 H = f"WITH {S.HEADLINES}"
+
+
 def T():
     return F.col("text")
 
@@ -22,16 +24,12 @@ def ID():
     return F.col("sample_id")
 
 
-def documents(spark, sf):
-    return V.documents(spark, sf)
-
-
 # ----------------------------------------------------------------- tokens
 
 @query("tokenize_ws", f"""SELECT doc_id AS sample_id, len(t) AS n_words, coalesce(t[1], '') AS first,
 md5(array_to_string(t, chr(1))) AS digest FROM (SELECT doc_id, {S.toks('text')} AS t FROM documents)""")
 def _(spark, sf):
-    d = documents(spark, sf).select("sample_id", X.tokens(T()).alias("t"))
+    d = V.documents(spark, sf).select("sample_id", X.tokens(T()).alias("t"))
     return d.select("sample_id", F.size("t").cast("long").alias("n_words"),
                     F.coalesce(F.get("t", F.lit(0)), F.lit("")).alias("first"),
                     F.md5(F.array_join("t", "\u0001")).alias("digest"))
@@ -41,7 +39,7 @@ def _(spark, sf):
 md5(array_to_string(t, chr(1))) AS digest FROM (SELECT doc_id, list_filter({S.toks('text')},
 lambda w: NOT list_contains({S.strings(D.STOP_WORDS)}, w)) AS t FROM documents)""")
 def _(spark, sf):
-    d = documents(spark, sf).select("sample_id", X.content_tokens(T(), D.STOP_WORDS).alias("t"))
+    d = V.documents(spark, sf).select("sample_id", X.content_tokens(T(), D.STOP_WORDS).alias("t"))
     return d.select("sample_id", F.size("t").cast("long").alias("n_words"),
                     F.md5(F.array_join("t", "\u0001")).alias("digest"))
 
@@ -113,7 +111,7 @@ def _(spark, sf):
 UNION ALL SELECT sample_id, md5(pert) FROM (WITH {S.HEADLINES}
 SELECT sample_id, {S.swap('text')} AS pert FROM headlines)""")
 def _(spark, sf):
-    rows = documents(spark, sf).select("sample_id", "text").unionByName(
+    rows = V.documents(spark, sf).select("sample_id", "text").unionByName(
         V.headlines(spark, sf).select("sample_id", "text"))
     return rows.select("sample_id", F.md5(X.swap_peer(T())).alias("digest"))
 
@@ -134,7 +132,7 @@ def _(spark, sf):
 
 
 def _labelled_pairs(spark, sf):
-    """Headlines and their numeric edits with the scorer's label of both."""
+    """Headlines and their paraphrases with the scorer's label of both."""
     rows = V.headlines(spark, sf).select(
         "sample_id", T().alias("orig"), X.paraphrase_rules(T()).alias("pert"))
     texts = rows.select(F.col("orig").alias("text")).unionByName(
@@ -204,7 +202,7 @@ def _(spark, sf):
 @query("entity_type_set", f"""{H} SELECT doc_id AS sample_id, {S.entities('text')} AS types FROM documents
 UNION ALL SELECT sample_id, {S.entities('text')} FROM headlines""")
 def _(spark, sf):
-    rows = documents(spark, sf).select("sample_id", "text").unionByName(
+    rows = V.documents(spark, sf).select("sample_id", "text").unionByName(
         V.headlines(spark, sf).select("sample_id", "text"))
     return rows.select("sample_id", F.array_join(entity_types(T(), D.GAZETTEER), "|").alias("types"))
 

@@ -9,7 +9,6 @@ from checks.registry import query
 from checks.metric_queries import _cols3, _sql3
 from steadytext import constants as K
 from steadytext.operators import sampling, scoring as M, verbalizer as B
-from steadytext.operators.frames import round6
 
 IDS = "array_to_string(token_ids, '|')"
 
