@@ -138,7 +138,7 @@ def assign_hash_batch(df: DataFrame, n_batches: int, id_col: str = "sample_id")
     return df.withColumn("batch_id", F.pmod(F.xxhash64(id_col), F.lit(n_batches)))
 
 
-def drop_unpaired(df: DataFrame, batch: str = "batch_id", pert: str = "pert") -> DataFrame:
+def drop_unpaired(df: DataFrame, pert: str = "pert") -> DataFrame:
     """Rows that have a perturbed counterpart."""
     return df.filter(F.col(pert).isNotNull())
 
