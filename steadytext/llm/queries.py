@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steadytext.llm import bpe, mixing, simhash
+from steadytext.llm import bpe, language, mixing, quality, simhash, toxicity
+from steadytext.llm.sampling import fold
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +20,31 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's severity; the fit sees labelled documents of folds 1 to 4 only."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    labels = _table(spark, sf, "labels").select("doc_id", "toxic")
+    model = toxicity.fit_toxicity(docs.join(labels, "doc_id").where(fold() != 0))
+    scored = toxicity.severity(docs.withColumn("held_out", fold() == 0), model).drop("text")
+    return scored.withColumn("toxic", (F.col("p_toxic") >= toxicity.REJECT).cast("int"))
+
+
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    labels = _table(spark, sf, "labels").select("doc_id", "quality")
+    model = quality.fit_quality(docs.join(labels, "doc_id").where(fold() != 0))
+    scored = quality.score(docs.withColumn("held_out", fold() == 0), model)
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op6_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    model = language.fit_language(docs.select("doc_id", "text", "lang").where(fold() != 0))
+    found = language.predict(docs.select("doc_id", "text", (fold() == 0).alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"),
+                        F.col("lang_rejected").alias("rejected"))
+
+
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     groups = simhash.near_groups(_table(spark, sf, "documents").select("doc_id", "text"))
     return groups.select("doc_id", simhash.as_hex(F.col("simhash")).alias("fingerprint"),
@@ -34,6 +60,9 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
+    "op6_language": op6_language,
     "op7_simhash": op7_simhash,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
