@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steadytext.llm import bpe, language, mixing, quality, simhash, toxicity
+from steadytext.llm import bpe, fingerprints, language, mixing, quality, simhash, toxicity
 from steadytext.llm.sampling import fold
 
 
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.edited_likeness(_table(spark, sf, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's severity; the fit sees labelled documents of folds 1 to 4 only."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
@@ -60,6 +64,7 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op6_language": op6_language,
