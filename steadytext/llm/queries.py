@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steadytext.llm import bpe, fingerprints, language, mixing, quality, simhash, toxicity
+from steadytext.llm import bpe, fingerprints, language, mixing, quality, simhash, toxicity, wrappers
 from steadytext.llm.sampling import fold
+from steadytext.llm.storage import stored
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -55,6 +56,12 @@ def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
                          "component_id")
 
 
+def op8_html(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _table(spark, sf, "pages")
+    found = wrappers.extract(pages, stored(wrappers.induce(pages)))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.plan_mix(_table(spark, sf, "documents")).drop("source")
 
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
+    "op8_html": op8_html,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
 }
