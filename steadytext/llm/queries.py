@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steadytext.llm import bpe, fingerprints, language, mixing, quality, simhash, toxicity, wrappers
+from steadytext.llm import (bpe, fingerprints, language, lm, mixing, neighbours, quality, simhash, toxicity,
+                            wrappers)
 from steadytext.llm.sampling import fold
 from steadytext.llm.storage import stored
 
@@ -42,6 +43,15 @@ def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op4_lm(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return lm.score(docs, lm.fit(docs))
+
+
+def op5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op6_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     model = language.fit_language(docs.select("doc_id", "text", "lang").where(fold() != 0))
@@ -74,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op4_lm": op4_lm,
+    "op5_neighbours": op5_neighbours,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
     "op8_html": op8_html,
