@@ -18,32 +18,59 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from steadytext.llm.components import components
-from steadytext.llm.scan import pieces, text_bytes
+from steadytext.llm.scan import mix, pieces, text_bytes
 from steadytext.llm.storage import stored
 from steadytext.operators.frames import join_lookup
 
 SEED = 42
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Signed 64-bit SimHash of one text; a text without words has zero."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 (big-endian) of every shingle of a text, repeats included."""
     import xxhash
 
     tokens = text.lower().split()     # bytes: lowers A-Z only, splits at ASCII blanks only
     if not tokens:
-        return 0
+        return np.zeros(0, ">u8")
     joined = b" ".join(tokens)
     end = list(itertools.accumulate((len(t) + 1 for t in tokens), initial=-1))
     step = min(words, len(tokens))
     view, digest = memoryview(joined), xxhash.xxh64_digest
-    hashes = b"".join([digest(view[a + 1:b], SEED) for a, b in zip(end, end[step:])])
-    bits = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([digest(view[a + 1:b], SEED) for a, b in zip(end, end[step:])]),
+                         ">u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit number of the bits that more than half of the hashes set; zero of none."""
+    if not len(hashes):
+        return 0
+    bits = np.frombuffer(hashes.tobytes(), np.uint8).reshape(-1, 8)
     set_ = np.zeros(64, np.int64)
     for at in range(0, len(bits), 1 << 14):
         set_ += np.unpackbits(bits[at:at + (1 << 14)], axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(set_ * 2 > len(bits)).tobytes(), "big", signed=True)
 
 
+def share_majorities(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(part, majority) of the hashes of every share that has any; a hash decides its share."""
+    own = hashes.astype(np.uint64)
+    share = ((mix(own) >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(share, kind="stable")
+    share = share[order]
+    if not len(share):
+        return share, share
+    first = np.flatnonzero(np.r_[True, share[1:] != share[:-1]])
+    bits = np.unpackbits(np.frombuffer(hashes[order].tobytes(), np.uint8).reshape(-1, 8), axis=1)
+    set_ = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    size = np.diff(np.append(first, len(share)))
+    return share[first], np.packbits(set_ * 2 > size[:, None], axis=1).view(">i8").ravel().astype(np.int64)
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    """Signed 64-bit SimHash of one text; a text without words has zero."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, text: str = "text",
                  out: str = "simhash") -> DataFrame:
     """The other columns of ``docs`` with a signed 64-bit fingerprint in place of ``text``.
@@ -89,26 +116,35 @@ def _steps(segments: int, reach: int) -> list[int]:
     return sorted(steps)
 
 
-def close_pairs(values: DataFrame, value: str = "simhash", reach: int = 2,
-                segments: int = 8) -> DataFrame:
+def close_pairs(values: DataFrame, value: str = "simhash", reach: int = 2, segments: int = 8,
+                part: str | None = None) -> DataFrame:
     """Pairs (a, b) of different fingerprints that differ in at most ``reach`` bits, each once.
 
-    ``values`` holds every fingerprint once. Each one asks its own cell and half of the cells
+    ``values`` holds every fingerprint once. With a column ``part`` (a small number from 0),
+    fingerprints are compared within their part only, and it comes first in the result. Each one asks its own cell and half of the cells
     around it (73 in all for 8 segments and 2 bits), so a pair meets once. A fingerprint has at most
     2,080 others within 2 bits, so the pairs grow no faster than the fingerprints. More
     segments ask more cells and meet fewer strangers; the result is the same.
     """
     if not 1 <= segments <= 64 or 64 % segments:
         raise ValueError("segments must divide 64")
+    number = F.lit(0) if part is None else F.col(part)
+    # the part is one more digit in front of the cell's number
+    front = number.cast("long") * F.lit((64 // segments + 2 * reach + 1) ** segments)
     cell = _cell(F.col("a"), segments, reach)
-    asked = values.select(F.col(value).alias("a")).select(
-        "a", F.explode(F.array(*[F.lit(s) for s in _steps(segments, reach)])).alias("step")
-    ).select("a", (cell + F.col("step")).alias("cell"))
-    held = values.select(_cell(F.col(value), segments, reach).alias("cell"),
-                         F.col(value).alias("b"))
+    asked = values.select(F.col(value).alias("a"), number.alias("part"), front.alias("front")).select(
+        "a", "part", "front",
+        F.explode(F.array(*[F.lit(s) for s in _steps(segments, reach)])).alias("step")
+    ).select("a", "part", (F.col("front") + cell + F.col("step")).alias("cell"))
+    held = values.select((front + _cell(F.col(value), segments, reach)).alias("cell"),
+                         number.alias("in_part"), F.col(value).alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach
-    once = (F.col("a") < F.col("b")) | (cell != held["cell"])
-    return asked.join(held, (asked["cell"] == held["cell"]) & near & once).select("a", "b")
+    own = F.col("part").cast("long") * F.lit((64 // segments + 2 * reach + 1) ** segments) + cell
+    once = (F.col("a") < F.col("b")) | (own != held["cell"])
+    pairs = asked.join(held, (asked["cell"] == held["cell"]) & near & once
+                       & (F.col("part") == F.col("in_part")))
+    return pairs.select("a", "b") if part is None else pairs.select(
+        F.col("part").alias(part), "a", "b")
 
 
 def near_groups(docs: DataFrame, words: int = 3, reach: int = 2, segments: int = 8) -> DataFrame:
@@ -130,18 +166,122 @@ def near_groups(docs: DataFrame, words: int = 3, reach: int = 2, segments: int =
     return join_lookup(rows, named, ["simhash"])
 
 
-def keep_one(docs: DataFrame, words: int = 3, reach: int = 2) -> DataFrame:
-    """``docs`` with one document of each group: the one whose doc_id names it.
+def part_fingerprints(docs: DataFrame, words: int = 5, parts: int = 32) -> DataFrame:
+    """(doc_id, digest, simhash, parts): SHA-256 of the text, its fingerprint, and one fingerprint
+    (part, value) for each of ``parts`` shares of its shingles, dealt by their hash.
+
+    Equal shingles fall in the same share in every text, so an edit leaves most shares of a short
+    text as they are, and the shares of a long text drift apart independently: two similar
+    texts are far likelier to have some share within a bit or two than the whole. Empty shares
+    are left out; the whole fingerprint is part ``parts``.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for piece in pieces(batches, "text"):
+            data, offsets = text_bytes(piece.column("text"))
+            raw, at = data.tobytes(), offsets.tolist()
+            digest, whole, part, value, size = [], [], [], [], [0]
+            for a, b in zip(at, at[1:]):
+                hashes = shingle_hashes(raw[a:b], words)
+                digest.append(hashlib.sha256(raw[a:b]).digest())
+                whole.append(majority(hashes))
+                found = share_majorities(hashes, parts)
+                part.append(np.append(found[0], parts))
+                value.append(np.append(found[1], whole[-1]))
+                size.append(size[-1] + len(part[-1]))
+            shares = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.StructArray.from_arrays(
+                [pa.array(np.concatenate(part), pa.int32()),
+                 pa.array(np.concatenate(value), pa.int64())], ["part", "value"]))
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("doc_id"), pa.array(digest, pa.binary()), pa.array(whole, pa.int64()),
+                 shares], ["doc_id", "digest", "simhash", "parts"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, digest binary, simhash long, parts array<struct<part:int,value:long>>")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) of ids whose texts' shingle sets have at least ``least`` in common (Jaccard)."""
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))) \
+        .distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            data, offsets = text_bytes(piece.column("text"))
+            raw, at = data.tobytes(), offsets.tolist()
+            found = [np.unique(shingle_hashes(raw[a:b], words).astype(np.uint64)).tobytes()
+                     for a, b in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("id"), pa.array(found, pa.binary())], ["id", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "x"):
+            good = []
+            for x, y in zip(piece.column("x").to_pylist(), piece.column("y").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = np.intersect1d(x, y, assume_unique=True).size
+                good.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    known = stored(rows.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]))
+    x = known.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    y = known.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    return join_lookup(join_lookup(pairs, x, ["a"], "inner"), y, ["b"], "inner").mapInArrow(
+        compare, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, parts: int = 32,
+                   reach: int = 1, slack: int = 24) -> DataFrame:
+    """(doc_id, digest, component_id): groups of texts with Jaccard similarity of at least ``least``
+    over ``words``-word shingles, every link verified on the texts.
+
+    Candidates come from the fingerprints of the texts' shares: texts with an equal share are
+    compared with its smallest doc_id, and the smallest ids of shares within ``reach`` bits
+    with each other, if their whole fingerprints differ in at most ``slack`` bits. Equal texts are
+    one from the start. No share, however common, makes more candidates than it has texts; the price
+    is that a link inside a group can be missed where no share brings its texts together.
+    Rows without doc_id take no part.
+    """
+    rows = stored(part_fingerprints(docs, words, parts).where("doc_id IS NOT NULL"))
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("simhash").alias("simhash"),
+                                       F.first("parts").alias("parts"))
+    texts = stored(texts)
+    shares = texts.select("id", "simhash", F.inline("parts"))
+    nodes = stored(shares.groupBy("part", "value").agg(
+        F.min(F.struct("id", "simhash")).alias("head")).select(
+        "part", "value", F.col("head.id").alias("head"), F.col("head.simhash").alias("head_simhash")))
+    near = F.bit_count(F.col("simhash").bitwiseXOR(F.col("head_simhash"))) <= slack
+    inside = join_lookup(shares, nodes, ["part", "value"], "inner").where(
+        near & (F.col("id") != F.col("head"))).select(F.col("head").alias("a"), F.col("id").alias("b"))
+    close = stored(close_pairs(nodes.select("part", "value"), "value", reach, part="part"))
+    first = nodes.select("part", F.col("value").alias("a"), F.col("head").alias("id"),
+                         F.col("head_simhash").alias("simhash"))
+    second = nodes.select("part", F.col("value").alias("b"), "head", "head_simhash")
+    across = close.join(first, ["part", "a"]).join(second, ["part", "b"]).where(
+        near & (F.col("id") != F.col("head"))).select(F.col("id").alias("a"), F.col("head").alias("b"))
+    pairs = stored(inside.unionByName(across).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    groups = components(stored(_verified(pairs, docs, words, least)))
+    named = join_lookup(texts.select("digest", "id"),
+                        groups.select(F.col("node").alias("id"), "component"), ["id"]) \
+        .select("digest", F.coalesce("component", "id").alias("component_id"))
+    return join_lookup(rows.select("doc_id", "digest"), named, ["digest"])
+
+
+def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of ``similar_groups``: its smallest doc_id.
 
-    Rows repeating that doc_id are reduced to one. A group in which no row has a doc_id
-    keeps all its rows, as nothing tells them apart.
+    Rows that repeat that doc_id are reduced to one. Rows without a doc_id are all kept, as
+    nothing tells them apart. Null texts are empty, and empty texts are copies of each other.
     """
-    groups = near_groups(docs.select("doc_id", "text"), words, reach)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
-        .select(F.col("doc_id").alias("kept_id")).distinct()
-    with_id = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    return with_id.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(
-        with_id.where("doc_id IS NULL"))
+    groups = similar_groups(docs.select("doc_id", "text"), words, least)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    with_id = docs.where("doc_id IS NOT NULL").join(
+        kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return with_id.unionByName(docs.where("doc_id IS NULL"))
 
 
 def as_hex(value: Column) -> Column:
