@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from steadytext.llm.sampling import sampled_by_class, train_in_one_task
+from steadytext.llm.sampling import labelled_sample, train_in_one_task
 from steadytext.llm.scan import Powers, byte_kinds, pieces
 from steadytext.llm.words import ngram_buckets, per_document
 
@@ -78,15 +78,14 @@ def train(rows: Sequence[tuple[int, bytes]], epochs: int = 4, alpha: float = 0.3
     return {"weight": weight.astype(np.float32), "bias": float(bias)}
 
 
-def fit_quality(labelled: DataFrame, text: str = "text", label: str = "quality",
+def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality",
                 key: str = "doc_id", per_label: int = SAMPLE_PER_LABEL) -> dict:
-    """Fit on about ``per_label`` texts of either label, drawn by a hash of ``key``.
+    """Fit on about ``per_label`` documents of either label, drawn by a hash of ``key``.
 
     Labels other than 0 and 1, and null labels, take no part; a null text is empty.
     """
-    rows = labelled.where(F.col(label).isin(0, 1))
-    sample = sampled_by_class(rows, label, key, per_label)
-    found = sample.select(F.col(label).cast("int").alias(label), text).mapInArrow(
+    rows = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias(label))
+    found = labelled_sample(docs, rows, label, key, text, per_label).mapInArrow(
         lambda batches: _features(batches, text, label), "label int, features binary")
     return train_in_one_task(found, train)
 

@@ -29,16 +29,14 @@ def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's severity; the fit sees labelled documents of folds 1 to 4 only."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
-    labels = _table(spark, sf, "labels").select("doc_id", "toxic")
-    model = toxicity.fit_toxicity(docs.join(labels, "doc_id").where(fold() != 0))
+    model = toxicity.fit_toxicity(docs, _table(spark, sf, "labels").where(fold() != 0))
     scored = toxicity.severity(docs.withColumn("held_out", fold() == 0), model).drop("text")
     return scored.withColumn("toxic", (F.col("p_toxic") >= toxicity.REJECT).cast("int"))
 
 
 def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
-    labels = _table(spark, sf, "labels").select("doc_id", "quality")
-    model = quality.fit_quality(docs.join(labels, "doc_id").where(fold() != 0))
+    model = quality.fit_quality(docs, _table(spark, sf, "labels").where(fold() != 0))
     scored = quality.score(docs.withColumn("held_out", fold() == 0), model)
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 

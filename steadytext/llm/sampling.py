@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from steadytext.llm.storage import stored
+
 
 def fold(key: str = "doc_id", parts: int = 5) -> Column:
     """crc32 of the key as text, modulo ``parts``; null stays null."""
@@ -32,6 +34,21 @@ def sampled_by_class(rows: DataFrame, label: str, key: str, per_class: int,
     return rows.where(place < share)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str,
+                    per_class: int) -> DataFrame:
+    """(label, text) of about ``per_class`` labelled documents of every label.
+
+    The labels are sampled before they meet the documents, so what is broadcast has at most
+    about ``per_class`` rows of every label, and no text is shuffled. Labels without a document, null
+    keys and null labels take no part. The result is a written table.
+    """
+    few = sampled_by_class(labels.select(F.col(key).alias("_key"), F.col(label).alias("_label")),
+                           "_label", "_key", per_class)
+    return stored(docs.select(key, F.col(text).alias("_text")).join(
+        F.broadcast(few), F.col(key) == F.col("_key")).select(
+            F.col("_label").alias(label), F.col("_text").alias(text)))
+
+
 def train_in_one_task(rows: DataFrame, train: Callable):
     """Call ``train`` with the tuples of a bounded table inside one task; return its model.
 

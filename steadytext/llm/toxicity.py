@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from steadytext.llm.sampling import sampled_by_class, train_in_one_task
+from steadytext.llm.sampling import labelled_sample, train_in_one_task
 from steadytext.llm.scan import Powers, byte_kinds, lower_bytes, pieces
 from steadytext.llm.words import per_document, word_parts
 
@@ -34,8 +34,8 @@ def _parts(batches: Iterator[pa.RecordBatch], text: str):
                                                BUCKETS), BUCKETS)
 
 
-def telling_features(labelled: DataFrame, text: str, label: str) -> tuple[np.ndarray, float]:
-    """(buckets, share of label 1): buckets that occur in more texts of label 1 than chance allows, the strongest first.
+def telling_features(labelled: DataFrame, text: str, label: str) -> np.ndarray:
+    """Buckets that occur in more texts of label 1 than chance allows, the strongest first.
 
     Texts are counted per bucket and label: each task counts its own, Spark sums them up.
     """
@@ -56,7 +56,7 @@ def telling_features(labelled: DataFrame, text: str, label: str) -> tuple[np.nda
     total = rows.agg(F.sum(label).alias("ones"), F.count("*").alias("both")).first()
     n1, n = float(total["ones"] or 0), float(total["both"])
     if not 0 < n1 < n:
-        return np.zeros(0, np.int64), float(n1 > 0)
+        return np.zeros(0, np.int64)
     share = n1 / n
     counted = rows.mapInArrow(run, "bucket long, ones long, both long").groupBy("bucket").agg(
         F.sum("ones").alias("k"), F.sum("both").alias("m"))
@@ -65,7 +65,7 @@ def telling_features(labelled: DataFrame, text: str, label: str) -> tuple[np.nda
                 + F.when(zeros > 0, zeros * F.log(zeros / (F.col("m") * (1 - share)))).otherwise(0.0))
     top = counted.where(F.col("k") > 2 * share * F.col("m")).withColumn("gain", gain) \
         .where(F.col("gain") >= EVIDENCE).orderBy(F.desc("gain"), "bucket").limit(FEATURES)
-    return np.array([r["bucket"] for r in top.select("bucket").collect()], np.int64), share
+    return np.array([r["bucket"] for r in top.select("bucket").collect()], np.int64)
 
 
 def counts(docs: DataFrame, features: np.ndarray, text: str = "text",
@@ -159,16 +159,17 @@ def fit_ordinal(data: Sequence[tuple[int, np.ndarray, np.ndarray]], n_features:
     return {"weight": par[:n_features].copy(), "thresholds": thresholds()}
 
 
-def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic",
+def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic",
                  key: str = "doc_id", per_label: int = SAMPLE_PER_LABEL) -> dict:
-    """Features from all labelled rows; weights from about ``per_label`` rows of either label.
+    """Fit on about ``per_label`` documents of either label, weighed as all labels are shared out.
 
     Labels other than 0 and 1, null labels and null texts take no part.
     """
-    rows = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull())
-    features, share = telling_features(rows, text, label)
-    sample = sampled_by_class(rows, label, key, per_label)
-    found = counts(sample.select(F.col(label).cast("int").alias(label), text), features, text)
+    rows = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias(label))
+    share = rows.agg(F.avg(label)).first()[0]
+    sample = labelled_sample(docs.where(F.col(text).isNotNull()), rows, label, key, text, per_label)
+    features = telling_features(sample, text, label)
+    found = counts(sample.select(label, text), features, text)
     model = train_in_one_task(found, lambda data: fit_ordinal(grades(data), len(features), share))
     return model | {"features": features}
 
