@@ -31,7 +31,7 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     model = toxicity.fit_toxicity(docs, _table(spark, sf, "labels").where(fold() != 0))
     scored = toxicity.severity(docs.withColumn("held_out", fold() == 0), model).drop("text")
-    return scored.withColumn("toxic", (F.col("p_toxic") >= toxicity.REJECT).cast("int"))
+    return scored.withColumn("toxic", F.col("rejected").cast("int")).drop("rejected")
 
 
 def op3_quality(spark: SparkSession, sf: str) -> DataFrame:

@@ -24,7 +24,8 @@ BUCKETS = 1 << 22
 SAMPLE_PER_LABEL = 3000
 EVIDENCE = 25.0        # log-likelihood ratio from which a feature counts
 FEATURES = 4096
-REJECT = 0.5
+CLEAN_KEPT = 0.9999    # share of clean texts of the fit below the rejection threshold
+MARGIN = 1.1           # the threshold stands so far above them
 
 
 def _parts(batches: Iterator[pa.RecordBatch], text: str):
@@ -115,12 +116,13 @@ def fit_ordinal(data: Sequence[tuple[int, np.ndarray, np.ndarray]], n_features:
 
     data: (grade, feature numbers, counts); grades run from 0. A feature's value is
     log2(1 + count). ``share``: the share of grades above 0 in the population, if the rows are
-    sampled otherwise; they are weighed to match it. Thresholds are kept in order by positive gaps. Without rows, or with one
+    sampled otherwise; they are weighed to match it. ``cut`` is the probability of any toxicity from
+    which a text is rejected: just above nearly all clean texts of the fit. Thresholds are kept in order by positive gaps. Without rows, or with one
     grade only, nothing is ever severe.
     """
     top = max((g for g, _, _ in data), default=0)
     if top == 0:
-        return {"weight": np.zeros(n_features), "thresholds": np.full(1, 35.0)}
+        return {"weight": np.zeros(n_features), "thresholds": np.full(1, 35.0), "cut": 0.5}
     grade = np.array([g for g, _, _ in data])
     row = np.repeat(np.arange(len(data)), [len(i) for _, i, _ in data])
     col = np.concatenate([i for _, i, _ in data]).astype(np.int64)
@@ -156,7 +158,9 @@ def fit_ordinal(data: Sequence[tuple[int, np.ndarray, np.ndarray]], n_features:
         g[:n_features] += l2 * par[:n_features]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         par -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8) * 0.2
-    return {"weight": par[:n_features].copy(), "thresholds": thresholds()}
+    clean = sigmoid(np.bincount(row, par[col] * value, len(data)) - par[n_features])[grade == 0]
+    cut = min(0.5, MARGIN * float(np.quantile(clean, CLEAN_KEPT))) if len(clean) else 0.5
+    return {"weight": par[:n_features].copy(), "thresholds": thresholds(), "cut": cut}
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic",
@@ -175,13 +179,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label:
 
 
 def severity(docs: DataFrame, model: dict, text: str = "text", expected: str = "severity",
-             toxic: str = "p_toxic") -> DataFrame:
-    """``docs`` with the expected severity grade and the probability of any toxicity.
+             toxic: str = "p_toxic", rejected: str = "rejected") -> DataFrame:
+    """``docs`` with the expected severity grade, the probability of any toxicity, and whether it
+    reaches the model's cut.
 
     A null or empty text has no feature, like any text without a telling word. Columns of
     these names are replaced.
     """
-    kept = [c for c in docs.columns if c not in (expected, toxic)]
+    kept = [c for c in docs.columns if c not in (expected, toxic, rejected)]
     schema = StructType([docs.schema[c] for c in kept] + [
         StructField(expected, DoubleType(), False), StructField(toxic, DoubleType(), False)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -204,4 +209,5 @@ def severity(docs: DataFrame, model: dict, text: str = "text", expected: str = "
                 [piece.column(c) for c in kept]
                 + [pa.array(above.sum(1)), pa.array(above[:, 0])], [*kept, expected, toxic])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(run, schema).withColumn(
+        rejected, F.col(toxic) >= F.lit(model["cut"]))
