@@ -117,7 +117,8 @@ def embed(texts: pa.Array, walks: list[Walk]) -> np.ndarray:
         passed = step - met[pair]
         at = 2 * (pair - first[full][:, None])
         at += passed >= walk.stay[met[pair] & (PHASES - 1), kind[2 * pair]]
-        gone = at >= n[full][:, None]                       # the walk has left the text
+        whole = walk.two[((met[pair] & (PHASES - 1)) << 10) + pairs[pair]]
+        gone = (at >= n[full][:, None]) | (passed >= whole)  # the walk has left the text
         here = np.minimum(at, n[full][:, None] - 1) + bounds[full][:, None]
         end = bounds[full + 1][:, None]
         # a step shows the character it reads and the two after it, as one byte

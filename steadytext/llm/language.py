@@ -125,7 +125,8 @@ def train(rows: Sequence[tuple[str, bytes]], width: int = 10, epochs: int = 8, r
     model["scale"] = float(min(scales, key=lambda s: -log_p(s)[at, y].mean())) if len(y) else 1.0
     true = np.sort(np.exp(log_p(model["scale"])[at, y]))
     below = int(reject_share * (len(true) + 1))
-    model["threshold"] = float(true[below - 1]) if below else 0.0
+    # a language that is likelier than all others together is never rejected
+    model["threshold"] = min(0.5, float(true[below - 1])) if below else 0.0
     return model
 
 
