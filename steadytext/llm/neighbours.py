@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SHARD_ROWS = 4096
 BLOCK_ROWS = 512
-LEAF = 32
+LEAF = 64
 FACTOR = 0.25        # recall 0.99 on almost uniform 64-dimensional vectors
 
 
@@ -52,33 +52,40 @@ class Tree:
         self.nodes[at] = (vantage, parts)
         return at
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float):
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float,
+               spare: int = 27):
         """Per query, rows and cosines of its k nearest found, the query's own id left out.
 
-        Cosines are taken in double precision from the original vectors, row by row, so equal
-        vectors have equal cosines; ties go to the smaller id. Also the share of vectors seen.
+        The walk keeps ``k + spare`` candidates of every query by matrix products. Their cosines
+        are then taken in double precision from the original vectors, row by row, so equal
+        vectors have equal cosines; ties go to the smaller id. A query whose spare places are
+        all taken by such ties is asked again with twice the places. ``seen`` is then the share
+        of vectors looked at.
         """
         norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
         unit = queries / norms[:, None]
-        kept = [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
+        places = min(k + spare, len(self.ids))
+        best = np.full((len(queries), places), -np.inf)
+        rows = np.zeros((len(queries), places), np.int64)
         reach = np.full(len(queries), np.inf)        # distance of the k-th nearest so far
         self.seen = 0
 
-        def offer(rows: np.ndarray, asking: np.ndarray) -> None:
-            self.seen += len(rows) * len(asking)
-            far2 = 2 - 2 * (unit[asking] @ self.unit[rows].T)
-            near = far2 <= (reach[asking] ** 2 + 1e-9)[:, None]
-            near &= self.ids[rows][None, :] != own[asking][:, None]
-            for i in np.flatnonzero(near.any(1)):
-                q, new = asking[i], rows[near[i]]
-                cosine = np.einsum("ij,j->i", self.vectors[new], queries[q]) / (
-                    self.norms[new] * norms[q])
-                row = np.concatenate([kept[q][0], new])
-                value = np.concatenate([kept[q][1], cosine])
-                best = np.lexsort((self.ids[row], -value))[:k]
-                kept[q] = row[best], value[best]
-                if len(best) == k:
-                    reach[q] = np.sqrt(max(2 - 2 * value[best[-1]], 0))
+        def offer(new: np.ndarray, asking: np.ndarray) -> None:
+            self.seen += len(new) * len(asking)
+            near = unit[asking] @ self.unit[new].T
+            near[self.ids[new][None, :] == own[asking][:, None]] = -np.inf
+            better = (near > best[asking].min(1)[:, None]).any(1)
+            asking, near = asking[better], near[better]
+            if not len(asking):
+                return
+            value = np.concatenate([best[asking], near], axis=1)
+            row = np.concatenate([rows[asking], np.broadcast_to(new, near.shape)], axis=1)
+            keep = np.argpartition(-value, places - 1, axis=1)[:, :places]
+            best[asking] = value = np.take_along_axis(value, keep, 1)
+            rows[asking] = np.take_along_axis(row, keep, 1)
+            if places >= k:
+                last = -np.partition(-value, k - 1, axis=1)[:, k - 1]
+                reach[asking] = np.sqrt(np.maximum(2 - 2 * last, 0))
 
         def visit(node: int, asking: np.ndarray) -> None:
             if not len(asking):
@@ -100,8 +107,21 @@ class Tree:
                     visit(child, asking[now])
 
         visit(0, np.arange(len(queries)))
-        self.seen /= max(len(queries) * len(self.ids), 1)
-        return kept
+        share = self.seen / max(len(queries) * len(self.ids), 1)
+        out = []
+        for q in range(len(queries)):
+            row = rows[q][np.isfinite(best[q])]
+            cosine = np.einsum("ij,j->i", self.vectors[row], queries[q]) / (
+                self.norms[row] * norms[q])
+            order = np.lexsort((self.ids[row], -cosine))
+            row, cosine = row[order], cosine[order]
+            if places < len(self.ids) and len(row) == places and \
+                    cosine[-1] >= cosine[k - 1] - 1e-9:
+                out += self.search(queries[q:q + 1], own[q:q + 1], k, factor, 2 * spare)
+            else:
+                out.append((row[:k], cosine[:k]))
+        self.seen = share
+        return out
 
 
 def usable(vector: Column) -> Column:
