@@ -107,7 +107,9 @@ def train(rows: Sequence[tuple[str, bytes]], width: int = 10, epochs: int = 8, r
             p /= p.sum()
             p[y] -= 1
             back = head @ p
-            table[place] = rows_ - (step * 25) * np.outer(value, back).astype(np.float32)
+            # a text of few subwords would move its mean too far: its step is shorter
+            most = 0.5 * (step / rate) / float(value @ value)
+            table[place] = rows_ - min(step * 25, most) * np.outer(value, back).astype(np.float32)
             head -= (step * 0.1) * np.outer(mean, p).astype(np.float32)
             bias -= step * 0.01 * p
     scores = table @ head
