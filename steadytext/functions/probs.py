@@ -13,15 +13,20 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _with_top(scores: Column, body) -> Column:
+    """``body`` of the largest score, which is found once and not for every element."""
+    return F.element_at(F.transform(F.array(F.array_max(scores)), body), 1)
+
+
 def softmax(scores: Column) -> Column:
-    shifted = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-    return F.element_at(F.transform(F.array(_sum(shifted)), lambda total: F.transform(
-        shifted, lambda e: e / total)), 1)
+    shifted = _with_top(scores, lambda top: F.transform(scores, lambda x: F.exp(x - top)))
+    return F.element_at(F.transform(F.array(shifted), lambda e: F.element_at(F.transform(
+        F.array(_sum(e)), lambda total: F.transform(e, lambda x: x / total)), 1)), 1)
 
 
 def logsumexp(scores: Column) -> Column:
-    top = F.array_max(scores)
-    return top + F.ln(_sum(F.transform(scores, lambda x: F.exp(x - top))))
+    return _with_top(scores, lambda top: top + F.ln(_sum(F.transform(
+        scores, lambda x: F.exp(x - top)))))
 
 
 def reorder(by_label: Column, order: Sequence[str]) -> Column:

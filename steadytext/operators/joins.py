@@ -35,8 +35,12 @@ def join_pairs(rows: DataFrame, pairs: DataFrame, text: str = "text") -> DataFra
 
 
 def keep_known(pairs: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
-    """Pairs whose source text is among the rows."""
-    return pairs.join(rows.select(F.col(text).alias("orig")), "orig", "left_semi")
+    """Pairs whose source text is among the rows.
+
+    The texts are made distinct first, so a text held by very many rows counts once.
+    """
+    known = rows.select(F.col(text).alias("orig")).filter("orig IS NOT NULL").distinct()
+    return join_lookup(pairs, known, ["orig"], "inner").select(*pairs.columns)
 
 
 def drop_used(rows: DataFrame, used: DataFrame, id_col: str = "sample_id") -> DataFrame:

@@ -6,6 +6,7 @@ arrays in the reward label order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -173,8 +174,12 @@ def group_advantage(df: DataFrame, value: str = "reward", keys: Sequence[str] =
         (F.col(value) - F.col("_mean")) / (F.coalesce("_std", F.lit(0.0)) + eps)).alias(out))
 
 
-_CHUNK = 512       # steps per chunk: 0.9^-512 stays far inside the double range
-_LOOKBACK = 350    # 0.9^350 < 1e-16, so older chunks cannot change a double
+_FOLD = 256        # chunks folded into one at every level
+
+
+def _rows_per_chunk(decay: float) -> int:
+    """So many steps that ``decay`` to the minus that power stays far inside the double range."""
+    return max(1, min(512, int(200 / -math.log10(decay))))
 
 
 def ema_by_step(means: DataFrame, value: str = "mean_reward", run: str = "run_id",
@@ -182,35 +187,77 @@ def ema_by_step(means: DataFrame, value: str = "mean_reward", run: str = "run_id
                 out: str = "baseline") -> DataFrame:
     """b = decay * b + (1 - decay) * value over the steps of a run, starting at 0.
 
-    ``means`` has one row per (run, step), integer steps. The recurrence is
-    linear, so it is solved per chunk of steps and the chunk ends are carried
-    over: a run of any length is spread over many tasks, and only one row per
-    chunk meets the window over a whole run.
+    ``means`` has one row per (run, step), integer steps with any spacing; ``decay`` is in
+    [0, 1). The recurrence is linear: a chunk of steps turns what comes in, b, into
+    a * b + e. Chunks of chunks are folded the same way until one is left, and what comes
+    into each chunk is handed down again, so no task sees more than one chunk and none is
+    left out. The number of levels follows the range of steps, read first.
     """
-    chunked = means.withColumn("_chunk", F.floor(F.col(step) / _CHUNK))
-    ordered = Window.partitionBy(run, "_chunk").orderBy(step)
+    if not 0 <= decay < 1:
+        raise ValueError("decay must be in [0, 1)")
+    if decay == 0:
+        return means.withColumn(out, F.col(value).cast("double"))
+    low, high = means.agg(F.min(step), F.max(step)).first()
+    size = _rows_per_chunk(decay)
+    place = F.col(step) - F.lit(low if low is not None else 0)
+    chunked = means.withColumn("_chunk0", F.floor(place / size))
+    ordered = Window.partitionBy(run, "_chunk0").orderBy(step)
     # value_i * decay^-i summed up to i, then scaled back by decay^i
     local = (chunked.withColumn("_i", F.row_number().over(ordered))
              .withColumn("_acc", F.sum(F.col(value) * F.pow(F.lit(decay), -F.col("_i")))
                          .over(ordered))
              .withColumn("_local", (1 - decay) * F.col("_acc")
                          * F.pow(F.lit(decay), F.col("_i"))))
-    ends = local.groupBy(run, "_chunk").agg(
-        F.max("_i").alias("_len"), F.max_by("_local", "_i").alias("_end"))
-    before = Window.partitionBy(run).orderBy("_chunk").rowsBetween(-_LOOKBACK, -1)
-    carried = ends.select(run, "_chunk", F.aggregate(
-        F.collect_list(F.struct("_len", "_end")).over(before), F.lit(0.0),
-        lambda b, e: b * F.pow(F.lit(decay), e["_len"]) + e["_end"]).alias("_carry"))
-    return local.join(carried, [run, "_chunk"]).select(*means.columns, (
-        F.col("_local") + F.col("_carry") * F.pow(F.lit(decay), F.col("_i"))).alias(out))
+    chunks = local.groupBy(run, "_chunk0").agg(
+        F.pow(F.lit(decay), F.max("_i")).alias("_a"), F.max_by("_local", "_i").alias("_e"))
+    last = 0 if low is None else (high - low) // size
+    carried = _carry_in(chunks.withColumnRenamed("_chunk0", "_chunk"), run, last)
+    carried = carried.select(F.col(run).alias("_run"), F.col("_chunk").alias("_of"), "_in")
+    return local.join(carried, local[run].eqNullSafe(F.col("_run"))
+                      & (F.col("_chunk0") == F.col("_of"))).select(*means.columns, (
+        F.col("_local") + F.col("_in") * F.pow(F.lit(decay), F.col("_i"))).alias(out))
+
+
+def _carry_in(chunks: DataFrame, run: str, last: int) -> DataFrame:
+    """(run, _chunk, _in): what comes into every chunk of (run, _chunk, _a, _e).
+
+    ``last`` is the highest chunk number. ``_FOLD`` chunks at a time meet in one row.
+    """
+    entry = F.sort_array(F.collect_list(F.struct("_chunk", "_a", "_e")))
+    groups = chunks.groupBy(run, F.floor(F.col("_chunk") / _FOLD).alias("_group")).agg(
+        entry.alias("_parts"))
+    # for every chunk of the group: a and e of all chunks before it in the group
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("e"))
+    folded = F.aggregate(
+        "_parts", F.array(start), lambda done, c: F.concat(done, F.array(F.struct(
+            (F.element_at(done, -1)["a"] * c["_a"]).alias("a"),
+            (F.element_at(done, -1)["e"] * c["_a"] + c["_e"]).alias("e")))))
+    groups = groups.withColumn("_folded", folded)
+    if last < _FOLD:
+        into = groups.withColumn("_in", F.lit(0.0))
+    else:
+        whole = groups.select(run, F.col("_group").alias("_chunk"),
+                              F.element_at("_folded", -1)["a"].alias("_a"),
+                              F.element_at("_folded", -1)["e"].alias("_e"))
+        above = _carry_in(whole, run, last // _FOLD).select(
+            F.col(run).alias("_run"), F.col("_chunk").alias("_of"), "_in")
+        into = groups.join(above, groups[run].eqNullSafe(F.col("_run"))
+                           & (F.col("_group") == F.col("_of")))
+    parts = F.zip_with("_parts", F.slice("_folded", 1, F.size("_parts")), lambda c, f: F.struct(
+        c["_chunk"].alias("_chunk"), (f["a"] * F.col("_in") + f["e"]).alias("_in")))
+    return into.select(run, F.inline(parts))
 
 
 def ema_advantage(df: DataFrame, value: str = "reward", run: str = "run_id",
                   step: str = "step", decay: float = K.EMA_DECAY) -> DataFrame:
-    """Reward minus the running baseline, which already contains the step itself."""
+    """Reward minus the running baseline, which already contains the step itself.
+
+    A row without run or step has no baseline: it is kept, with null in both columns.
+    """
     means = df.groupBy(run, step).agg(F.avg(value).alias("mean_reward"))
-    base = ema_by_step(means, "mean_reward", run, step, decay)
-    return join_lookup(df, base, [run, step], "inner").select(
+    base = ema_by_step(means.filter(F.col(run).isNotNull() & F.col(step).isNotNull()),
+                       "mean_reward", run, step, decay)
+    return join_lookup(df, base, [run, step]).select(
         *df.columns, "baseline", (F.col(value) - F.col("baseline")).alias("advantage"))
 
 

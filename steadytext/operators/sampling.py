@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from steadytext import constants as K
 from steadytext.functions.hashing import digest, wide_draw
+from steadytext.operators.frames import join_lookup
 
 BUCKET_DIGITS = 4  # 65,536 buckets per class: bounds the bucket table
 
@@ -57,15 +58,7 @@ def split_stratified(df: DataFrame, n_train: int = K.TRAIN_PER_CLASS,
     """
     need = n_train + n_test
     found = _buckets(df, by, labels, id_col, seed)
-    # one row per expected class, also for a class without rows, so that the check sees it
-    totals = found.agg(*[F.max(F.when(F.col(by) == x, F.col("_total"))).alias(f"_t{i}")
-                         for i, x in enumerate(labels)])
-    too_small = F.raise_error(F.concat(F.lit("class too small for the split: "), F.col(by)))
-    sizes = totals.select(F.inline(F.array(*[
-        F.struct(F.lit(x).alias(by), F.coalesce(f"_t{i}", F.lit(0)).alias("_rows"))
-        for i, x in enumerate(labels)]))).select(by, F.when(
-            F.col("_rows") >= need, F.col("_rows")).otherwise(too_small.cast("long"))
-            .alias("_rows"))
+    sizes = _checked_sizes(found, need, by, labels)
     wanted = (found.join(sizes, by)
               .filter((F.col("_before") < need) & (F.col("_rows") >= need))
               .select(by, "_bucket", "_before"))
@@ -75,6 +68,49 @@ def split_stratified(df: DataFrame, n_train: int = K.TRAIN_PER_CLASS,
             .select(*df.columns, split.alias("split")))
 
 
+CELLS = 1 << 16    # equal shares of a class's ranks, to find a rank's bucket by an equi-join
+
+
+def _checked_sizes(found: DataFrame, need: int, by: str, labels: Sequence[str]) -> DataFrame:
+    """(by, _rows) of every expected class; fails where a class, also an absent one, is too small."""
+    totals = found.agg(*[F.max(F.when(F.col(by) == x, F.col("_total"))).alias(f"_t{i}")
+                         for i, x in enumerate(labels)])
+    too_small = F.raise_error(F.concat(F.lit("class too small for the split: "), F.col(by)))
+    return totals.select(F.inline(F.array(*[
+        F.struct(F.lit(x).alias(by), F.coalesce(f"_t{i}", F.lit(0)).alias("_rows"))
+        for i, x in enumerate(labels)]))).select(by, F.when(
+            F.col("_rows") >= need, F.col("_rows")).otherwise(too_small.cast("long"))
+            .alias("_rows"))
+
+
+def _draws(spark, sizes: DataFrame, n: int, skip: int, seed, by: str,
+           labels: Sequence[str]) -> DataFrame:
+    """(by, _rank, draws): the drawn ranks, each with the numbers of its draws."""
+    each = spark.range(n).select(
+        F.col("id").cast("int").alias("draw"), F.explode(F.array(*map(F.lit, labels))).alias(by))
+    rank = F.pmod(wide_draw(seed, by, "draw"), F.col("_rows") - skip) + 1 + skip
+    return each.join(sizes, by).select(by, "draw", rank.alias("_rank")).groupBy(by, "_rank").agg(
+        F.collect_list("draw").alias("draws"))
+
+
+def _buckets_of(draws: DataFrame, found: DataFrame, by: str) -> DataFrame:
+    """(by, _bucket, _before) of the buckets that hold a drawn rank.
+
+    Ranks and buckets meet on the cell of the class's ranks that they share, and the exact range
+    is tested then.
+    """
+    size = F.ceil(F.col("_total") / CELLS)
+    spans = found.select(by, "_bucket", "_before", "_n", F.explode(F.sequence(
+        F.floor(F.col("_before") / size), F.floor((F.col("_before") + F.col("_n") - 1) / size)))
+        .alias("_cell"))
+    totals = found.groupBy(by).agg(F.max("_total").alias("_total"))
+    asked = draws.join(totals, by).select(
+        by, "_rank", F.floor((F.col("_rank") - 1) / size).alias("_cell"))
+    return spans.join(asked, [by, "_cell"]).filter(
+        (F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_n"))) \
+        .select(by, "_bucket", "_before").distinct()
+
+
 def sample_with_replacement(df: DataFrame, n: int = K.EVAL_PER_CLASS, seed=K.EVAL_SEED,
                             skip: int = 0, order_seed=K.SPLIT_SEED, by: str = "sentiment",
                             id_col: str = "sample_id",
@@ -83,35 +119,42 @@ def sample_with_replacement(df: DataFrame, n: int = K.EVAL_PER_CLASS, seed=K.EVA
 
     A draw is a random rank, so only the buckets holding drawn ranks are
     numbered. ``skip`` leaves out the first ranks of ``order_seed``: with
-    ``skip = n_train + n_test`` the rows not used by ``split_stratified``.
+    ``skip = n_train + n_test`` the rows not used by ``split_stratified``. Fails when a class,
+    also an absent one, has no row left.
     """
     found = _buckets(df, by, labels, id_col, order_seed)
-    totals = found.groupBy(by).agg((F.max("_total") - skip).alias("_left"))
-    draws = (totals.filter("_left > 0")
-             .select(by, "_left", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
-             .select(by, "draw", (F.pmod(wide_draw(seed, by, "draw"), F.col("_left"))
-                                  + 1 + skip).alias("_rank")))
-    # len(labels) * n draws against the bucket table: both sides bounded
-    placed = found.join(F.broadcast(draws), by).filter(
-        (F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_n")))
-    wanted = placed.select(by, "_bucket", "_before").distinct()
+    sizes = _checked_sizes(found, skip + 1, by, labels)
+    draws = _draws(df.sparkSession, sizes, n, skip, seed, by, labels)
+    wanted = _buckets_of(draws, found, by)
     return (_ranked(df, wanted, by, labels, id_col, order_seed)
-            .join(F.broadcast(draws), [by, "_rank"])
-            .select(*df.columns, "draw"))
+            .join(draws, [by, "_rank"])
+            .select(*df.columns, F.explode("draws").alias("draw")))
 
 
 def experiment_split(df: DataFrame, n_train: int = K.TRAIN_PER_CLASS,
                      n_test: int = K.TEST_PER_CLASS, n_eval: int = K.EVAL_PER_CLASS,
-                     seed=K.SPLIT_SEED, eval_seed=K.EVAL_SEED, **kw) -> DataFrame:
+                     seed=K.SPLIT_SEED, eval_seed=K.EVAL_SEED, by: str = "sentiment",
+                     id_col: str = "sample_id", labels: Sequence[str] = K.LABELS) -> DataFrame:
     """Train, test and eval rows in one frame, marked by ``split``.
 
-    ``draw`` is null but for eval rows, which may repeat.
+    ``draw`` is null but for eval rows, which may repeat. The three parts share one seeded
+    order, one table of buckets and one ranked pass over the rows: two scans.
     """
-    chosen = split_stratified(df, n_train, n_test, seed, **kw)
-    evals = sample_with_replacement(df, n_eval, eval_seed, skip=n_train + n_test,
-                                    order_seed=seed, **kw)
-    return chosen.withColumn("draw", F.lit(None).cast("int")).unionByName(
-        evals.withColumn("split", F.lit("eval")))
+    need = n_train + n_test
+    found = _buckets(df, by, labels, id_col, seed)
+    sizes = _checked_sizes(found, need + (n_eval > 0), by, labels)
+    first = found.join(sizes, by).filter(
+        (F.col("_before") < need) & (F.col("_rows") >= need)).select(by, "_bucket", "_before")
+    draws = _draws(df.sparkSession, sizes, n_eval, need, eval_seed, by, labels)
+    wanted = first.unionByName(_buckets_of(draws, found, by)).distinct()
+    ranked = join_lookup(_ranked(df, wanted, by, labels, id_col, seed), draws, [by, "_rank"])
+    none = F.lit(None).cast("int")
+    split = F.when(F.col("_rank") <= n_test, "test").otherwise("train")
+    own = F.when(F.col("_rank") <= need,
+                 F.array(F.struct(none.alias("draw"), split.alias("split"))))
+    evals = F.transform("draws", lambda d: F.struct(d.alias("draw"), F.lit("eval").alias("split")))
+    return ranked.select(*df.columns, F.inline(F.coalesce(own, evals))).select(
+        *df.columns, "split", "draw")
 
 
 def with_shuffle_key(df: DataFrame, seed=K.SHUFFLE_SEED, id_col: str = "sample_id") -> DataFrame:
@@ -133,9 +176,22 @@ def assign_minibatch(df: DataFrame, batch_size: int, id_col: str = "sample_id")
     return df.withColumn("batch_id", F.floor(F.col(id_col) / batch_size).cast("long"))
 
 
-def assign_hash_batch(df: DataFrame, n_batches: int, id_col: str = "sample_id") -> DataFrame:
+def assign_hash_batch(df: DataFrame, n_batches: int, id_col: str = "sample_id",
+                      seed=0) -> DataFrame:
     """Batches of varying size for ids that are not dense."""
-    return df.withColumn("batch_id", F.pmod(F.xxhash64(id_col), F.lit(n_batches)))
+    return df.withColumn("batch_id", F.pmod(wide_draw(seed, id_col), F.lit(n_batches)))
+
+
+def assign_exact_batch(df: DataFrame, batch_size: int, id_col: str = "sample_id",
+                       seed=0) -> DataFrame:
+    """Batches of exactly ``batch_size`` rows, the last one aside, for any ids, in seeded order.
+
+    Ranks come from counted buckets as for the splits, so there is no window over all rows.
+    """
+    one = df.withColumn("_all", F.lit("all"))
+    wanted = _buckets(one, "_all", ["all"], id_col, seed).select("_all", "_bucket", "_before")
+    return _ranked(one, wanted, "_all", ["all"], id_col, seed).select(
+        *df.columns, F.floor((F.col("_rank") - 1) / batch_size).cast("long").alias("batch_id"))
 
 
 def drop_unpaired(df: DataFrame, pert: str = "pert") -> DataFrame:

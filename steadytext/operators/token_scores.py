@@ -10,17 +10,23 @@ from steadytext import constants as K
 from steadytext.functions.probs import logsumexp, softmax
 
 
+_STEP = 64.0       # exp stays far inside the double range within one step
+
+
 def logsumexp_by(scores: DataFrame, keys: Sequence[str], value: str = "logit",
                  out: str = "score") -> DataFrame:
-    """Stable log-sum-exp per group: subtract the group maximum before ``exp``.
+    """Log-sum-exp per group in one aggregate of the long table.
 
-    Both aggregates group by the same keys, so the second one reuses the
-    partitioning of the join and its maxima arrive combined on the map side.
+    The sum is kept in steps of ``_STEP``: scores are grouped by the step they fall in,
+    added up below that step's own bound, which cannot overflow, and the few sums of a
+    group are put together by their largest.
     """
-    top = scores.groupBy(*keys).agg(F.max(value).alias("_top"))
-    shifted = scores.join(top, list(keys)).groupBy(*keys).agg(
-        F.max("_top").alias("_top"), F.sum(F.exp(F.col(value) - F.col("_top"))).alias("_sum"))
-    return shifted.select(*keys, (F.col("_top") + F.ln("_sum")).alias(out))
+    level = F.ceil(F.col(value) / _STEP) * _STEP
+    parts = scores.groupBy(*keys, level.alias("_level")).agg(
+        F.sum(F.exp(F.col(value) - level)).alias("_sum"))
+    return parts.groupBy(*keys).agg(F.collect_list(
+        F.col("_level") + F.ln("_sum")).alias("_parts")).select(
+            *keys, logsumexp(F.col("_parts")).alias(out))
 
 
 def label_scores(token_scores: DataFrame, verbalizer: DataFrame,
@@ -28,7 +34,7 @@ def label_scores(token_scores: DataFrame, verbalizer: DataFrame,
     """Score per (id, label): log-sum-exp over the label's tokens.
 
     ``verbalizer(label, token_id)`` is usually small enough for Spark to broadcast it
-    by its measured size.
+    by its measured size. An (id, label) without any token has no row.
     """
     hits = token_scores.join(verbalizer, "token_id")
     return logsumexp_by(hits, [id_col, "label"])
@@ -36,10 +42,18 @@ def label_scores(token_scores: DataFrame, verbalizer: DataFrame,
 
 def label_probs(token_scores: DataFrame, verbalizer: DataFrame,
                 order: Sequence[str] = K.REWARD_ORDER, id_col: str = "sample_id") -> DataFrame:
-    """Class probabilities in ``order``; a label without tokens scores -1e9."""
-    wide = (label_scores(token_scores, verbalizer, id_col)
-            .groupBy(id_col).pivot("label", list(order)).agg(F.first("score")))
-    scores = F.array(*[F.coalesce(F.col(x), F.lit(K.EMPTY_LABEL_SCORE)) for x in order])
+    """Class probabilities in ``order`` of every id; a label without tokens scores -1e9.
+
+    An id none of whose tokens belongs to a label gets equal probabilities. The scores of
+    an id that matter, at most one per token of the verbalizer, meet in one row.
+    """
+    hits = token_scores.join(verbalizer, "token_id", "left")
+    score = F.col("logit").cast("double")
+    wide = hits.groupBy(id_col).agg(*[
+        F.collect_list(F.when(F.col("label") == x, score)).alias(f"_s{i}")
+        for i, x in enumerate(order)])
+    scores = F.array(*[F.when(F.size(f"_s{i}") > 0, logsumexp(F.col(f"_s{i}")))
+                       .otherwise(F.lit(K.EMPTY_LABEL_SCORE)) for i in range(len(order))])
     return wide.select(id_col, scores.alias("_scores")).select(
         id_col, softmax(F.col("_scores")).alias("probs"))
 
@@ -61,13 +75,14 @@ def renormalised_label_probs(token_scores: DataFrame, label_tokens: dict[str, in
                              order: Sequence[str] = K.SCORER_ORDER,
                              id_col: str = "sample_id") -> DataFrame:
     """Softmax over the whole vocabulary, cut to one token per label, rescaled to 1."""
-    top = token_scores.groupBy(id_col).agg(F.max("logit").alias("_top"))
-    weight = F.exp(F.col("logit") - F.col("_top"))
-    parts = [F.sum(F.when(F.col("token_id") == label_tokens[x], weight).otherwise(0.0))
-             for x in order]
-    sums = token_scores.join(top, id_col).groupBy(id_col).agg(
-        F.sum(weight).alias("_all"), F.array(*parts).alias("_parts"))
-    p = F.transform("_parts", lambda x: x / F.col("_all"))
-    return sums.select(id_col, p.alias("_p")).select(id_col, F.transform(
+    parts = [F.max(F.when(F.col("token_id") == label_tokens[x], F.col("logit"))).alias(f"_l{i}")
+             for i, x in enumerate(order)]
+    picked = token_scores.filter(F.col("token_id").isin(list(label_tokens.values()))) \
+        .groupBy(id_col).agg(*parts)
+    whole = logsumexp_by(token_scores, [id_col], out="_whole")
+    joined = whole.join(picked, id_col, "left")
+    p = F.array(*[F.coalesce(F.exp(F.col(f"_l{i}") - F.col("_whole")), F.lit(0.0))
+                  for i in range(len(order))])
+    return joined.select(id_col, p.alias("_p")).select(id_col, F.transform(
         "_p", lambda x: x / F.greatest(F.aggregate("_p", F.lit(0.0), lambda a, v: a + v),
                                        F.lit(K.PROB_FLOOR))).alias("probs"))
