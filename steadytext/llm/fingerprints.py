@@ -26,7 +26,7 @@ PHASES = 256           # the random bits repeat after so many steps
 CLASSES = 32           # characters are hashed to so many classes for the walk
 SEED = 20
 FEW = 24               # fewer texts than this are walked one by one
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 
 class Walk:
