@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from checks import sql as S, views as V
 from checks.registry import query
 from checks.sample_queries import HEAD, LIB, library
+from checks.score_queries import length_encoder
 from steadytext import constants as K, dictionaries as D
 from steadytext.functions import similarity, text as X
 from steadytext.functions.entities import entity_pattern, entity_types
 from steadytext.operators import library as L, lexicon, sampling
 from steadytext.operators.frames import round6
+from steadytext.sources.scratch import scratch_path
 
 H = f"WITH {S.HEADLINES}"
 
@@ -70,6 +72,22 @@ def _(spark, sf):
                                         D.STOP_WORDS).select("sample_id", "pert")
 
 
+@query("synonym_replace_lexicon_documents", f"""WITH {S.LEXICON}, syn AS (SELECT surface,
+list(replace(synonym, '_', ' ') ORDER BY ord) AS synonyms FROM lexicon WHERE sense = 0
+AND lower(synonym) <> lower(surface) GROUP BY surface), d AS (SELECT doc_id AS sample_id,
+'sales rose ' || text || ' as weak demand fell' AS text FROM documents),
+{S.synonym_ctes('s', 'd', S.RATIO_QUOTA)} SELECT sample_id, md5(pert) AS pert FROM s
+UNION ALL SELECT sample_id, md5(pert) FROM s""")
+def _(spark, sf):
+    """Long documents, every row twice as draws with replacement give them."""
+    rows = V.documents(spark, sf).withColumn("text", F.concat(
+        F.lit("sales rose "), "text", F.lit(" as weak demand fell")))
+    rows = rows.unionByName(rows)
+    found = lexicon.replace_from_lexicon(rows, V.lexicon(spark), X.synonym_quota(X.tokens(T())),
+                                         D.STOP_WORDS)
+    return found.select("sample_id", F.md5("pert").alias("pert"))
+
+
 @query("synonym_replace_dict", f"""{H}, {S.SYNONYMS}, {S.forms_ctes('f', 'headlines')}
 SELECT sample_id, pert FROM f""")
 def _(spark, sf):
@@ -107,6 +125,16 @@ def _(spark, sf):
     return V.headlines(spark, sf, spread=True).select("sample_id", X.jitter_percents(T(), ID()).alias("pert"))
 
 
+@query("jitter_percent_long", f"""SELECT doc_id AS sample_id, 'up ' || round(
+(doc_id || '.' || n_chars || '4995')::DECIMAL(38,14) + {S.jitter_step("doc_id", "0")}, 1)::DECIMAL(38,1)
+|| '% or more' AS pert FROM documents""")
+def _(spark, sf):
+    figures = V.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("sample_id"), F.concat(
+            F.lit("up "), "doc_id", F.lit("."), "n_chars", F.lit("4995 % or more")).alias("text"))
+    return figures.select("sample_id", X.jitter_percents(T(), ID()).alias("pert"))
+
+
 @query("swap_peer", f"""SELECT doc_id AS sample_id, md5({S.swap('text')}) AS digest FROM documents
 UNION ALL SELECT sample_id, md5(pert) FROM (WITH {S.HEADLINES}
 SELECT sample_id, {S.swap('text')} AS pert FROM headlines)""")
@@ -207,6 +235,14 @@ def _(spark, sf):
     return rows.select("sample_id", F.array_join(entity_types(T(), D.GAZETTEER), "|").alias("types"))
 
 
+@query("entity_types_table", f"""SELECT doc_id AS sample_id, {S.entities('text')} AS types FROM documents""")
+def _(spark, sf):
+    names = spark.createDataFrame([(n, t) for t, v in D.GAZETTEER.items() for n in v],
+                                  "name string, type string")
+    return lexicon.entity_types_from(V.documents(spark, sf), names).select(
+        "sample_id", F.array_join("entity_types", "|").alias("types"))
+
+
 @query("entity_set_filter", f"""{H}, {S.numbers_ctes('n', 'headlines')}
 SELECT sample_id, {S.entities('text')} = {S.entities('pert')} AS ner_ok
 FROM headlines JOIN n USING (sample_id)""")
@@ -236,6 +272,23 @@ def _(spark, sf):
     return _flat(L.cascade(rows), "sample_id")
 
 
+@query("filter_cascade_vectors", f"""{H}, {S.REWRITES}, dp AS (SELECT sample_id, text AS orig,
+coalesce(rewrite, text || ' eee 5 %') AS pert FROM headlines LEFT JOIN rewrites ON text = orig),
+v AS (SELECT *, [length(orig), length(orig) - length(replace(orig, ' ', '')),
+length(orig) - length(replace(orig, 'e', ''))]::DOUBLE[] AS a, [length(pert),
+length(pert) - length(replace(pert, ' ', '')), length(pert) - length(replace(pert, 'e', ''))]::DOUBLE[] AS b
+FROM dp), s AS (SELECT *, list_inner_product(a, b) / sqrt(list_inner_product(a, a))
+/ sqrt(list_inner_product(b, b)) AS sim FROM v) SELECT sample_id, {S.r6('sim')} AS sim, sim >= 0.99
+AND {S.length_change('orig', 'pert')} <= 0.5 AND {S.entities('orig')} = {S.entities('pert')} AS passed FROM s""")
+def _(spark, sf):
+    rows = L.candidates(V.headlines(spark, sf, spread=True), L.LibraryConfig(methods=("rewrite",)),
+                        V.rewrites(spark, sf))
+    rows = rows.withColumn("pert", F.when(F.col("pert") == F.col("orig"), F.concat(
+        "orig", F.lit(" eee 5 %"))).otherwise(F.col("pert")))
+    out = L.cascade_by_vectors(rows, length_encoder(), L.LibraryConfig(sim_threshold=0.99))
+    return out.select("sample_id", round6(F.col("sim")).alias("sim"), "passed")
+
+
 @query("filter_sim_readable", f"""{H}, {S.REWRITES}, dp AS (SELECT sample_id, text AS orig,
 coalesce(rewrite, text) || CASE WHEN rewrite IS NULL THEN '' ELSE ' as the markets had expected it to be' END AS pert
 FROM headlines LEFT JOIN rewrites ON text = orig), {S.sim_ctes('s', 'dp', 'sample_id')}
@@ -246,9 +299,7 @@ def _(spark, sf):
                         V.rewrites(spark, sf))
     rows = rows.withColumn("pert", F.when(F.col("pert") != F.col("orig"), longer)
                            .otherwise(F.col("pert")))
-    sim = similarity.token_cosine(X.tokens(F.col("orig")), X.tokens(F.col("pert")))
-    return rows.select("sample_id", ((F.length("pert") <= K.READABLE_CHARS)
-                                     & (sim >= K.SIM_THRESHOLD)).alias("passed"))
+    return L.readable_and_similar(rows).select("sample_id", "passed")
 
 
 CAND = f"{H}, {S.candidate_ctes('cand')}"
@@ -289,12 +340,30 @@ FROM lib JOIN m a ON a.text = orig JOIN m b ON b.text = pert)"""
 TAG_OUT = f"orig_label, pert_label, flipped, weakened, {S.r6('m0')} AS m0, {S.r6('m1')} AS m1"
 
 
+def digest_model():
+    """A stand-in model: class scores from the text's digest."""
+    def load():
+        import hashlib
+
+        import numpy as np
+
+        def predict(texts):
+            scores = [[1 + int(hashlib.md5(f"{x}:{t}".encode()).hexdigest()[:8], 16) % 1000
+                       for x in K.REWARD_ORDER] for t in texts]
+            scores = np.array(scores, dtype="float64")
+            return scores / scores.sum(axis=1, keepdims=True)
+        return predict
+    return load
+
+
 def _scored_library(spark, sf):
-    rows, rew = V.headlines(spark, sf, spread=True), V.rewrites(spark, sf)
-    cand = L.candidates(rows, rewrites=rew)
-    texts = cand.select(F.col("orig").alias("text")).unionByName(
-        cand.select(F.col("pert").alias("text")))
-    return L.build_library(rows, rewrites=rew, scored=V.text_scores(texts))
+    def store(library):
+        path = scratch_path(spark, "library")
+        library.write.parquet(path)
+        return spark.read.parquet(path)
+
+    return L.build_scored_library(V.headlines(spark, sf, spread=True), digest_model(), store,
+                                  rewrites=V.rewrites(spark, sf), model_order=K.REWARD_ORDER)
 
 
 @query("build_library", f"""{LIB}, {TAGS} SELECT sample_id, method, orig, pert, {CASCADE_OUT}, {TAG_OUT}

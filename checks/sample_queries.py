@@ -247,12 +247,29 @@ def _(spark, sf):
     return P.assign_minibatch(V.headlines(spark, sf), 64).select("sample_id", "batch_id")
 
 
-@query("minibatch_hash")
+@query("minibatch_hash", f"""{H} SELECT CAST(('0x' || substr({S.md5(0, 'sample_id')}, 1, 15))::BIGINT % 64 AS bigint)
+AS batch_id, count(*) AS n FROM headlines GROUP BY 1""")
 def _(spark, sf):
     batched = P.assign_hash_batch(V.headlines(spark, sf), 64)
     return batched.groupBy("batch_id").agg(F.count("*").alias("n"))
 
 
+@query("minibatch_exact", f"""{H} SELECT sample_id, CAST(floor((row_number() OVER (
+ORDER BY {S.md5(0, 'sample_id')}, sample_id) - 1) / 32) AS bigint) AS batch_id FROM headlines""")
+def _(spark, sf):
+    sparse = V.headlines(spark, sf)
+    return P.assign_exact_batch(sparse, 32).select("sample_id", "batch_id")
+
+
+@query("swap_peer_table", f"""WITH {S.HEADLINES}, {S.PEERS}, hits AS (SELECT sample_id,
+arg_min(a, ord) AS a, arg_min(b, ord) AS b FROM headlines JOIN peers ON contains(text, a) GROUP BY sample_id)
+SELECT sample_id, CASE WHEN a IS NULL THEN text ELSE substr(text, 1, strpos(text, a) - 1) || b
+|| substr(text, strpos(text, a) + length(a)) END AS pert FROM headlines LEFT JOIN hits USING (sample_id)""")
+def _(spark, sf):
+    return L.swap_first_peer(V.headlines(spark, sf, spread=True), V.peers(spark)).select(
+        "sample_id", "pert")
+
+
 PICK_RANK = S.md5(0, "sample_id", "method")
 
 

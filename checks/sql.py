@@ -172,9 +172,12 @@ def template(x: str, delta=K.PARAPHRASE_LENGTH_DELTA) -> str:
 _PCT = r"([0-9]+\.?[0-9]*)" + WHITESPACE + "?%"
 
 
+def jitter_step(key: str, place: str, seed=0) -> str:
+    return f"(['-0.2','-0.1','0.1','0.2'])[{h(seed, key, place)} % 4 + 1]::DECIMAL(2,1)"
+
+
 def jitter(x: str, seed=0) -> str:
-    delta = (f"(['-0.2','-0.1','0.1','0.2'])[{h(seed, 'sample_id', 'i - 1')} % 4 + 1]"
-             "::DECIMAL(2,1)")
+    delta = jitter_step("sample_id", "i - 1", seed)
     nums = f"regexp_extract_all({x}, '{_PCT}', 1)"
     return f"""array_to_string(list_transform(regexp_split_to_array({x}, '{_PCT}'),
     lambda g, i: g || CASE WHEN i <= len({nums}) THEN
@@ -281,7 +284,7 @@ def scores_cte(name: str, texts: str) -> str:
 
 
 SEEDS = PREDS + f""", seed_words AS (SELECT y_true AS label, ' ' || w AS word,
-    min(doc_id * 1000000 + pos - 1) AS ord FROM (SELECT doc_id, unnest({toks('text')}) AS w,
+    min(doc_id * 2147483648 + pos - 1) AS ord FROM (SELECT doc_id, unnest({toks('text')}) AS w,
     generate_subscripts({toks('text')}, 1) AS pos FROM documents) d
     JOIN preds p ON d.doc_id = p.sample_id GROUP BY ALL)"""
 

@@ -8,7 +8,6 @@ from steadytext import dictionaries as D
 from steadytext import constants as K
 from steadytext.functions.hashing import draw
 from steadytext.functions.text import tokens
-from steadytext.operators.frames import spread_small
 from steadytext.operators.verbalizer import variants
 
 HEADLINE_COLUMNS = [
@@ -31,6 +30,16 @@ HEADLINE_COLUMNS = [
 ]
 
 
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for a freshly read table that fits fewer partitions.
+
+    Meant for a bare scan ahead of heavy row work. A large table already has more
+    partitions than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -154,7 +163,8 @@ def seeds(spark, sf) -> DataFrame:
     words = documents(spark, sf).join(y, "sample_id").select("sample_id", "label", F.posexplode(
         tokens(F.col("text"))).alias("pos", "w"))
     return (words.groupBy("label", "w")
-            .agg(F.min(F.col("sample_id") * 1_000_000 + F.col("pos")).alias("ord"))
+            .agg(F.min(F.struct("sample_id", "pos")).alias("first"))
+            .withColumn("ord", F.col("first.sample_id") * (1 << 31) + F.col("first.pos"))
             .select("label", "ord", F.concat(F.lit(" "), F.col("w")).alias("word")))
 
 

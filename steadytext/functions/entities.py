@@ -20,7 +20,6 @@ MONEY_PATTERN = (
 
 # every match of MONEY_PATTERN contains one of these
 _MONEY_SIGNS = ("$", "€", "£", "EUR", "USD", "GBP", "euro", "dollar", "mn", "bn", "illion")
-_FEW = 16  # up to so many names plain substring tests beat a regex
 
 
 def _contains_any(text: Column, parts: Sequence[str]) -> Column:
@@ -35,12 +34,14 @@ def any_name(names: Sequence[str]) -> str:
 
 
 def entity_types(text: Column, gazetteer: Mapping[str, Sequence[str]]) -> Column:
-    """Sorted array of the entity types found in ``text``."""
+    """Sorted array of the entity types found in ``text``.
+
+    For names that fit a literal; ``operators.lexicon.entity_types_from`` takes a table.
+    """
     tests = {"PERCENT": F.contains(text, F.lit("%")) & text.rlike(PERCENT_PATTERN),
              "MONEY": _contains_any(text, _MONEY_SIGNS) & text.rlike(MONEY_PATTERN)}
     for kind, names in gazetteer.items():
-        tests[kind] = (_contains_any(text, names) if len(names) <= _FEW
-                       else text.rlike(any_name(names)))
+        tests[kind] = _contains_any(text, names)
     found = [F.when(tests[kind], F.lit(kind)) for kind in ENTITY_TYPES if kind in tests]
     # ENTITY_TYPES is sorted, hence so is the result
     return F.when(text.isNotNull(), F.array_compact(F.array(*found)))

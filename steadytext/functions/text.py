@@ -128,19 +128,44 @@ def template_paraphrase(text: Column, max_delta: float = K.PARAPHRASE_LENGTH_DEL
 
 # ---------------------------------------------------------------- numbers
 
+_TAIL = 32   # integer digits that decimal arithmetic looks at; all others stay as they are
+
+
+def _moved(number: Column, step: Column) -> Column:
+    """``number``, digits with at most one point, moved by ``step`` and rounded once, half up.
+
+    Four decimals and one more digit that says whether others follow are enough to round
+    exactly. Of a longer figure the last 32 integer digits move; where that would
+    carry into the others, the figure moves the other way.
+    """
+    whole = F.substring_index(number, ".", 1)
+    decimals = F.substring(number, F.char_length(whole) + 2, F.char_length(number))
+    more = F.when(F.substring(decimals, F.lit(5), F.char_length(number)).rlike("[1-9]"), "1") \
+        .otherwise("0")
+    head = F.substring(whole, F.lit(1), F.greatest(F.char_length(whole) - _TAIL, F.lit(0)))
+    tail = F.substring(whole, F.char_length(head) + 1, F.char_length(whole))
+    value = F.concat(tail, F.lit("."), F.rpad(F.substring(decimals, 1, 4), 4, "0"), more) \
+        .try_cast("decimal(38,5)")
+
+    def ways(v):
+        there, back = (F.round(v + s, 1).cast("decimal(38,1)") for s in (step, -step))
+        stays = (there >= F.lit(0).cast("decimal(38,1)")) & (there < F.lit("1" + "0" * _TAIL).cast("decimal(38,1)"))
+        return F.when(head == "", there.cast("string")).otherwise(F.concat(
+            head, F.lpad(F.when(stays, there).otherwise(back).cast("string"), _TAIL + 2, "0")))
+
+    return F.coalesce(_let(value, ways), number)
+
+
 def jitter_percents(text: Column, key: Column, seed=0) -> Column:
     """Move every percentage by 0.1 or 0.2 either way, keeping one decimal.
 
-    Decimal arithmetic, rounding half up. A figure with more digits than
-    DECIMAL(38,4) holds keeps its value.
+    Decimal arithmetic, rounding half up, for figures of any length.
     """
     steps = F.array(*[F.lit(d).cast("decimal(2,1)") for d in ("-0.2", "-0.1", "0.1", "0.2")])
 
     def moved(number, position):
         pick = F.pmod(draw(seed, key, position), F.lit(4)).cast("int") + 1
-        shifted = F.round(number.try_cast("decimal(38,4)") + F.element_at(steps, pick), 1)
-        return F.concat(F.coalesce(shifted.cast("decimal(38,1)").cast("string"), number),
-                        F.lit("%"))
+        return F.concat(_moved(number, F.element_at(steps, pick)), F.lit("%"))
 
     def part(group):
         return F.regexp_extract_all(text, F.lit(_TO_PERCENT), F.lit(group))
@@ -265,10 +290,12 @@ def replace_forms(text: Column, key: Column, synonyms: Mapping[str, Sequence[str
     table = _synonym_map(synonyms)
 
     def edit(toks):
-        spots = F.filter(
-            F.transform(toks, lambda t, i: F.struct(
-                digest(seed, key, i).alias("rank"), i.alias("at"), F.lower(t).alias("form"))),
+        # only known forms are hashed
+        found = F.filter(
+            F.transform(toks, lambda t, i: F.struct(i.alias("at"), F.lower(t).alias("form"))),
             lambda s: s["form"].isin(forms))
+        spots = F.transform(found, lambda s: F.struct(
+            digest(seed, key, s["at"]).alias("rank"), s["at"].alias("at"), s["form"].alias("form")))
         chosen = F.map_from_entries(F.transform(
             F.slice(F.sort_array(spots), 1, max_repl),
             lambda s: F.struct(s["at"], _choose(table[s["form"]], f"{seed}:pick", key,

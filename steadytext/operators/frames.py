@@ -51,13 +51,3 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> Dat
 def round6(value: Column) -> Column:
     """Six decimals, with negative zero turned into zero."""
     return F.round(value, 6) + F.lit(0.0)
-
-
-def spread_small(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for a freshly read table that fits fewer partitions.
-
-    Meant for a bare scan ahead of heavy row work. A large table already has more
-    partitions than cores and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

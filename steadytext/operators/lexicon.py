@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from steadytext.functions.entities import entity_types
 from steadytext.functions.hashing import digest, draw
-from steadytext.functions.text import replace_words, tokens
+from steadytext.functions.text import tokens
+from steadytext.operators.frames import join_lookup
 
-IN_ROW_NAMES = 1_000      # names tested one by one inside each row
-BROADCAST_ROWS = 200_000  # larger lexicons are joined by shuffling the word hits
+_KEY = 6   # characters of a name that are joined before the whole name is tested
 
 
 def synonyms_of(lexicon: DataFrame) -> DataFrame:
@@ -24,20 +25,10 @@ def synonyms_of(lexicon: DataFrame) -> DataFrame:
 
 def join_synonyms(words: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFrame:
     """Ordered synonyms per word; an unknown word gets an empty array."""
-    table = synonyms_of(lexicon)
-    joined = words.join(_sized(table), words[word] == table["surface"], "left")
+    table = synonyms_of(lexicon).withColumnRenamed("surface", word)
     none = F.array().cast("array<string>")
-    return joined.select(*words.columns, F.coalesce("synonyms", none).alias("synonyms"))
-
-
-def _is_small(table: DataFrame) -> bool:
-    """Size check before a broadcast: counts at most one row more than the bound."""
-    return table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-
-def _sized(table: DataFrame) -> DataFrame:
-    """Broadcast hint for a dictionary that passed the size check."""
-    return F.broadcast(table) if _is_small(table) else table
+    return join_lookup(words, table, [word]).select(
+        *words.columns, F.coalesce("synonyms", none).alias("synonyms"))
 
 
 def replace_from_lexicon(rows: DataFrame, lexicon: DataFrame, quota: Column,
@@ -45,69 +36,97 @@ def replace_from_lexicon(rows: DataFrame, lexicon: DataFrame, quota: Column,
                          id_col: str = "sample_id", seed=0, out: str = "pert") -> DataFrame:
     """Replace all occurrences of up to ``quota`` distinct words that have synonyms.
 
-    Only distinct non-stop words leave the row; the lexicon drops those without
-    synonyms, and the chosen words return as one map per row.
+    Every distinct (id, text) is worked on once, so repeated rows get the same result. Words
+    with their places meet the lexicon in a join; the chosen words come back by a join on the
+    word and the text is put together again in order. The work grows with the length
+    of a text, not with its square.
     """
-    usable = synonyms_of(lexicon).filter(F.size("synonyms") > 0)
-    words = rows.select(
-        F.col(id_col), quota.alias("_quota"),
-        F.explode(F.array_distinct(F.filter(
-            tokens(F.col(text)), lambda t: ~t.isin(list(stop_words))))).alias("surface"))
-    pick = F.pmod(draw(f"{seed}:pick", id_col, "surface"), F.size("synonyms")).cast("int") + 1
-    hits = words.join(_sized(usable), "surface").select(
-        id_col, "_quota", F.struct(
-            digest(seed, id_col, "surface").alias("rank"), F.col("surface"),
+    row = ["_id", "_text"]        # short keys: the id and a digest of the text
+    texts = rows.select(F.col(id_col).alias("_id"), F.sha2(text, 256).alias("_text"),
+                        F.col(text).alias("_whole"), quota.alias("_quota")) \
+        .filter("_id IS NOT NULL AND _text IS NOT NULL").dropDuplicates(row)
+    places = texts.select(*row, "_quota", F.posexplode(tokens(F.col("_whole"))).alias("_at", "word"))
+    usable = synonyms_of(lexicon).filter(F.size("synonyms") > 0).filter(
+        ~F.col("surface").isin(list(stop_words))).withColumnRenamed("surface", "word")
+    pick = F.pmod(draw(f"{seed}:pick", "_id", "word"), F.size("synonyms")).cast("int") + 1
+    hits = join_lookup(places.select(*row, "_quota", "word").distinct(), usable, ["word"], "inner") \
+        .select(*row, "_quota", F.struct(
+            digest(seed, "_id", "word").alias("rank"), F.col("word"),
             F.element_at("synonyms", pick).alias("synonym")).alias("hit"))
     # bounded by the distinct words of one text
-    chosen = hits.groupBy(id_col).agg(
-        F.sort_array(F.collect_list("hit")).alias("hits"), F.first("_quota").alias("_quota"))
-    chosen = chosen.select(id_col, F.map_from_entries(F.transform(
-        F.slice("hits", 1, F.greatest(F.col("_quota"), F.lit(0))),
-        lambda h: F.struct(h["surface"], h["synonym"]))).alias("_map"))
-    toks = tokens(F.col(text))
-    new = F.when(F.size(toks) == 0, F.col(text)).when(
-        F.col("_map").isNull(), F.array_join(toks, " ")).otherwise(
-        replace_words(toks, F.col("_map")))
-    return rows.join(chosen, id_col, "left").select(*rows.columns, new.alias(out))
-
-
-def first_peer(rows: DataFrame, peers: DataFrame, text: str = "text",
-               id_col: str = "sample_id") -> DataFrame:
-    """Lowest-``ord`` peer whose name is a substring of the text, per row.
-
-    Up to ``IN_ROW_NAMES`` of ``peers(ord, a, b)`` are tested inside the row. A larger
-    table is joined: containment becomes an equi-join on the first up to three
-    characters of a name, verified afterwards, so names never meet every text.
+    chosen = hits.groupBy(*row, "_quota").agg(F.sort_array(F.collect_list("hit")).alias("hits")) \
+        .select(*row, F.inline(F.slice("hits", 1, F.greatest(F.col("_quota"), F.lit(0))))) \
+        .select(*row, "word", "synonym")
+    edited = places.join(chosen, [*row, "word"], "left").groupBy(*row).agg(
+        F.sort_array(F.collect_list(F.struct("_at", F.coalesce("synonym", "word").alias("w"))))
+        .alias("_words"))
+    new = edited.select(*row, F.array_join(F.transform("_words", lambda x: x["w"]), " ")
+                        .alias("_new"))
+    keyed = rows.withColumns({"_id": F.col(id_col), "_text": F.sha2(text, 256)})
+    # a text without words stays as it is
+    return keyed.join(new, row, "left").select(
+        *rows.columns, F.coalesce("_new", F.col(text)).alias(out))
+
+
+def _grams(text: Column, widths: Sequence[int]) -> Column:
+    """Distinct runs of so many characters of a text."""
+    # a lookahead steps through the text once; substrings by place would count from its start
+    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1)) for w in widths]
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *runs))
+
+
+def first_peer(rows: DataFrame, peers: DataFrame, text: str = "text") -> DataFrame:
+    """Lowest-``ord`` peer whose name is a substring of the text, per row, and its replacement.
+
+    ``peers(ord, a, b)`` may be of any size: containment becomes an equi-join on the first
+    characters of a name, verified afterwards, so names never meet every text. The answer
+    belongs to the text, so every distinct text is searched once, known by its digest, and
+    rows need no id. ``functions.text.swap_peer`` does the same for names given as literals.
     """
-    head = peers.select("ord", "a", "b").orderBy("ord").limit(IN_ROW_NAMES + 1).collect()
-    if len(head) <= IN_ROW_NAMES:
-        return _first_peer_in_row(rows, head, text)
-    return _first_peer_joined(rows, peers, text, id_col)
-
-
-def _first_peer_in_row(rows: DataFrame, head, text: str) -> DataFrame:
-    names = F.array(*[F.lit(r["a"]) for r in head]).cast("array<string>")
-    others = F.array(*[F.lit(r["b"]) for r in head]).cast("array<string>")
-    hit = F.array_position(F.transform(names, lambda n: F.contains(F.col(text), n)), True)
-    at = (hit - 1).cast("int")
-    return rows.select("*", F.get(names, at).alias("peer"), F.get(others, at).alias("replacement"))
-
-
-def _first_peer_joined(rows: DataFrame, peers: DataFrame, text: str, id_col: str) -> DataFrame:
-    keyed = peers.withColumn("_gram", F.substring("a", 1, 3))
-    widths = [r[0] for r in keyed.select(F.char_length("_gram")).distinct().collect()]  # 1..3
-    t = F.col(text)
-
-    def grams(width):
-        last = F.char_length(t) - width + 1
-        return F.when(last > 0, F.transform(
-            F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-            lambda i: F.substring(t, i, F.lit(width)))).otherwise(F.array().cast("array<string>"))
-
-    found = F.explode(F.array_distinct(F.concat(*[grams(w) for w in widths]))).alias("_gram")
-    # join ids and grams only; the text comes back for the candidates
-    pairs = rows.select(id_col, found).join(_sized(keyed), "_gram").select(id_col, "ord", "a", "b")
-    hits = pairs.join(rows.select(id_col, text), id_col).filter(F.contains(t, F.col("a")))
-    best = hits.groupBy(id_col).agg(F.min(F.struct("ord", "a", "b")).alias("_peer"))
-    return rows.join(best, id_col, "left").select(
+    keyed = peers.withColumn("_gram", F.substring("a", 1, _KEY))
+    widths = [r[0] for r in keyed.select(F.char_length("_gram")).distinct().collect()]
+    t = F.col("_whole")
+    texts = rows.select(F.sha2(text, 256).alias("_text"), F.col(text).alias("_whole")) \
+        .filter("_text IS NOT NULL").dropDuplicates(["_text"])
+
+    found = F.explode(_grams(t, widths)).alias("_gram")
+    # join digests and grams only; the text comes back for the candidates
+    pairs = join_lookup(texts.select("_text", found), keyed.select("_gram", "ord", "a", "b"),
+                        ["_gram"], "inner").select("_text", "ord", "a", "b")
+    hits = pairs.join(texts, "_text").filter(F.contains(t, F.col("a")))
+    best = hits.groupBy("_text").agg(F.min(F.struct("ord", "a", "b")).alias("_peer"))
+    return join_lookup(rows.withColumn("_text", F.sha2(text, 256)), best, ["_text"]).select(
         *rows.columns, F.col("_peer.a").alias("peer"), F.col("_peer.b").alias("replacement"))
+
+
+def swap_first_peer(rows: DataFrame, peers: DataFrame, text: str = "text",
+                    out: str = "pert") -> DataFrame:
+    """Replace the first occurrence of the peer that ``first_peer`` finds; other texts stay."""
+    found = first_peer(rows, peers, text)
+    swapped = F.overlay(F.col(text), F.col("replacement"),
+                        F.position(F.col("peer"), F.col(text)), F.char_length("peer"))
+    return found.select(*rows.columns, F.coalesce(swapped, F.col(text)).alias(out))
+
+
+def entity_types_from(rows: DataFrame, names: DataFrame, text: str = "text",
+                      out: str = "entity_types") -> DataFrame:
+    """Sorted entity types of every text, with names from a table ``(name, type)`` of any size.
+
+    Figures are found by patterns as in ``functions.entities``; a type counts if one of its
+    names is a substring of the text.
+    """
+    keyed = names.select(F.col("name").alias("a"), F.col("type").alias("b")).filter("a <> ''") \
+        .withColumn("_gram", F.substring("a", 1, _KEY))
+    widths = [r[0] for r in keyed.select(F.char_length("_gram")).distinct().collect()]
+    t = F.col("_whole")
+    texts = rows.select(F.sha2(text, 256).alias("_text"), F.col(text).alias("_whole")) \
+        .filter("_text IS NOT NULL").dropDuplicates(["_text"])
+    pairs = join_lookup(texts.select("_text", F.explode(_grams(t, widths)).alias("_gram")), keyed, ["_gram"],
+                        "inner").select("_text", "a", "b")
+    found = pairs.join(texts, "_text").filter(F.contains(t, F.col("a"))).groupBy("_text").agg(
+        F.collect_set("b").alias("_types"))
+    joined = join_lookup(rows.withColumn("_text", F.sha2(text, 256)), found, ["_text"])
+    figures = entity_types(F.col(text), {})
+    every = F.sort_array(F.array_distinct(F.concat(figures, F.coalesce(
+        "_types", F.array().cast("array<string>")))))
+    return joined.select(*rows.columns, F.when(F.col(text).isNotNull(), every).alias(out))

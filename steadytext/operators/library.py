@@ -11,10 +11,10 @@ from steadytext import constants as K
 from steadytext import dictionaries as D
 from steadytext.functions import probs, text as X
 from steadytext.functions.entities import entity_types
-from steadytext.functions.similarity import token_cosine
+from steadytext.functions.similarity import cosine, token_cosine
 from steadytext.operators.frames import compute_once, join_lookup
-from steadytext.operators.joins import external_rewrite, first_pert, join_pairs, keep_known, \
-    lookup_label
+from steadytext.operators.joins import external_rewrite, first_pert, join_pairs, lookup_label
+from steadytext.operators.scoring import Loader, embed_text, score_text
 
 PRODUCTION_METHODS = ("synonym", "rewrite", "numbers")
 PROTOTYPE_METHODS = ("synonym_dict", "template", "numbers")
@@ -158,6 +158,41 @@ def build_library(rows: DataFrame, config: LibraryConfig = DEFAULT,
     return _tagged(out, plain, scored, config)
 
 
+def build_scored_library(rows: DataFrame, loader: Loader, store,
+                         config: LibraryConfig = DEFAULT, rewrites: DataFrame | None = None,
+                         model_order: Sequence[str] = K.SCORER_ORDER, text: str = "text",
+                         id_col: str = "sample_id") -> DataFrame:
+    """Candidates, filters, and tags of those that pass, by a model that scores only those.
+
+    Candidates are made once: ``store`` (DataFrame -> DataFrame, for instance a write
+    to shared storage and a read) keeps the filtered library before its texts are scored.
+    """
+    library = store(build_library(rows, config, rewrites, None, text, id_col))
+    passed = library.filter("passed")
+    texts = passed.select(F.col("orig").alias("text")).unionByName(
+        passed.select(F.col("pert").alias("text"))).distinct()
+    scored = score_text(texts, loader, model_order, config.label_order).select("text", "probs")
+    return adversarial_tags(library, scored, config)
+
+
+def cascade_by_vectors(pairs: DataFrame, encoder: Loader, config: LibraryConfig = DEFAULT,
+                       orig: str = "orig", pert: str = "pert") -> DataFrame:
+    """``cascade`` with the cosine of sentence vectors; each text is encoded once per column."""
+    both = embed_text(embed_text(pairs, encoder, orig, "_va"), encoder, pert, "_vb")
+    sim = compute_once(both, _sim=cosine(F.col("_va"), F.col("_vb")))
+    out = cascade(sim.drop("_va", "_vb"), config, F.col("_sim"), orig, pert)
+    return out.drop("_sim")
+
+
+def readable_and_similar(pairs: DataFrame, sim: Column | None = None, orig: str = "orig",
+                         pert: str = "pert", threshold: float = K.SIM_THRESHOLD,
+                         chars: int = K.READABLE_CHARS) -> DataFrame:
+    """Add ``passed``: the candidate is short enough to read and similar enough."""
+    a, b = F.col(orig), F.col(pert)
+    sim = token_cosine(X.tokens(a), X.tokens(b)) if sim is None else sim
+    return pairs.withColumn("passed", (F.char_length(b) <= chars) & (sim >= threshold))
+
+
 def passed_pairs(library: DataFrame, only_passed: bool = True,
                  drop_duplicates: bool = True) -> DataFrame:
     kept = library.filter("passed") if only_passed else library
@@ -165,14 +200,6 @@ def passed_pairs(library: DataFrame, only_passed: bool = True,
     return pairs.distinct() if drop_duplicates else pairs
 
 
-def _ordered_pairs(library: DataFrame) -> DataFrame:
-    """Distinct passed pairs with the place of their first occurrence."""
-    return library.filter("passed").groupBy("orig", "pert").agg(
-        F.min(F.struct("sample_id", "method_ord")).alias("_first")).select(
-        "orig", "pert", F.col("_first.sample_id").alias("sample_id"),
-        F.col("_first.method_ord").alias("method_ord"))
-
-
 def clean_rows(rows: DataFrame) -> DataFrame:
     """Rows in training shape: their own text as source and counterpart."""
     return rows.select("text", "sentiment", F.col("text").alias("orig_text"),
@@ -199,8 +226,7 @@ def clean_and_pert_test(test: DataFrame, library: DataFrame) -> DataFrame:
 
 def clean_pert_pairs(test: DataFrame, library: DataFrame) -> DataFrame:
     """Aligned pairs: every test row that has a passed candidate, with its first one."""
-    known = keep_known(_ordered_pairs(library), test)
-    pairs = join_pairs(test, first_pert(known))
+    pairs = join_pairs(test, first_pert(library.filter("passed")))
     return pairs.select("sample_id", F.col("sentiment").alias("y_true"), "text", "pert",
                         X.eval_prompt(F.col("text")).alias("clean_prompt"),
                         X.eval_prompt(F.col("pert")).alias("pert_prompt"))

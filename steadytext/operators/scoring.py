@@ -24,13 +24,29 @@ from steadytext.operators.frames import join_lookup
 Loader = Callable[[], Callable]
 
 
+_KEY = "_text_digest"
+
+
+def _keyed(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn(_KEY, F.sha2(F.col(text), 256))
+
+
 def score_distinct(df: DataFrame, loader: Loader, text: str = "text", out: str = "probs",
                    batch_size: int = 256, element=T.DoubleType) -> DataFrame:
-    """One row (text, out) per distinct text, scored once however often it occurs."""
+    """One row (digest, text, out) per distinct text, scored once however often it occurs.
+
+    Texts are told apart by their SHA-256; each crosses one shuffle, to become distinct.
+    """
     score = predict_batch_udf(loader, return_type=T.ArrayType(element()),
                               batch_size=batch_size)
-    return (df.select(text).filter(F.col(text).isNotNull()).distinct()
-            .select(text, score(F.col(text)).alias(out)))
+    return (_keyed(df.select(text), text).filter(F.col(text).isNotNull())
+            .dropDuplicates([_KEY]).select(_KEY, text, score(F.col(text)).alias(out)))
+
+
+def _attached(df: DataFrame, scored: DataFrame, text: str) -> DataFrame:
+    """The scores joined back by digest; no text is a key."""
+    joined = join_lookup(_keyed(df, text), scored.drop(text), [_KEY])
+    return joined.drop(_KEY)
 
 
 def score_text(df: DataFrame, loader: Loader, model_order: Sequence[str] = K.SCORER_ORDER,
@@ -39,10 +55,10 @@ def score_text(df: DataFrame, loader: Loader, model_order: Sequence[str] = K.SCO
     """Add probabilities in ``order`` and the label of the largest one."""
     scored = score_distinct(df, loader, text, "_raw", batch_size)
     names = F.array(*[F.lit(x) for x in model_order])
-    ordered = scored.select(text, P.reorder(F.map_from_arrays(names, F.col("_raw")), order)
+    ordered = scored.select(_KEY, text, P.reorder(F.map_from_arrays(names, F.col("_raw")), order)
                             .alias("probs"))
     ordered = ordered.withColumn("label", P.argmax_label(F.col("probs"), order))
-    return join_lookup(df, ordered, [text])
+    return _attached(df, ordered, text)
 
 
 def score_teacher(df: DataFrame, loader: Loader | None, model_order: Sequence[str],
@@ -51,16 +67,16 @@ def score_teacher(df: DataFrame, loader: Loader | None, model_order: Sequence[st
     """Add the second scorer's probabilities; ``None`` disables it (null column)."""
     if loader is None:
         return df.withColumn(out, F.lit(None).cast("array<double>"))
-    scored = score_text(df.select(text).distinct(), loader, model_order, order, text,
-                        batch_size)
-    return join_lookup(df, scored.select(text, F.col("probs").alias(out)), [text])
+    scored = score_distinct(df, loader, text, "_raw", batch_size)
+    names = F.array(*[F.lit(x) for x in model_order])
+    return _attached(df, scored.select(_KEY, text, P.reorder(
+        F.map_from_arrays(names, F.col("_raw")), order).alias(out)), text)
 
 
 def embed_text(df: DataFrame, loader: Loader, text: str = "text", out: str = "embedding",
                batch_size: int = 256) -> DataFrame:
     """Add a sentence vector from a supplied encoder."""
-    vectors = score_distinct(df, loader, text, out, batch_size, T.FloatType)
-    return join_lookup(df, vectors, [text])
+    return _attached(df, score_distinct(df, loader, text, out, batch_size, T.FloatType), text)
 
 
 def hashed_terms(df: DataFrame, text: str = "text", out: str = "embedding",

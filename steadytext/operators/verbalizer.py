@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from steadytext import constants as K
 from steadytext.functions.text import WHITESPACE, strip
+from steadytext.operators.frames import join_lookup
 
 
 def _lstrip(word: Column) -> Column:
@@ -68,7 +69,7 @@ def build_verbalizer(seeds: DataFrame, vocab: DataFrame, prefer_single_token: bo
               .when(F.col("token_id").isNull(), multi_reason)
               .when(n == 1, "dup_token").otherwise("dup_last_token"))
     shown = F.when(kept & (n > 1), F.concat("word", F.lit(" (last)"))).otherwise(F.col("word"))
-    return claims.join(winners, ["label", "token_id"], "left").select(
+    return join_lookup(claims, winners, ["label", "token_id"]).select(
         "label", "ord", "seed", shown.alias("word"), "token_ids",
         F.when(kept, F.col("token_id")).alias("token_id"),
         F.coalesce(kept, F.lit(False)).alias("kept"), (n != 1).alias("multi_token"),

@@ -7,6 +7,7 @@ them, and returns a lazy result. Models come as loaders, see ``operators.scoring
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -21,7 +22,8 @@ from steadytext.sources.files import materialize
 
 @dataclass(frozen=True)
 class Experiment:
-    """``source`` names the input and its version; it is part of every stored path."""
+    """``source`` names the input and its version, ``rewrites`` those of the rewrite table; both are
+    part of stored paths, so another table never finds the library of the first."""
 
     root: str
     source: str
@@ -30,11 +32,12 @@ class Experiment:
     n_eval: int = K.EVAL_PER_CLASS
     seed: int = K.SPLIT_SEED
     eval_seed: int = K.EVAL_SEED
+    rewrites: str = ""    # name and version of the rewrite table, if one is used
     model_order: tuple[str, ...] = K.SCORER_ORDER
     library: L.LibraryConfig = field(default_factory=L.LibraryConfig)
 
     def params(self, **extra) -> dict:
-        sizes = {k: v for k, v in asdict(self).items() if k not in ("root", "library")}
+        sizes = {k: v for k, v in asdict(self).items() if k not in ("root", "library", "rewrites")}
         return {**sizes, **extra}
 
 
@@ -52,9 +55,12 @@ def part(split: DataFrame, name: str) -> DataFrame:
 
 def stored_library(split: DataFrame, exp: Experiment, name: str,
                    rewrites: DataFrame | None = None) -> DataFrame:
+    if (rewrites is None) != (exp.rewrites == ""):
+        raise ValueError("name the rewrite table and its version in Experiment.rewrites")
     return materialize(
         split.sparkSession, lambda: L.build_library(part(split, name), exp.library, rewrites),
-        exp.root, f"library-{name}", exp.params(library=asdict(exp.library), part=name))
+        exp.root, f"library-{name}",
+        exp.params(library=asdict(exp.library), part=name, rewrites=exp.rewrites))
 
 
 def baseline(rows: DataFrame, exp: Experiment, model: Loader) -> DataFrame:
@@ -80,22 +86,26 @@ def scored_pairs(rows: DataFrame, exp: Experiment, model: Loader,
 
 def robustness(rows: DataFrame, exp: Experiment, model: Loader,
                rewrites: DataFrame | None = None) -> DataFrame:
-    return M.robustness_report(scored_pairs(rows, exp, model, rewrites))
+    """Report of a model on clean and perturbed prompts; scored pairs are stored and read back."""
+    pairs = scored_pairs(rows, exp, model, rewrites)
+    path = f"{exp.root.rstrip('/')}/scored-{uuid.uuid4().hex}"
+    pairs.write.parquet(path)
+    return M.robustness_report(rows.sparkSession.read.parquet(path))
 
 
 def reward_table(rows: DataFrame, exp: Experiment, student: Loader, teacher: Loader | None,
                  anchor: Loader | None, weights: R.RewardWeights = R.RewardWeights(),
-                 rewrites: DataFrame | None = None, n_batches: int = 256) -> DataFrame:
+                 rewrites: DataFrame | None = None, batch_size: int = 32) -> DataFrame:
     """Rewards of the augmented training rows under the given models.
 
-    Augmented rows have no dense id, so their batches are hash buckets.
+    Batches hold ``batch_size`` rows at every size of the table, as their statistics need.
     """
     split = stored_split(rows, exp)
     train = part(split, "train")
     data = L.augment_train(train, stored_library(split, exp, "train", rewrites))
     data = rows_for_reward(data).withColumn(
-        "sample_id", F.xxhash64("prompt", "pert_prompt", "ground_truth"))
-    data = S.assign_hash_batch(data, n_batches)
+        "sample_id", F.sha2(F.concat_ws("\u0001", "prompt", "pert_prompt", "ground_truth"), 256))
+    data = S.assign_exact_batch(data, batch_size)
     order = K.REWARD_ORDER
     wanted = {"p_student": (student, "prompt"), "p_pert": (student, "pert_prompt"),
               "p_anchor": (anchor, "prompt"), "p_teacher": (teacher, "orig_text")}

@@ -27,8 +27,26 @@ def read_headlines_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_sample_id(df: DataFrame, *columns: str) -> DataFrame:
-    """Id from the row's content, for files that bring none; equal rows share it."""
-    return df.withColumn("sample_id", F.xxhash64(*columns))
+    """Id from the row's content, for files that bring none: a 128-bit digest and a copy number.
+
+    Rows that are equal in all columns are counted and written out again, numbered, in blocks,
+    so a row that is repeated very often stays with no single task. ``columns`` (all by
+    default) are digested; rows equal in them but not in others share numbers no more than rows
+    of their own content do, because all columns take part in the count.
+    """
+    keys = list(columns) or df.columns
+    rest = [c for c in df.columns if c not in keys]
+    block = 1 << 16
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+             for c in [*keys, *rest]]
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n")).withColumn(
+        "_digest", F.md5(F.concat_ws("\u0001", *parts)))
+    blocks = counted.withColumn("_block", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / block))))
+    copies = blocks.withColumn("_copy", F.explode(F.sequence(
+        F.col("_block") * block, F.least(F.col("_n"), (F.col("_block") + 1) * block) - 1)))
+    return copies.select(*df.columns, F.concat_ws(":", "_digest", F.col("_copy"))
+                         .alias("sample_id"))
 
 
 def write_headlines_csv(df: DataFrame, path: str) -> str:
@@ -36,15 +54,15 @@ def write_headlines_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def read_pairs(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     if fmt == "parquet":
         return spark.read.parquet(path).select("orig", "pert")
     return spark.read.schema(PAIRS_SCHEMA).options(
         **_QUOTING, header=True, multiLine=True).csv(path)
 
 
-def write_pairs(pairs: DataFrame, path: str, fmt: str = "csv") -> str:
-    """Write (orig, pert); returns the path."""
+def write_pairs(pairs: DataFrame, path: str, fmt: str = "parquet") -> str:
+    """Write (orig, pert); returns the path. CSV, read back as one task per file, is for export."""
     writer = pairs.select("orig", "pert").write
     if fmt == "parquet":
         writer.parquet(path)

@@ -10,6 +10,7 @@ from steadytext.functions import labels as Y, probs as P
 from steadytext.operators import metrics as M, rewards as R
 
 NAN, INF = float("nan"), float("inf")
+from steadytext.operators import token_scores as TS
 
 
 def value(spark, expr, **columns):
@@ -213,3 +214,41 @@ def test_clipping(spark):
                                      "advantage double")
     got = {r.step: r.policy_loss for r in R.clipped_surrogate(df).collect()}
     assert got == pytest.approx({0: (-1 - 1.1) / 2, 1: 2.0})
+
+
+@pytest.mark.parametrize("decay", [0, 0.2, 0.9, 0.999])
+@pytest.mark.parametrize("spacing,n", [(1, 1500), (512, 700), (10**7, 300)])
+def test_ema_for_every_decay_and_spacing(spark, decay, spacing, n):
+    import random
+    values = [random.Random(i).random() for i in range(n)]
+    rows = [("a", i * spacing, v) for i, v in enumerate(values)] + [(None, 3, 1.0)]
+    df = spark.createDataFrame(rows, "run_id string, step long, mean_reward double")
+    got = {(r.run_id, r.step): r.baseline for r in R.ema_by_step(df, decay=decay).collect()}
+    b = 0.0
+    for i, v in enumerate(values):
+        b = decay * b + (1 - decay) * v
+        assert got["a", i * spacing] == pytest.approx(b, abs=1e-12)
+    assert got[None, 3] == pytest.approx(1 - decay)
+
+
+def test_ema_advantage_keeps_rows_without_a_key(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), (None, 1, 2.0), ("a", None, 3.0)],
+                               "run_id string, step long, reward double")
+    got = R.ema_advantage(df).collect()
+    assert len(got) == 3 and sum(r.advantage is None for r in got) == 2
+
+
+def test_ids_without_label_tokens_are_kept(spark):
+    scores = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (2, 9, 5.0)],
+                                   "sample_id long, token_id int, logit double")
+    verbalizer = spark.createDataFrame([("negative", 0), ("positive", 1)], "label string, token_id int")
+    got = {r.sample_id: r.probs for r in TS.label_probs(scores, verbalizer).collect()}
+    assert got[2] == pytest.approx([1 / 3] * 3) and max(got[1]) > 0.7
+
+
+def test_logsumexp_of_far_apart_scores(spark):
+    import math
+    values = [-700.0, -1.0, 0.0, 63.9, 64.1, 800.0, 800.5]
+    df = spark.createDataFrame([(1, v) for v in values] + [(2, -5000.0)], "k long, logit double")
+    got = {r.k: r.score for r in TS.logsumexp_by(df, ["k"]).collect()}
+    assert got[1] == pytest.approx(800.5 + math.log(1 + math.exp(-0.5))) and got[2] == -5000.0

@@ -239,3 +239,47 @@ def test_row_operators_accept_a_stream(spark, tmp_path):
 
 def test_synonym_dictionary_is_literal_sized():
     assert len(D.SURFACE_SYNONYMS) < 200
+
+
+def test_draws_fail_for_an_exhausted_class_and_scale_with_n(spark):
+    rows = spark.range(90).select(F.col("id").alias("sample_id"), F.element_at(F.array(*map(
+        F.lit, LABELS)), (F.col("id") % 3 + 1).cast("int")).alias("sentiment"), F.lit("t").alias("text"))
+    with pytest.raises(Exception, match="class too small"):
+        S.sample_with_replacement(rows, 5, skip=30).collect()
+    many = S.sample_with_replacement(rows, 20_000, skip=10)
+    got = many.groupBy("sentiment").agg(F.count("*").alias("n"), F.countDistinct("sample_id").alias("d"),
+                                        F.countDistinct("draw").alias("k")).collect()
+    assert [(r.n, r.d, r.k) for r in got] == [(20_000, 20, 20_000)] * 3
+
+
+def test_exact_batches_of_sparse_ids(spark):
+    rows = spark.range(70).select((F.col("id") * 1000 + F.col("id") % 7).alias("sample_id"))
+    sizes = sorted(r["count"] for r in S.assign_exact_batch(rows, 32).groupBy("batch_id").count().collect())
+    assert sizes == [6, 32, 32]
+
+
+def test_ids_of_equal_rows_differ(spark):
+    rows = spark.createDataFrame([("a", "x")] * 3 + [("b", None), (None, "b")], "text string, sentiment string")
+    got = IO.with_sample_id(rows)
+    assert got.count() == 5 and got.select("sample_id").distinct().count() == 5
+
+
+def test_stored_library_knows_its_rewrites(spark, tmp_path):
+    from steadytext.plans import experiment as E
+    with pytest.raises(ValueError, match="rewrites"):
+        E.stored_library(None, E.Experiment(str(tmp_path), "s"), "test", rewrites=object())
+
+
+def test_scratch_needs_a_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+    from steadytext.sources.scratch import scratch_root
+    conf = {"spark.sql.warehouse.dir": f"file:{tmp_path}"}
+    context = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda k: None), master="yarn",
+                              getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=context)
+    with pytest.raises(ValueError, match="shared"):
+        scratch_root(session)
+    context.master = "local[2]"
+    assert scratch_root(session) == f"file:{tmp_path}/_scratch"
+    context.getCheckpointDir = lambda: "hdfs://x/c/"
+    assert scratch_root(session) == "hdfs://x/c"

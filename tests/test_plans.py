@@ -104,7 +104,7 @@ def test_hot_keys_are_split(spark, case):
 
 def test_whole_experiment(spark, tmp_path):
     rows = V.headlines(spark, SF)
-    exp = E.Experiment(str(tmp_path), "sf0.01", 200, 150, 20)
+    exp = E.Experiment(str(tmp_path), "sf0.01", 200, 150, 20, rewrites="views-1")
     report = {r.label: r.f1 for r in E.baseline(rows, exp, word_model()).collect()}
     assert {"accuracy", "macro avg", "0", "1", "2"} <= set(report)
     rob = {(r.variant, r.metric): r.value for r in
@@ -113,6 +113,6 @@ def test_whole_experiment(spark, tmp_path):
     assert 0 <= rob["pair", "flip_rate"] <= 1 and rob["pair", "sym_kl"] >= 0
     assert rob["clean", "accuracy"] == pytest.approx(report["accuracy"], abs=0.1)
     table = E.reward_table(rows, exp, word_model(), word_model(), word_model(),
-                           R.RewardWeights(0.1, 0.3, 0.3, 0.2), n_batches=16)
+                           R.RewardWeights(0.1, 0.3, 0.3, 0.2), batch_size=16)
     got = table.selectExpr("count(*)", "count(reward)", "max(abs(r_anchor))").first()
     assert got[0] == got[1] > 600 and got[2] == pytest.approx(0)
