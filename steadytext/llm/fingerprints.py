@@ -156,19 +156,29 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1) if len(a) else np.zeros(0)
 
 
-def band_keys(fingerprint: Column, bands: int = 32, samples: int = 6) -> Column:
-    """array<bigint>: one hash of some sampled slots per band, shared by all fingerprints."""
+BANDS, SAMPLES = 32, 6
+
+
+def band_slots(bands: int = BANDS, samples: int = SAMPLES) -> np.ndarray:
+    """(bands, samples) slots that each band looks at, the same for all fingerprints."""
     draw = np.random.default_rng([SEED, bands, samples])
-    keys = []
-    for band in range(bands):
-        slots = draw.choice(WALKS * SLOTS, samples, replace=False)
-        keys.append(F.xxhash64(F.lit(band), *[F.substring(fingerprint, int(s) + 1, 1)
-                                              for s in slots]))
-    return F.array(*keys)
+    return np.stack([draw.choice(WALKS * SLOTS, samples, replace=False) for _ in range(bands)])
+
+
+def shares_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether two fingerprints agree in all slots of some band, row by row."""
+    return (a == b)[:, band_slots()].all(2).any(1)
+
+
+def band_keys(fingerprint: Column, bands: int = BANDS, samples: int = SAMPLES) -> Column:
+    """array<bigint>: one hash of its sampled slots per band."""
+    return F.array(*[
+        F.xxhash64(F.lit(band), *[F.substring(fingerprint, int(s) + 1, 1) for s in slots])
+        for band, slots in enumerate(band_slots(bands, samples))])
 
 
-def near_texts(printed: DataFrame, least: float = 0.8, bands: int = 32,
-               samples: int = 6, key: str = "doc_id") -> DataFrame:
+def near_texts(printed: DataFrame, least: float = 0.8, bands: int = BANDS,
+               samples: int = SAMPLES, key: str = "doc_id") -> DataFrame:
     """(a, b, likeness) between one representative of every distinct fingerprint.
 
     ``printed`` has ``key`` and ``fingerprint``; equal fingerprints are represented by their
@@ -238,8 +248,8 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
     The edited text has the last quarter of its code points (rounded down) replaced by as many
     from the start of the next text, or all of it. Columns: doc_id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint (hex), near_edited, near_next, and whether each pair shares
-    a band and is so a candidate. A single document is its own next.
+    fingerprint, edited_fingerprint (hex), near_edited, near_next, and candidate_edited and
+    candidate_next: whether the pair shares a band. A single document is its own next.
     """
     n = F.char_length("text")
     keep = n - F.floor(n / 4).cast("int")
@@ -273,7 +283,8 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
             raise ValueError("rows out of order")
 
     return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-                                "edited_fingerprint string, near_edited double, near_next double")
+                                "edited_fingerprint string, near_edited double, near_next double, "
+                                "candidate_edited boolean, candidate_next boolean")
 
 
 def _result(rows: pa.RecordBatch, own: np.ndarray, edited: np.ndarray,
@@ -282,5 +293,6 @@ def _result(rows: pa.RecordBatch, own: np.ndarray, edited: np.ndarray,
     return pa.RecordBatch.from_arrays(
         [rows.column(c) for c in names]
         + [pa.array([r.tobytes().hex() for r in x], pa.string()) for x in (own, edited)]
-        + [pa.array(likeness(own, edited)), pa.array(likeness(own, after))],
-        [*names, "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        + [pa.array(f(own, x)) for f in (likeness, shares_band) for x in (edited, after)],
+        [*names, "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+         "candidate_edited", "candidate_next"])

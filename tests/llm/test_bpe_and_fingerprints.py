@@ -107,6 +107,8 @@ def test_fingerprint_query(spark):
         a, b = (bytes.fromhex(rows[k]["fingerprint"]) for k in (i, j))
         assert rows[i]["near_next"] == pytest.approx(np.mean([x == y for x, y in zip(a, b)]))
     long = [rows[i] for i, t in docs if len(t) > 400]
+    assert np.mean([r["candidate_edited"] for r in long]) > 0.95
+    assert not any(r["candidate_next"] for r in long if r["near_next"] < 0.05)
     assert 0.65 < np.mean([r["near_edited"] for r in long]) < 0.85
     assert min(r["near_edited"] - r["near_next"] for r in long) > 0.3
 
