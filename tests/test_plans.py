@@ -12,7 +12,9 @@ from steadytext.plans import experiment as E
 
 registry.load()
 SF = "/root/testdata/sf0.01"
-PYTHON_ALLOWED = {"score_text", "score_teacher", "embed_text"}
+# these call a user's model
+PYTHON_ALLOWED = {"score_text", "score_teacher", "embed_text", "filter_cascade_vectors",
+                  "build_library", "adversarial_tag"}
 # write their output, or fit a model, before they return a plan
 SKIP = {"src_headlines_csv", "src_pairs_csv", "sink_pairs", "sink_predictions",
         "materialize_if_absent", "train_classifier"}
@@ -113,6 +115,7 @@ def test_whole_experiment(spark, tmp_path):
     assert 0 <= rob["pair", "flip_rate"] <= 1 and rob["pair", "sym_kl"] >= 0
     assert rob["clean", "accuracy"] == pytest.approx(report["accuracy"], abs=0.1)
     table = E.reward_table(rows, exp, word_model(), word_model(), word_model(),
-                           R.RewardWeights(0.1, 0.3, 0.3, 0.2), batch_size=16)
+                           R.RewardWeights(0.1, 0.3, 0.3, 0.2),
+                           V.rewrites(spark, SF), batch_size=16)
     got = table.selectExpr("count(*)", "count(reward)", "max(abs(r_anchor))").first()
     assert got[0] == got[1] > 600 and got[2] == pytest.approx(0)
