@@ -301,12 +301,21 @@ def _long(variant):
     return " UNION ALL ".join(out)
 
 
+def _cells(variant, pred):
+    """Cells of the confusion matrix: negative 0, neutral 1, positive 2, anything else 1."""
+    def code(x):
+        return f"CASE {x} WHEN 'negative' THEN 0 WHEN 'positive' THEN 2 ELSE 1 END"
+    return (f"SELECT '{variant}', 'confusion ' || t || ' ' || p, (SELECT count(*) FROM pf WHERE "
+            f"{code('y_true')} = t AND {code(pred)} = p)::DOUBLE FROM range(3) a(t), range(3) b(p)")
+
+
 @query("robustness_report", f"""WITH {S.HOLED}, pf AS (SELECT sentiment AS y_true, p_clean, p_pert,
 {ARG} AS pred_clean, CASE WHEN {S.h('flip', 'sample_id')} % 4 = 0 THEN 'none' ELSE {ARG} END AS pred_pert
 FROM holed){_report('clean', 'pred_clean')}{_report('perturbed', 'pred_pert')},
 r AS ({_long('clean')} UNION ALL {_long('perturbed')}
 UNION ALL SELECT 'pair', 'flip_rate', avg((pred_clean <> pred_pert)::INT) FROM pf
-UNION ALL SELECT 'pair', 'sym_kl', avg({HKL}) FILTER ({FINITE}) FROM pf)
+UNION ALL SELECT 'pair', 'sym_kl', avg({HKL}) FILTER ({FINITE}) FROM pf
+UNION ALL {_cells('clean', 'pred_clean')} UNION ALL {_cells('perturbed', 'pred_pert')})
 SELECT variant, metric, {S.r6('value')} AS value FROM r""")
 def _(spark, sf):
     return M.robustness_report(pair_frame(spark, sf)).withColumn("value", round6(F.col("value")))

@@ -147,6 +147,7 @@ def finance_metrics(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred
 def robustness_report(pairs: DataFrame) -> DataFrame:
     """Clean and perturbed quality with flip rate and symmetric KL, one row per metric.
 
+    The cells of each variant's confusion matrix are the metrics ``confusion <true> <predicted>``.
     ``pairs`` has ``y_true, pred_clean, pred_pert, p_clean, p_pert``. Labels and
     probabilities are separate measurements: neither is derived from the other.
     """
@@ -168,4 +169,9 @@ def robustness_report(pairs: DataFrame) -> DataFrame:
     drift = drift.select(F.inline(F.array(*[F.struct(
         F.lit("pair").alias("variant"), F.lit(name).alias("metric"), F.col(c).alias("value"))
         for name, c in (("flip_rate", "flip"), ("sym_kl", "kl"))])))
-    return quality.unionByName(drift)
+    labels = (0, 1, 2)
+    cells = coded.groupBy("variant").agg(F.array(*[F.struct(
+        F.lit(f"confusion {t} {p}").alias("metric"),
+        F.count_if((F.col("y_true") == t) & (F.col("y_pred") == p)).cast("double").alias("value"))
+        for t in labels for p in labels]).alias("_cells"))
+    return quality.unionByName(drift).unionByName(cells.select("variant", F.inline("_cells")))
