@@ -69,10 +69,10 @@ def replace_from_lexicon(rows: DataFrame, lexicon: DataFrame, quota: Column,
 
 
 def _grams(text: Column, widths: Sequence[int]) -> Column:
-    """Distinct runs of so many characters of a text."""
+    """Runs of so many characters of a text, repeats included."""
     # a lookahead steps through the text once; substrings by place would count from its start
     runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1)) for w in widths]
-    return F.array_distinct(F.concat(F.array().cast("array<string>"), *runs))
+    return F.concat(F.array().cast("array<string>"), *runs)
 
 
 def first_peer(rows: DataFrame, peers: DataFrame, text: str = "text") -> DataFrame:
