@@ -38,7 +38,9 @@ def _parts(batches: Iterator[pa.RecordBatch], text: str):
 def telling_features(labelled: DataFrame, text: str, label: str) -> np.ndarray:
     """Buckets that occur in more texts of label 1 than chance allows, the strongest first.
 
-    Texts are counted per bucket and label: each task counts its own, Spark sums them up.
+    A bucket's share of the texts of label 1 must be more than twice its share of the others,
+    however many of either the sample holds. Texts are counted per bucket and label: each task
+    counts its own, Spark sums them up.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, doc, bucket, _ in _parts(batches, text):
@@ -64,7 +66,7 @@ def telling_features(labelled: DataFrame, text: str, label: str) -> np.ndarray:
     zeros = F.col("m") - F.col("k")
     gain = 2 * (F.col("k") * F.log(F.col("k") / (F.col("m") * share))
                 + F.when(zeros > 0, zeros * F.log(zeros / (F.col("m") * (1 - share)))).otherwise(0.0))
-    top = counted.where(F.col("k") > 2 * share * F.col("m")).withColumn("gain", gain) \
+    top = counted.where(F.col("k") * (n - n1) > 2 * zeros * n1).withColumn("gain", gain) \
         .where(F.col("gain") >= EVIDENCE).orderBy(F.desc("gain"), "bucket").limit(FEATURES)
     return np.array([r["bucket"] for r in top.select("bucket").collect()], np.int64)
 

@@ -116,6 +116,20 @@ def test_toxicity_finds_marked_texts_and_leaves_others(spark):
     assert not any(r["rejected"] for r in toxicity.severity(odd_docs(spark), none).collect())
 
 
+def test_toxicity_with_more_labels_than_the_sample_takes(spark):
+    draw = random.Random(7)
+    clean = [t + draw.choice(["", "", "", " dreadful", " hateful"]) for t in sentences(3, 6500, 12)]
+    marked = [t + " dreadful hateful" for t in sentences(4, 6500, 12)]
+    docs = spark.createDataFrame(list(enumerate(clean + marked)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i >= 6500)) for i in range(13000)], LABELS)
+    model = toxicity.fit_toxicity(docs, labels)
+    assert len(model["features"])
+    found = toxicity.severity(docs, model).groupBy(F.col("doc_id") >= 6500).agg(
+        F.avg(F.col("rejected").cast("int"))).collect()
+    caught = dict(tuple(r) for r in found)
+    assert caught[True] >= 0.99 and caught[False] <= 0.01
+
+
 def test_pseudo_likelihood_learns_both_sides(spark):
     draw = random.Random(5)
     words = "ab cd ef gh ij kl mn op".split()
