@@ -37,11 +37,12 @@ def _features(batches: Iterator[pa.RecordBatch], text: str, label: str) -> Itera
 
 
 def train(rows: Sequence[tuple[int, bytes]], epochs: int = 4, alpha: float = 0.3, beta: float = 1.0,
-          l1: float = 0.05, l2: float = 0.1, seed: int = 3) -> dict:
+          l1: float = 0.05, l2: float = 0.1, seed: int = 3, ones: float | None = None) -> dict:
     """Weights and bias by FTRL-proximal; classes weigh alike in the fit.
 
     The bias is shifted afterwards so that the mean score of the rows is their share of ones.
-    Without rows every score is 0.5.
+    ``ones``: that share in the population, if the rows are sampled otherwise; they are weighed
+    to match it. Without rows every score is 0.5.
     """
     data = [(int(y), *pickle.loads(f)) for y, f in sorted(rows)]
     data = [(y, i, GAIN * v / max(v.sum(), 1)) for y, i, v in data]
@@ -70,11 +71,15 @@ def train(rows: Sequence[tuple[int, bytes]], epochs: int = 4, alpha: float = 0.3
     weight, bias = weights(slice(None)), -zb / ((beta + nb ** 0.5) / alpha)
     if len(data):
         raw = np.array([weight[i] @ v for _, i, v in data])
+        y = np.array([d[0] for d in data])
+        if ones is None or not 0 < share[1] < 1:
+            ones = share[1]
+        each = np.where(y == 1, ones / max(share[1], 1e-9), (1 - ones) / max(share[0], 1e-9))
         low, high = -50.0, 50.0
         for _ in range(60):
             bias = (low + high) / 2
-            mean = (1 / (1 + np.exp(-np.clip(raw + bias, -35, 35)))).mean()
-            low, high = (bias, high) if mean < share[1] else (low, bias)
+            mean = (each / (1 + np.exp(-np.clip(raw + bias, -35, 35)))).mean()
+            low, high = (bias, high) if mean < ones else (low, bias)
     return {"weight": weight.astype(np.float32), "bias": float(bias)}
 
 
@@ -82,12 +87,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", label: s
                 key: str = "doc_id", per_label: int = SAMPLE_PER_LABEL) -> dict:
     """Fit on about ``per_label`` documents of either label, drawn by a hash of ``key``.
 
-    Labels other than 0 and 1, and null labels, take no part; a null text is empty.
+    The mean score is set to the share of ones among all labels, whatever the sample holds. Labels other than 0 and 1, and null labels, take no part; a null text is empty.
     """
     rows = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias(label))
+    ones = rows.agg(F.avg(label)).first()[0]
     found = labelled_sample(docs, rows, label, key, text, per_label).mapInArrow(
         lambda batches: _features(batches, text, label), "label int, features binary")
-    return train_in_one_task(found, train)
+    return train_in_one_task(found, lambda data: train(data, ones=ones))
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:

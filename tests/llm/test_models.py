@@ -88,6 +88,15 @@ def test_quality_on_held_out_rows(spark):
     assert {round(r["score"], 6) for r in quality.score(docs, empty).collect()} == {0.5}
 
 
+def test_quality_mean_is_the_share_of_ones_whatever_the_sample(spark):
+    good, bad = sentences(5, 900), sentences(6, 100, lexicon="alpha beta junk trash".split())
+    docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 900), 0) for i in range(1000)], LABELS)
+    for per_label in (2000, 60):
+        scored = quality.score(docs, quality.fit_quality(docs, labels, per_label=per_label))
+        assert scored.agg(F.avg("score")).first()[0] == pytest.approx(0.9, abs=0.03)
+
+
 def test_ordinal_fit_orders_grades_and_shares_weights():
     draw = np.random.default_rng(1)
     data = []
