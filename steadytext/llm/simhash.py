@@ -23,6 +23,7 @@ from steadytext.llm.storage import stored
 from steadytext.operators.frames import join_lookup
 
 SEED = 42
+IN_SHARE = 5           # a share of a long text has so many different shingles, and up to twice as many
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -66,6 +67,19 @@ def share_majorities(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.nda
     return share[first], np.packbits(set_ * 2 > size[:, None], axis=1).view(">i8").ravel().astype(np.int64)
 
 
+def share_counts(size: int, parts: int, least: float) -> list[int]:
+    """Into how many shares a text of ``size`` different shingles is dealt, once for each count.
+
+    Counts are ``parts`` times powers of two, the first one so that a share has about ``IN_SHARE``
+    shingles. The others are the first counts of texts up to 1 / ``least`` as long, so that two
+    texts of that similarity always have one count in common.
+    """
+    def level(n: float) -> int:
+        return max(0, int(n / (IN_SHARE * parts)).bit_length() - 1)
+
+    return [parts << i for i in range(level(size), level(size / least) + 1)]
+
+
 def fingerprint(text: bytes, words: int) -> int:
     """Signed 64-bit SimHash of one text; a text without words has zero."""
     return majority(shingle_hashes(text, words))
@@ -166,14 +180,16 @@ def near_groups(docs: DataFrame, words: int = 3, reach: int = 2, segments: int =
     return join_lookup(rows, named, ["simhash"])
 
 
-def part_fingerprints(docs: DataFrame, words: int = 5, parts: int = 32) -> DataFrame:
-    """(doc_id, digest, simhash, parts): SHA-256 of the text, its fingerprint, and one fingerprint
-    (part, value) for each of ``parts`` shares of its shingles, dealt by their hash.
+def part_fingerprints(docs: DataFrame, words: int = 5, parts: int = 32,
+                      least: float = 0.8) -> DataFrame:
+    """(doc_id, digest, simhash, parts): SHA-256 of the text, the fingerprint of its different
+    shingles, and one fingerprint (part, value) for each share of them, dealt by their hash.
 
-    Equal shingles fall in the same share in every text, so an edit leaves most shares of a short
-    text as they are, and the shares of a long text drift apart independently: two similar
-    texts are far likelier to have some share within a bit or two than the whole. Empty shares
-    are left out; the whole fingerprint is part ``parts``.
+    Equal shingles fall in the same share in every text, so an edit leaves some shares as they are:
+    two similar texts are far likelier to have some share within a bit or two than the whole. There
+    are ``parts`` shares or more, as many as the length needs for shares to stay small
+    (``share_counts``); share i of n is part n + i. Empty shares are left out; the whole
+    fingerprint is part 0.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -183,12 +199,13 @@ def part_fingerprints(docs: DataFrame, words: int = 5, parts: int = 32) -> DataF
             raw, at = data.tobytes(), offsets.tolist()
             digest, whole, part, value, size = [], [], [], [], [0]
             for a, b in zip(at, at[1:]):
-                hashes = shingle_hashes(raw[a:b], words)
+                hashes = np.unique(shingle_hashes(raw[a:b], words).astype(np.uint64)).astype(">u8")
                 digest.append(hashlib.sha256(raw[a:b]).digest())
                 whole.append(majority(hashes))
-                found = share_majorities(hashes, parts)
-                part.append(np.append(found[0], parts))
-                value.append(np.append(found[1], whole[-1]))
+                found = [(n, *share_majorities(hashes, n))
+                         for n in share_counts(len(hashes), parts, least)]
+                part.append(np.concatenate([[0], *(n + at for n, at, _ in found)]))
+                value.append(np.concatenate([[whole[-1]], *(v for _, _, v in found)]))
                 size.append(size[-1] + len(part[-1]))
             shares = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.StructArray.from_arrays(
                 [pa.array(np.concatenate(part), pa.int32()),
@@ -245,7 +262,7 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, parts: i
     is that a link inside a group can be missed where no share brings its texts together.
     Rows without doc_id take no part.
     """
-    rows = stored(part_fingerprints(docs, words, parts).where("doc_id IS NOT NULL"))
+    rows = stored(part_fingerprints(docs, words, parts, least).where("doc_id IS NOT NULL"))
     texts = rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("simhash").alias("simhash"),
                                        F.first("parts").alias("parts"))
     texts = stored(texts)

@@ -90,6 +90,18 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(empty_docs(spark)).count() == 0
 
 
+def test_long_similar_texts_are_linked(spark):
+    draw, rows = np.random.default_rng(2), []
+    for pair in range(8):
+        size, step = (1000, 3000)[pair % 2], (54, 35)[pair >= 6]   # Jaccard 0.83; 0.75 for the last two
+        words = [f"w{i}" for i in draw.integers(0, 10 ** 6, size)]
+        other = [f"x{pair}" if n % step == step // 2 else w for n, w in enumerate(words)]
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert groups == {i: i - i % 2 if i < 12 else i for i in range(16)}
+
+
 def test_targets_by_hand():
     got = mixing.targets([("a", 10), ("b", 100), (None, 90)])
     # 300 words: weights 3, 1, 2; a stops at 20, the other 280 go 1 to 2: None stops at 180
