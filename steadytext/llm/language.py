@@ -3,7 +3,7 @@
 A text is the mean of the embeddings of its subwords (hashed byte runs of two to four bytes,
 word borders included); a linear softmax reads the language from the mean. Embeddings and
 softmax are trained together by stochastic gradient descent in numpy. A temperature and a
-rejection threshold are set on labelled texts kept out of training.
+rejection threshold are set by cross-fitting: on labelled texts, each kept out of the fit that scores it.
 """
 
 from __future__ import annotations
@@ -72,28 +72,11 @@ def _features(batches: Iterator[pa.RecordBatch], text: str, label: str) -> Itera
             [piece.column(label), pa.array(rows, pa.binary())], ["label", "features"])
 
 
-def train(rows: Sequence[tuple[str, bytes]], width: int = 10, epochs: int = 8, rate: float = 4.0,
-          kept_out: int = 8, reject_share: float = 0.002, seed: int = 5) -> dict:
-    """The model: languages, the score of every subword, temperature and threshold.
-
-    Every ``kept_out``-th row sets the temperature (least log loss) and the threshold: a true
-    text of a known language falls below it in at most ``reject_share`` of cases, by the rank of
-    the probabilities of the true languages; with too few rows to tell, nothing is rejected.
-    """
-    rows = sorted(rows)
-    languages = sorted({r[0] for r in rows})
-    if not languages:
-        return {"languages": [], "table": np.zeros((len(ORDERS) * BUCKETS, 0), np.float32),
-                "bias": np.zeros(0), "scale": 1.0, "threshold": 0.0}
-    data = [(languages.index(x), *pickle.loads(f)) for x, f in rows]
-    data = [(y, i, v / v.sum()) for y, i, v in data if len(i)]
-    draw = np.random.default_rng(seed)
-    order = draw.permutation(len(data))
-    test, fit = [data[i] for i in order[::kept_out]], [data[i] for n, i in enumerate(order)
-                                                      if n % kept_out]
-    fit = fit or test
+def _descend(fit: list, n_languages: int, width: int, epochs: int, rate: float,
+             draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The score of every subword for every language, and the bias, from (language, places, shares)."""
     table = draw.normal(0, 0.1, (len(ORDERS) * BUCKETS, width)).astype(np.float32)
-    head, bias = np.zeros((width, len(languages)), np.float32), np.zeros(len(languages))
+    head, bias = np.zeros((width, n_languages), np.float32), np.zeros(n_languages)
     head += draw.normal(0, 0.1, head.shape)
     steps, done = epochs * len(fit), 0
     for _ in range(epochs):
@@ -112,10 +95,38 @@ def train(rows: Sequence[tuple[str, bytes]], width: int = 10, epochs: int = 8, r
             table[place] = rows_ - min(step * 25, most) * np.outer(value, back).astype(np.float32)
             head -= (step * 0.1) * np.outer(mean, p).astype(np.float32)
             bias -= step * 0.01 * p
-    scores = table @ head
-    model = {"languages": languages, "table": scores.astype(np.float32), "bias": bias}
-    z = np.array([v @ scores[i] + bias for _, i, v in test]).reshape(len(test), len(languages))
-    y = np.array([t[0] for t in test], int)
+    return (table @ head).astype(np.float32), bias
+
+
+def train(rows: Sequence[tuple[str, bytes]], width: int = 10, epochs: int = 8, rate: float = 4.0,
+          kept_out: int = 8, reject_share: float = 0.002, seed: int = 5) -> dict:
+    """The model: languages, the score of every subword, temperature and threshold.
+
+    The rows are dealt into ``kept_out`` parts, and every part is scored by a fit that has not seen
+    it; the first of these fits is the model. All rows together set the temperature (least log
+    loss) and the threshold: a true text of a known language falls below it in about
+    ``reject_share`` of cases, by the rank of the probabilities of the true languages. Between ranks,
+    and below the first one where the rows are fewer than 1 / ``reject_share``, the threshold is
+    interpolated; rank 0 is probability 0.
+    """
+    rows = sorted(rows)
+    languages = sorted({r[0] for r in rows})
+    if not languages:
+        return {"languages": [], "table": np.zeros((len(ORDERS) * BUCKETS, 0), np.float32),
+                "bias": np.zeros(0), "scale": 1.0, "threshold": 0.0}
+    data = [(languages.index(x), *pickle.loads(f)) for x, f in rows]
+    data = [(y, i, v / v.sum()) for y, i, v in data if len(i)]
+    draw = np.random.default_rng(seed)
+    order = draw.permutation(len(data))
+    model, z, y = {}, np.zeros((0, len(languages))), np.zeros(0, int)
+    for part in range(max(1, min(kept_out, len(data)))):
+        test = [data[i] for i in order[part::kept_out]]
+        fit = [data[i] for n, i in enumerate(order) if n % kept_out != part] or test
+        scores, bias = _descend(fit, len(languages), width, epochs, rate,
+                                np.random.default_rng((seed, part)) if part else draw)
+        model = model or {"languages": languages, "table": scores, "bias": bias}
+        z = np.vstack([z, *(v @ scores[i] + bias for _, i, v in test)])
+        y = np.append(y, [t[0] for t in test]).astype(int)
 
     def log_p(scale: float) -> np.ndarray:
         s = z * scale
@@ -126,9 +137,9 @@ def train(rows: Sequence[tuple[str, bytes]], width: int = 10, epochs: int = 8, r
     at = np.arange(len(y))
     model["scale"] = float(min(scales, key=lambda s: -log_p(s)[at, y].mean())) if len(y) else 1.0
     true = np.sort(np.exp(log_p(model["scale"])[at, y]))
-    below = int(reject_share * (len(true) + 1))
     # a language that is likelier than all others together is never rejected
-    model["threshold"] = min(0.5, float(true[below - 1])) if below else 0.0
+    model["threshold"] = min(0.5, float(np.interp(reject_share * (len(true) + 1),
+                                                  np.arange(len(true) + 1), np.r_[0, true])))
     return model
 
 

@@ -73,6 +73,27 @@ def test_rejection_is_calibrated():
     assert abs(p.mean() - np.mean([s.argmax() == y for y, s in z])) < 0.1
 
 
+def test_default_rejection_of_an_unlearned_language():
+    draw = np.random.default_rng(3)
+
+    def row(y):        # languages share some subwords; those of an unlearned one are new
+        own = draw.integers(0, 30, 8) + 100 + 30 * y if y is not None else draw.integers(500, 900, 8)
+        place = np.unique(np.r_[draw.integers(0, 10, 4), own]).astype(np.int32)
+        return pickle.dumps((place, np.ones(len(place), np.float32)))
+
+    model = language.train([(str(y), row(y)) for y in range(4) for _ in range(600)])
+
+    def rejected(texts):
+        z = np.array([(v / v.sum() @ model["table"][i] + model["bias"]) * model["scale"]
+                      for i, v in map(pickle.loads, texts)])
+        p = np.exp(z - z.max(1, keepdims=True))
+        return ((p / p.sum(1, keepdims=True)).max(1) < model["threshold"]).mean()
+
+    assert model["threshold"] > 0
+    assert rejected([row(y) for y in range(4) for _ in range(500)]) <= 0.01
+    assert rejected([row(None) for _ in range(500)]) >= 0.3
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
