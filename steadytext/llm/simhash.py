@@ -161,6 +161,23 @@ def close_pairs(values: DataFrame, value: str = "simhash", reach: int = 2, segme
         F.col("part").alias(part), "a", "b")
 
 
+def one_bit_pairs(values: DataFrame, value: str = "value", part: str = "part") -> DataFrame:
+    """``close_pairs`` of the same part for a reach of one bit, over two rows a fingerprint.
+
+    Two fingerprints that differ in one bit have exactly one of their 32-bit halves in common, so a
+    pair meets once.
+    """
+    low, high = F.col(value).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(value, 32)
+    halves = values.select(F.col(part), F.col(value), F.explode(F.array(
+        F.struct(F.lit(0).alias("place"), low.alias("half")),
+        F.struct(F.lit(1).alias("place"), high.alias("half")))).alias("h")) \
+        .select(part, value, "h.place", "h.half")
+    x, y = halves.withColumnRenamed(value, "a"), halves.withColumnRenamed(value, "b")
+    return x.join(y, [part, "place", "half"]).where(
+        (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) == 1)) \
+        .select(part, "a", "b")
+
+
 def near_groups(docs: DataFrame, words: int = 3, reach: int = 2, segments: int = 8) -> DataFrame:
     """``docs`` without text, with ``simhash`` and ``component_id``.
 
@@ -273,7 +290,9 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, parts: i
     near = F.bit_count(F.col("simhash").bitwiseXOR(F.col("head_simhash"))) <= slack
     inside = join_lookup(shares, nodes, ["part", "value"], "inner").where(
         near & (F.col("id") != F.col("head"))).select(F.col("head").alias("a"), F.col("id").alias("b"))
-    close = stored(close_pairs(nodes.select("part", "value"), "value", reach, part="part"))
+    values = nodes.select("part", "value")
+    close = stored(one_bit_pairs(values) if reach == 1 else
+                   close_pairs(values, "value", reach, part="part"))
     first = nodes.select("part", F.col("value").alias("a"), F.col("head").alias("id"),
                          F.col("head_simhash").alias("simhash"))
     second = nodes.select("part", F.col("value").alias("b"), "head", "head_simhash")
