@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steadytext.llm import (bpe, fingerprints, language, lm, mixing, neighbours, quality, simhash, toxicity,
-                            wrappers)
+from steadytext.llm import (bpe, fingerprints, hosts, language, lm, mixing, negatives, neighbours, quality,
+                            simhash, spans, toxicity, wrappers)
 from steadytext.llm.sampling import fold
 from steadytext.llm.storage import stored
 
@@ -16,10 +16,15 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+# allow or block, host, beginning of the path
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
 def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,6 +83,24 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(_table(spark, sf, "documents"), tokenizer_path())
 
 
+def op11_urls(spark: SparkSession, sf: str) -> DataFrame:
+    judged = hosts.judge_urls(_table(spark, sf, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_spans(spark: SparkSession, sf: str) -> DataFrame:
+    found = spans.aligned(_table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                          tokenizer_path("piece_bpe_32k.model"))
+    told = spans.with_corpus_counts(found, stored(spans.pair_counts(found)))
+    return told.select("doc_id", *spans.COUNTS, "n_best", "count_sum", "groups_sha256")
+
+
+def op13_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf, "embeddings").withColumn("label", label),
+                                    lambda vec_id: vec_id % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -89,5 +112,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
+    "op11_urls": op11_urls,
+    "op12_spans": op12_spans,
+    "op13_negatives": op13_negatives,
+}
+ORACLES: dict[str, str] = {
+    "op11_urls": hosts.oracle_sql(URL_RULES),
+    "op13_negatives": negatives.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {}

@@ -2,19 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a session without it uses its warehouse folder.
-
-    The warehouse is shared by driver and executors wherever tables can be written at all.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/steadytext-scratch").rstrip("/")
+from steadytext.sources.scratch import scratch_path
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -24,7 +14,7 @@ def stored(df: DataFrame) -> DataFrame:
     it ran. The folder is new on every call.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/steadytext-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "steadytext")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
