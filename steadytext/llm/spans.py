@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from steadytext.llm.storage import stored
 from steadytext.operators.frames import join_lookup
 
 SHARED_BYTES = 64            # longer stretches are aligned where they stand
-STRETCHES_KEPT = 1 << 18
+STRETCHES_KEPT = 1 << 19
 TOGETHER = 1 << 16           # bytes of new stretches that are encoded as one text
 HEAD_PAIRS = 1 << 19         # pairs of ids that are broadcast, the most frequent ones
 _ID_BITS = 20
@@ -122,6 +123,7 @@ class Aligner:
             c in signs for c in own.get(i, "?\n")) else own.get(i, "").encode() for i in range(sizes[0])])
         self.bytes_b = self._table([bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else
                                     x.replace(_MARK, " ").encode() for i, x in enumerate(names)])
+        self.signed = [b"%d%s" % (i, sign) for sign in (b",", b"|", b";") for i in range(max(sizes))]
         self.kept, self.powers = kept, Powers()
         self.forget()
 
@@ -147,15 +149,15 @@ class Aligner:
         first = np.append(np.flatnonzero((whole & 0xC0) != 0x80), len(whole))   # of every character
         chars = np.cumsum([0, *map(len, strings)])
         found = self.a.encode_batch(strings, add_special_tokens=False)
-        text = np.repeat(np.arange(len(texts)), [len(e.ids) for e in found])
-        ids = np.fromiter((i for e in found for i in e.ids), np.int64, len(text))
-        span = np.fromiter((x for e in found for s in e.offsets for x in s), np.int64, 2 * len(text))
+        text = np.repeat(np.arange(len(texts)), [len(e) for e in found])
+        every = chain.from_iterable
+        ids = np.fromiter(every(e.ids for e in found), np.int64, len(text))
+        span = np.fromiter(every(every(e.offsets for e in found)), np.int64, 2 * len(text))
         place = np.minimum(span.reshape(-1, 2) + chars[text][:, None], chars[text + 1][:, None])
         a = ids, first[place[:, 0]], first[place[:, 1]], text
         found = [p.pieces for p in self.b.encode([s[1:] for s in strings], return_type="proto", num_threads=1)]
         text = np.repeat(np.arange(len(texts)), [len(p) for p in found])
-        flat = np.fromiter((x for p in found for t in p for x in (t.id, t.begin, t.end)), np.int64,
-                           3 * len(text)).reshape(-1, 3)
+        flat = np.array([(t.id, t.begin, t.end) for p in found for t in p], np.int64).reshape(-1, 3)
         begin, end = flat[:, 1] + 1, flat[:, 2] + 1      # after the blank that is added
         begin[np.r_[True, text[1:] != text[:-1]][:len(text)]] = 0
         b = flat[:, 0], begin + origin[text], end + origin[text], text
@@ -181,9 +183,10 @@ class Aligner:
 
     def learn(self, stretches: list[bytes]) -> None:
         """Align stretches that are not known yet."""
-        joint, alone, size = [[]], [], 0
+        joint, alone, size, mark = [[]], [], 0, _MARK.encode()
         for s in stretches:
-            if not safe_ends(np.frombuffer(s[-2:], np.uint8))[-1] or _MARK.encode() in s:
+            # both conditions of ``safe_ends``, on one byte string
+            if not (0x20 < s[-1] < 0x7F or (0x80 <= s[-1] < 0xC0 and 0xC3 <= s[-2] <= 0xDF)) or mark in s:
                 alone.append([s])
                 continue
             if size > TOGETHER:
@@ -213,18 +216,22 @@ class Aligner:
         stop = np.cumsum([len(s) for s in held])
         gone = np.cumsum(np.where(right, 0, sizes))       # bytes of texts left out
         ends_a, ends_b = ends_a - gone[a[3][keep_a]], ends_b - gone[b[3][keep_b]]
-        both, every = np.intersect1d(ends_a, ends_b), np.union1d(ends_a, ends_b)
+        every = np.sort(np.concatenate([ends_a, ends_b]))
+        new = np.r_[True, every[1:] != every[:-1]]
+        both, every = every[~new], every[new]
         counts = np.stack([np.diff(np.searchsorted(e, stop, "right"), prepend=0)
                            for e in (ends_a, ends_b, both, every)] + [np.ones(len(held), np.int64)], 1)
         # between two neighbouring cuts lies one token of each side
         link = (ids_a[np.searchsorted(ends_a, every)] << _ID_BITS) | ids_b[np.searchsorted(ends_b, every)]
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        in_a = [0, *np.searchsorted(ends_a, both, "right").tolist()]
-        in_b = [0, *np.searchsorted(ends_b, both, "right").tolist()]
-        groups = [",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m])
-                  for i, j, k, m in zip(in_a, in_a[1:], in_b, in_b[1:])]
-        at = np.cumsum(np.r_[0, counts[:, 2]]).tolist()
-        self._add(held, [(";".join(groups[i:j]) + ";").encode() for i, j in zip(at, at[1:])], counts)
+        # the tokens of A and then of B, group by group, each written with the sign after it
+        group = [np.searchsorted(both, e) for e in (ends_a, ends_b)]
+        last = [np.append(g[1:] != g[:-1], True) for g in group]
+        width = len(self.signed) // 3
+        signed = np.concatenate([ids_a + width * last[0], ids_b + 2 * width * last[1]])
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        told = list(map(self.signed.__getitem__, signed[order].tolist()))
+        at = np.cumsum(np.r_[0, counts[:, 0] + counts[:, 1]]).tolist()
+        self._add(held, [b"".join(told[i:j]) for i, j in zip(at, at[1:])], counts)
         self.links.extend(link)
 
     def _add(self, stretches: list[bytes], groups: list[bytes], counts: np.ndarray) -> None:
@@ -316,8 +323,13 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text"
                          *[StructField(c, LongType()) for c in COUNTS],
                          StructField("groups_sha256", StringType()), StructField("links", LINKS)])
 
+    # a worker process keeps its broadcast values, so the next task it runs finds the stretches known
+    memory = docs.sparkSession.sparkContext.broadcast({})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, row = Aligner(byte_path, piece_path), TaskContext.get().partitionId() << 40
+        if "aligner" not in memory.value:
+            memory.value["aligner"] = Aligner(byte_path, piece_path)
+        aligner, row = memory.value["aligner"], TaskContext.get().partitionId() << 40
         for piece in pieces(batches, "_text"):
             found = aligner.align(piece.column("_text"))
             rows = pa.array(np.arange(row, row + piece.num_rows))
