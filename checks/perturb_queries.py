@@ -110,6 +110,46 @@ def _(spark, sf):
         T(), ID(), D.SURFACE_SYNONYMS, entity_pattern(D.GAZETTEER)).alias("pert"))
 
 
+GUARDED = ("'sales rose at Nokia as Strong demand rose. ' || text || "
+           "' as weak demand fell by 3.5 % for Apple'")
+FIGURE_SPANS = S.quote(entity_pattern({}))
+
+
+@query("synonym_replace_guarded_table", f"""WITH {S.LEXICON}, {S.GUARD_NAMES}, syn AS (SELECT surface,
+list(replace(synonym, '_', ' ') ORDER BY ord) AS synonyms FROM lexicon WHERE sense = 0
+AND lower(synonym) <> lower(surface) GROUP BY surface),
+d AS (SELECT doc_id AS sample_id, {GUARDED} AS text FROM documents),
+cut AS (SELECT sample_id, string_split(regexp_replace(text, {S.quote(X.WHITESPACE)}, ' ', 'g'), ' ') AS p
+FROM d), words AS (SELECT sample_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM cut),
+places AS (SELECT * FROM (SELECT sample_id, w,
+sum(length(w) + 1) OVER (PARTITION BY sample_id ORDER BY i) - length(w) - 1 AS start,
+sum(CASE WHEN w <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY sample_id ORDER BY i) - 1 AS pos FROM words)
+WHERE w <> ''),
+named AS (SELECT sample_id, length(name) AS width, string_split(text, name) AS p FROM d
+JOIN names ON contains(text, name)),
+figured AS (SELECT sample_id, regexp_split_to_array(text, {FIGURE_SPANS}) AS p,
+regexp_extract_all(text, {FIGURE_SPANS}) AS held FROM d),
+spans AS (SELECT sample_id, list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * width AS low,
+width FROM (SELECT *, unnest(range(1, len(p))) AS k FROM named) UNION ALL
+SELECT sample_id, list_sum(list_transform(p[1:k], lambda x: length(x)))
++ coalesce(list_sum(list_transform(held[1:k - 1], lambda x: length(x))), 0), length(held[k])
+FROM (SELECT *, unnest(range(1, len(p))) AS k FROM figured)),
+ranked AS (SELECT p.sample_id, pos, synonyms, row_number() OVER (PARTITION BY p.sample_id
+ORDER BY {S.md5(0, 'p.sample_id', 'pos')}, pos) AS rn FROM places p JOIN syn ON lower(w) = surface
+WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.sample_id = p.sample_id AND start < low + width
+AND low < start + length(w)))
+SELECT p.sample_id, md5(string_agg(coalesce(r.synonyms[{S.h('0:pick', 'p.sample_id', 'p.pos')}
+% len(r.synonyms) + 1], w), ' ' ORDER BY p.pos)) AS pert FROM places p LEFT JOIN ranked r
+ON p.sample_id = r.sample_id AND p.pos = r.pos AND rn <= 2 GROUP BY p.sample_id""")
+def _(spark, sf):
+    """Long documents; some words of the lexicon stand inside a name of the table."""
+    rows = V.documents(spark, sf).withColumn("text", F.concat(
+        F.lit("sales rose at Nokia as Strong demand rose. "), "text",
+        F.lit(" as weak demand fell by 3.5 % for Apple")))
+    found = lexicon.replace_forms_guarded_from(rows, V.lexicon(spark), V.guard_names(spark))
+    return found.select("sample_id", F.md5("pert").alias("pert"))
+
+
 @query("template_paraphrase", f"{H} SELECT sample_id, {S.template('text')} AS pert FROM headlines")
 def _(spark, sf):
     return V.headlines(spark, sf, spread=True).select("sample_id", X.template_paraphrase(T()).alias("pert"))

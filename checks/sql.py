@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.views import HEADLINE_COLUMNS
+from checks.views import GUARDED_NAMES, HEADLINE_COLUMNS
 from steadytext import constants as K
 from steadytext import dictionaries as D
 from steadytext.functions.entities import MONEY_PATTERN, PERCENT_PATTERN, entity_pattern
@@ -113,6 +113,8 @@ LEXICON = "lexicon(surface, lemma, sense, ord, synonym) AS (VALUES " + ", ".join
 PEERS = "peers(ord, a, b) AS (VALUES " + ", ".join(
     f"({i}, {quote(a)}, {quote(b)})" for i, (a, b) in enumerate(K.SECTOR_PEERS)) + ")"
 
+GUARD_NAMES = "names(name) AS (VALUES " + ", ".join(f"({quote(n)})" for n in GUARDED_NAMES) + ")"
+
 
 def synonym_ctes(name: str, source: str, quota: str, seed=0, text="text",
                  synonyms="syn") -> str:

@@ -195,5 +195,12 @@ def peers(spark) -> DataFrame:
                                  "ord int, a string, b string")
 
 
+GUARDED_NAMES = ["Nokia", "Strong demand rose", "Apple", "fell by", "The"]
+
+
+def guard_names(spark) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in GUARDED_NAMES], "name string")
+
+
 def lexicon(spark) -> DataFrame:
     return spark.createDataFrame(D.LEXICON_ROWS, D.LEXICON_SCHEMA)

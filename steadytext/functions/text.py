@@ -33,14 +33,18 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def blanks_only(text: Column) -> Column:
+    """The text with every whitespace character turned into a blank."""
+    return F.translate(text, _OTHER_SPACES, " " * len(_OTHER_SPACES))
+
+
 def tokens(text: Column) -> Column:
     """Whitespace tokens; empty and blank texts give an empty array.
 
     All whitespace becomes blanks first: splitting at one plain character needs
     no regex, which a split would compile anew for every row.
     """
-    blanks = F.translate(text, _OTHER_SPACES, " " * len(_OTHER_SPACES))
-    return F.array_remove(F.split(blanks, " "), "")
+    return F.array_remove(F.split(blanks_only(text), " "), "")
 
 
 def word_count(text: Column) -> Column:

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
-from steadytext.functions.entities import entity_types
+from steadytext.functions.entities import entity_pattern, entity_types
 from steadytext.functions.hashing import digest, draw
-from steadytext.functions.text import tokens
+from steadytext.functions.text import blanks_only, tokens
 from steadytext.operators.frames import join_lookup
 
-_KEY = 6   # characters of a name that are joined before the whole name is tested
+_KEY = 6          # characters of a name that are joined before the whole name is tested
+_RANGES = 64      # ranges of first characters in a pattern
+_BITS = 1 << 22
+_CELL = 64        # characters per cell when spans meet places
 
 
 def synonyms_of(lexicon: DataFrame) -> DataFrame:
@@ -68,32 +73,118 @@ def replace_from_lexicon(rows: DataFrame, lexicon: DataFrame, quota: Column,
         *rows.columns, F.coalesce("_new", F.col(text)).alias(out))
 
 
-def _grams(text: Column, widths: Sequence[int]) -> Column:
-    """Runs of so many characters of a text, repeats included."""
+@dataclass(frozen=True)
+class NameStarts:
+    """Where names of a table can begin, in bounded size for any number of names."""
+
+    first: str                  # regex class of first characters
+    widths: tuple[int, ...]     # lengths of the keys
+    bits: int
+    table: str                  # one bit per hash of a key, as whole numbers of 64 bits
+
+
+def _char_class(points: list[int]) -> str:
+    """Regex class of the code points; of many ranges the closest grow together."""
+    ranges = []
+    for point in sorted(points):
+        if ranges and point == ranges[-1][1] + 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    gaps = sorted(b[0] - a[1] for a, b in zip(ranges, ranges[1:]))
+    least = gaps[-_RANGES] if len(gaps) >= _RANGES else 0
+    kept = ranges[:1]
+    for low, high in ranges[1:]:
+        if low - kept[-1][1] <= least:
+            kept[-1][1] = high
+        else:
+            kept.append([low, high])
+    return "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in kept)
+
+
+def name_starts(names: DataFrame, name: str = "a") -> NameStarts | None:
+    """First characters, key lengths and a bit table of the keys; None for no names.
+
+    The table has 16 bits or more a name, up to 2^22: beyond some 100,000 names it
+    lets more places through, which the join then sorts out. The driver gets set bits only,
+    as numbers of 64, never names.
+    """
+    keys = names.where(F.col(name) != "").select(F.substring(name, 1, _KEY).alias("key"))
+    n = keys.count()
+    if not n:
+        return None
+    bits = min(_BITS, max(1 << 10, 1 << (16 * n).bit_length()))
+    values = F.array(F.ascii("key"), _bit_of(F.col("key"), bits), F.char_length("key"))
+    marks = keys.select(F.posexplode(values).alias("kind", "value")).groupBy(
+        "kind", F.floor(F.col("value") / 64).alias("slot")).agg(F.bit_or(F.call_function(
+            "shiftleft", F.lit(1).cast("long"), F.col("value") % 64)).alias("mask"))
+    found: dict[int, dict[int, int]] = {0: {}, 1: {}, 2: {}}
+    for kind, slot, mask in marks.collect():
+        found[kind][slot] = mask
+
+    def members(kind: int) -> list[int]:
+        return [64 * slot + i for slot, mask in found[kind].items() for i in range(64) if mask >> i & 1]
+
+    table = ",".join(str(found[1].get(i, 0)) for i in range(bits // 64))
+    return NameStarts(_char_class(members(0)), tuple(sorted(members(2))), bits, table)
+
+
+def _bit_of(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits)).cast("int")
+
+
+def possible_keys(text: Column, starts: NameStarts) -> Column:
+    """The different beginnings of names that a text may hold, tested inside the row.
+
+    Only places with a first character of some name are cut out, and of those only keys
+    whose bit is set are kept.
+    """
     # a lookahead steps through the text once; substrings by place would count from its start
-    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1)) for w in widths]
-    return F.concat(F.array().cast("array<string>"), *runs)
+    windows = F.regexp_extract_all(text, F.lit(f"(?s)(?=([{starts.first}].{{0,{_KEY - 1}}}))"), F.lit(1))
+    table = F.split(F.lit(starts.table), ",").cast("array<bigint>")    # folded into a constant
+    widths = F.array(*[F.lit(w) for w in starts.widths])
 
+    def known(key):
+        bit = _bit_of(key, starts.bits)
+        return F.getbit(F.get(table, F.shiftright(bit, 6)), bit.bitwiseAND(63)) == 1
+
+    keys = F.transform(windows, lambda x: F.filter(
+        F.transform(widths, lambda w: F.substring(x, F.lit(1), w)), known))
+    return F.array_distinct(F.flatten(keys))
 
-def first_peer(rows: DataFrame, peers: DataFrame, text: str = "text") -> DataFrame:
-    """Lowest-``ord`` peer whose name is a substring of the text, per row, and its replacement.
 
-    ``peers(ord, a, b)`` may be of any size: containment becomes an equi-join on the first
-    characters of a name, verified afterwards, so names never meet every text. The answer
-    belongs to the text, so every distinct text is searched once, known by its digest, and
-    rows need no id. ``functions.text.swap_peer`` does the same for names given as literals.
+def names_in(texts: DataFrame, names: DataFrame, text: str = "_whole", key: str = "_text",
+             name: str = "a") -> DataFrame:
+    """Rows of ``names`` with the ``key`` and ``text`` of every text that contains the name.
+
+    ``texts`` has one row per key. Containment becomes an equi-join on the first characters of
+    a name, verified afterwards, so names never meet every text and only places where a name
+    can begin leave the row. Null and empty names are in no text.
     """
-    keyed = peers.withColumn("_gram", F.substring("a", 1, _KEY))
-    widths = [r[0] for r in keyed.select(F.char_length("_gram")).distinct().collect()]
-    t = F.col("_whole")
-    texts = rows.select(F.sha2(text, 256).alias("_text"), F.col(text).alias("_whole")) \
+    starts = name_starts(names, name)
+    if starts is None:
+        kept = [texts.schema[key], *names.schema.fields, texts.schema[text]]
+        return texts.sparkSession.createDataFrame([], StructType(kept))
+    keyed = names.where(F.col(name) != "").withColumn("_gram", F.substring(name, 1, _KEY))
+    found = texts.select(key, F.explode(possible_keys(F.col(text), starts)).alias("_gram"))
+    # join digests and keys only; the text comes back for the candidates
+    pairs = join_lookup(found, keyed, ["_gram"], "inner").drop("_gram").distinct()
+    return pairs.join(texts.select(key, text), key).filter(F.contains(F.col(text), F.col(name)))
+
+
+def _distinct_texts(rows: DataFrame, text: str) -> DataFrame:
+    return rows.select(F.sha2(text, 256).alias("_text"), F.col(text).alias("_whole")) \
         .filter("_text IS NOT NULL").dropDuplicates(["_text"])
 
-    found = F.explode(_grams(t, widths)).alias("_gram")
-    # join digests and grams only; the text comes back for the candidates
-    pairs = join_lookup(texts.select("_text", found), keyed.select("_gram", "ord", "a", "b"),
-                        ["_gram"], "inner").select("_text", "ord", "a", "b")
-    hits = pairs.join(texts, "_text").filter(F.contains(t, F.col("a")))
+
+def first_peer(rows: DataFrame, peers: DataFrame, text: str = "text") -> DataFrame:
+    """Lowest-``ord`` peer whose name is a substring of the text, per row, and its replacement.
+
+    ``peers(ord, a, b)`` may be of any size. The answer belongs to the text, so every distinct
+    text is searched once, known by its digest, and rows need no id.
+    ``functions.text.swap_peer`` does the same for names given as literals.
+    """
+    hits = names_in(_distinct_texts(rows, text), peers.select("ord", "a", "b"))
     best = hits.groupBy("_text").agg(F.min(F.struct("ord", "a", "b")).alias("_peer"))
     return join_lookup(rows.withColumn("_text", F.sha2(text, 256)), best, ["_text"]).select(
         *rows.columns, F.col("_peer.a").alias("peer"), F.col("_peer.b").alias("replacement"))
@@ -115,18 +206,85 @@ def entity_types_from(rows: DataFrame, names: DataFrame, text: str = "text",
     Figures are found by patterns as in ``functions.entities``; a type counts if one of its
     names is a substring of the text.
     """
-    keyed = names.select(F.col("name").alias("a"), F.col("type").alias("b")).filter("a <> ''") \
-        .withColumn("_gram", F.substring("a", 1, _KEY))
-    widths = [r[0] for r in keyed.select(F.char_length("_gram")).distinct().collect()]
-    t = F.col("_whole")
-    texts = rows.select(F.sha2(text, 256).alias("_text"), F.col(text).alias("_whole")) \
-        .filter("_text IS NOT NULL").dropDuplicates(["_text"])
-    pairs = join_lookup(texts.select("_text", F.explode(_grams(t, widths)).alias("_gram")), keyed, ["_gram"],
-                        "inner").select("_text", "a", "b")
-    found = pairs.join(texts, "_text").filter(F.contains(t, F.col("a"))).groupBy("_text").agg(
-        F.collect_set("b").alias("_types"))
+    found = names_in(_distinct_texts(rows, text), names.select("name", "type"), name="name") \
+        .groupBy("_text").agg(F.collect_set("type").alias("_types"))
     joined = join_lookup(rows.withColumn("_text", F.sha2(text, 256)), found, ["_text"])
     figures = entity_types(F.col(text), {})
     every = F.sort_array(F.array_distinct(F.concat(figures, F.coalesce(
         "_types", F.array().cast("array<string>")))))
     return joined.select(*rows.columns, F.when(F.col(text).isNotNull(), every).alias(out))
+
+
+def name_spans(texts: DataFrame, names: DataFrame, pattern: str | None = None) -> DataFrame:
+    """(_text, start, stop): where names of the table and matches of ``pattern`` stand in each text.
+
+    ``texts(_text, _whole)`` has one row per key, ``names(name)`` any size. Occurrences of one name are
+    taken from left to right without overlap. Places count characters from 0.
+    """
+    hits = names_in(texts, names.select("name").distinct(), name="name")
+    quoted = F.concat(F.lit(r"\Q"), F.replace("name", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    parts = hits.select("_text", "name", F.posexplode(F.split("_whole", quoted, -1)).alias("i", "gap"),
+                        F.char_length("name").alias("width"))
+    if pattern:
+        whole = F.col("_whole")
+        held = F.regexp_extract_all(whole, F.lit(pattern), F.lit(0))
+        both = F.arrays_zip(F.split(whole, pattern, -1).alias("gap"), held.alias("span"))
+        parts = parts.unionByName(texts.select("_text", F.posexplode(both).alias("i", "p")).select(
+            "_text", F.lit(None).cast("string").alias("name"), "i", F.col("p.gap").alias("gap"),
+            F.char_length("p.span").alias("width")))
+    # running over the parts of one text around one name
+    upto = Window.partitionBy("_text", "name").orderBy("i")
+    gaps = F.sum(F.char_length("gap")).over(upto)
+    before = F.coalesce(F.sum("width").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = F.lead("i").over(upto).isNull()      # what follows the last occurrence
+    spans = parts.select("_text", "width", (gaps + before).alias("start"), last.alias("last"))
+    return spans.where("NOT last AND width > 0").select(
+        "_text", "start", (F.col("start") + F.col("width")).alias("stop"))
+
+
+def _in_cells(df: DataFrame) -> DataFrame:
+    """One row per cell that start..stop reaches into."""
+    cells = F.sequence(F.floor(F.col("start") / _CELL), F.floor((F.col("stop") - 1) / _CELL))
+    return df.withColumn("cell", F.explode(cells))
+
+
+def replace_forms_guarded_from(rows: DataFrame, lexicon: DataFrame, names: DataFrame, max_repl: int = 2,
+                               text: str = "text", id_col: str = "sample_id", seed=0,
+                               out: str = "pert", figures: bool = True) -> DataFrame:
+    """Replace up to ``max_repl`` words with synonyms, none of them inside an entity.
+
+    A word is a whitespace token whose lower-cased form is in ``lexicon``. It is left alone if it
+    overlaps an occurrence of a name of ``names(name)`` or, with ``figures``, a percentage or sum of
+    money. Both tables may be of any size. Words meet spans in an equi-join on the text's digest and
+    the cell of the place, verified. Words are joined by one blank; a text without words stays.
+    Rows with the same id and text get the same result; null ids and texts stay as they are.
+    """
+    row = ["_id", "_text"]
+    texts = rows.select(F.col(id_col).alias("_id"), F.sha2(text, 256).alias("_text"),
+                        F.col(text).alias("_whole")) \
+        .filter("_id IS NOT NULL AND _text IS NOT NULL").dropDuplicates(row)
+    # a text's words in order, with the place where each begins
+    upto = Window.partitionBy(*row).orderBy("_i")
+    cut = texts.select(*row, F.posexplode(F.split(blanks_only(F.col("_whole")), " ", -1)).alias("_i", "word"))
+    width = F.char_length("word")
+    places = cut.withColumns({
+        "start": F.sum(width + 1).over(upto) - width - 1,
+        "at": F.sum(F.when(F.col("word") != "", 1).otherwise(0)).over(upto) - 1}).where("word <> ''")
+    usable = synonyms_of(lexicon).filter(F.size("synonyms") > 0).withColumnRenamed("surface", "form")
+    hits = join_lookup(places.withColumn("form", F.lower("word")), usable, ["form"], "inner") \
+        .withColumn("stop", F.col("start") + F.char_length("word"))
+    once = texts.select("_text", "_whole").dropDuplicates(["_text"])
+    spans = _in_cells(name_spans(once, names, entity_pattern({}) if figures else None))
+    inside = _in_cells(hits.select(*row, "at", "start", "stop")).join(
+        spans.select("_text", "cell", F.col("start").alias("low"), F.col("stop").alias("high")),
+        ["_text", "cell"]).where("start < high AND low < stop").select(*row, "at").distinct()
+    first = Window.partitionBy(*row).orderBy("rank", "at")
+    free = hits.join(inside, [*row, "at"], "left_anti").withColumn("rank", digest(seed, "_id", "at")) \
+        .withColumn("n", F.row_number().over(first)).where(F.col("n") <= max_repl)
+    pick = F.pmod(draw(f"{seed}:pick", "_id", "at"), F.size("synonyms")).cast("int") + 1
+    chosen = free.select(*row, "at", F.element_at("synonyms", pick).alias("synonym"))
+    edited = places.join(chosen, [*row, "at"], "left").groupBy(*row).agg(F.sort_array(F.collect_list(
+        F.struct("at", F.coalesce("synonym", "word").alias("w")))).alias("_words"))
+    new = edited.select(*row, F.array_join(F.transform("_words", lambda x: x["w"]), " ").alias("_new"))
+    keyed = rows.withColumns({"_id": F.col(id_col), "_text": F.sha2(text, 256)})
+    return keyed.join(new, row, "left").select(*rows.columns, F.coalesce("_new", F.col(text)).alias(out))
