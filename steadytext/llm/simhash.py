@@ -10,6 +10,7 @@ test follows inside the join. Groups are closed by star contraction.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +20,12 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from steadytext.llm.components import components
 from steadytext.llm.scan import mix, pieces, text_bytes
-from steadytext.llm.storage import stored
+from steadytext.llm.storage import release, stored
 from steadytext.operators.frames import join_lookup
 
 SEED = 42
-IN_SHARE = 5           # a share of a long text has so many different shingles, and up to twice as many
+IN_SHARE = 3           # a share has so many different shingles, and up to twice as many
+WANTED_BITS = 1 << 23
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -52,10 +54,14 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(set_ * 2 > len(bits)).tobytes(), "big", signed=True)
 
 
+def share_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The share of every hash, from the hash alone."""
+    return ((mix(hashes.astype(np.uint64)) >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+
+
 def share_majorities(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(part, majority) of the hashes of every share that has any; a hash decides its share."""
-    own = hashes.astype(np.uint64)
-    share = ((mix(own) >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+    """(part, majority) of the hashes of every share that has any."""
+    share = share_of(hashes, parts)
     order = np.argsort(share, kind="stable")
     share = share[order]
     if not len(share):
@@ -70,14 +76,16 @@ def share_majorities(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.nda
 def share_counts(size: int, parts: int, least: float) -> list[int]:
     """Into how many shares a text of ``size`` different shingles is dealt, once for each count.
 
-    Counts are ``parts`` times powers of two, the first one so that a share has about ``IN_SHARE``
-    shingles. The others are the first counts of texts up to 1 / ``least`` as long, so that two
-    texts of that similarity always have one count in common.
+    Counts are ``parts`` times powers of two, so that a share has 3 to 6 shingles (fewer in a short
+    text). A text takes the counts of the lengths around its own, up to the root of ``least`` shorter
+    and longer: two texts of that similarity always have one count in common, and two
+    counts are taken by one text in three.
     """
     def level(n: float) -> int:
         return max(0, int(n / (IN_SHARE * parts)).bit_length() - 1)
 
-    return [parts << i for i in range(level(size), level(size / least) + 1)]
+    around = math.sqrt(least)
+    return [parts << i for i in range(level(size * around), level(size / around) + 1)]
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -161,23 +169,6 @@ def close_pairs(values: DataFrame, value: str = "simhash", reach: int = 2, segme
         F.col("part").alias(part), "a", "b")
 
 
-def one_bit_pairs(values: DataFrame, value: str = "value", part: str = "part") -> DataFrame:
-    """``close_pairs`` of the same part for a reach of one bit, over two rows a fingerprint.
-
-    Two fingerprints that differ in one bit have exactly one of their 32-bit halves in common, so a
-    pair meets once.
-    """
-    low, high = F.col(value).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(value, 32)
-    halves = values.select(F.col(part), F.col(value), F.explode(F.array(
-        F.struct(F.lit(0).alias("place"), low.alias("half")),
-        F.struct(F.lit(1).alias("place"), high.alias("half")))).alias("h")) \
-        .select(part, value, "h.place", "h.half")
-    x, y = halves.withColumnRenamed(value, "a"), halves.withColumnRenamed(value, "b")
-    return x.join(y, [part, "place", "half"]).where(
-        (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) == 1)) \
-        .select(part, "a", "b")
-
-
 def near_groups(docs: DataFrame, words: int = 3, reach: int = 2, segments: int = 8) -> DataFrame:
     """``docs`` without text, with ``simhash`` and ``component_id``.
 
@@ -199,50 +190,78 @@ def near_groups(docs: DataFrame, words: int = 3, reach: int = 2, segments: int =
 
 def part_fingerprints(docs: DataFrame, words: int = 5, parts: int = 32,
                       least: float = 0.8) -> DataFrame:
-    """(doc_id, digest, simhash, parts): SHA-256 of the text, the fingerprint of its different
-    shingles, and one fingerprint (part, value) for each share of them, dealt by their hash.
-
-    Equal shingles fall in the same share in every text, so an edit leaves some shares as they are:
-    two similar texts are far likelier to have some share within a bit or two than the whole. There
-    are ``parts`` shares or more, as many as the length needs for shares to stay small
-    (``share_counts``); share i of n is part n + i. Empty shares are left out; the whole
-    fingerprint is part 0.
+    """(doc_id, digest, simhash, size, parts): SHA-256 of the text, the fingerprint and number of its
+    different shingles, and one fingerprint (part, value) for each of ``parts`` shares of them.
+
+    Shingles are dealt to shares by their hash, so equal shingles fall in the same share in every text.
+    There are as many shares as keep them small (``share_counts``), and the first ``parts`` of them
+    are looked at, the same ones in every text: of two texts with Jaccard similarity
+    0.8 a share is the same with probability 0.26 or more, so that all 32 differ once in
+    20,000 pairs, whatever the length. Share i of n is part n + i; empty shares are left out.
     """
+    def shares(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for n in share_counts(len(hashes), parts, least):
+            own, value = share_majorities(hashes[share_of(hashes, n) < parts].astype(">u8"), n)
+            found.append((n + own, value))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for piece in pieces(batches, "text"):
             data, offsets = text_bytes(piece.column("text"))
             raw, at = data.tobytes(), offsets.tolist()
-            digest, whole, part, value, size = [], [], [], [], [0]
+            digest, whole, count, part, value = [], [], [], [], []
             for a, b in zip(at, at[1:]):
-                hashes = np.unique(shingle_hashes(raw[a:b], words).astype(np.uint64)).astype(">u8")
+                hashes = np.unique(shingle_hashes(raw[a:b], words).astype(np.uint64))
                 digest.append(hashlib.sha256(raw[a:b]).digest())
-                whole.append(majority(hashes))
-                found = [(n, *share_majorities(hashes, n))
-                         for n in share_counts(len(hashes), parts, least)]
-                part.append(np.concatenate([[0], *(n + at for n, at, _ in found)]))
-                value.append(np.concatenate([[whole[-1]], *(v for _, _, v in found)]))
-                size.append(size[-1] + len(part[-1]))
-            shares = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.StructArray.from_arrays(
+                whole.append(majority(hashes.astype(">u8")))
+                count.append(len(hashes))
+                own, values = shares(hashes)
+                part.append(own)
+                value.append(values)
+            bounds = np.cumsum([0, *map(len, part)])
+            listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(
                 [pa.array(np.concatenate(part), pa.int32()),
                  pa.array(np.concatenate(value), pa.int64())], ["part", "value"]))
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), pa.array(digest, pa.binary()), pa.array(whole, pa.int64()),
-                 shares], ["doc_id", "digest", "simhash", "parts"])
+                 pa.array(count, pa.int32()), listed], ["doc_id", "digest", "simhash", "size", "parts"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, digest binary, simhash long, parts array<struct<part:int,value:long>>")
+        run, "doc_id long, digest binary, simhash long, size int, "
+             "parts array<struct<part:int,value:long>>")
+
+
+def _bits_of(ids: DataFrame) -> tuple[np.ndarray, Column]:
+    """A bit table that has every id of the column ``id`` set, and the bit of an id as a column.
+
+    One row per 64 bits comes to the driver, 131,072 at most. Of very many ids it rules out fewer.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(WANTED_BITS)).cast("int")
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(63))).alias("mask"))
+    table = np.zeros(WANTED_BITS // 64, np.int64)
+    for word, mask in words.collect():
+        table[word] = mask
+    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool), bit
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' shingle sets have at least ``least`` in common (Jaccard)."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))) \
-        .distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
+    """The pairs (a, b) of ids whose texts' shingle sets have at least ``least`` in common (Jaccard).
+
+    Texts are read where they lie: sets are made of those that a pair may ask for, by a bit table
+    of bounded size, and only these sets are shuffled.
+    """
+    wanted, bit = _bits_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    known_bits = docs.sparkSession.sparkContext.broadcast(wanted)
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text") \
+        .select("id", bit.alias("bit"), "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
+            piece = piece.filter(pa.array(known_bits.value[piece.column("bit").to_numpy()]))
             data, offsets = text_bytes(piece.column("text"))
             raw, at = data.tobytes(), offsets.tolist()
             found = [np.unique(shingle_hashes(raw[a:b], words).astype(np.uint64)).tobytes()
@@ -260,47 +279,63 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> Da
             yield pa.RecordBatch.from_arrays(
                 [piece.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    known = stored(rows.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]))
-    x = known.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    y = known.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return join_lookup(join_lookup(pairs, x, ["a"], "inner"), y, ["b"], "inner").mapInArrow(
-        compare, "a long, b long")
+    known = stored(rows.mapInArrow(sets, "id long, shingles binary"))
+    # a doc_id that stands for several texts counts with one of them
+    once = known.groupBy("id").agg(F.min("shingles").alias("shingles"))
+    x = once.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    y = once.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    found = stored(join_lookup(join_lookup(pairs, x, ["a"], "inner"), y, ["b"], "inner").mapInArrow(
+        compare, "a long, b long"))
+    release(known)
+    return found
 
 
 def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, parts: int = 32,
-                   reach: int = 1, slack: int = 24) -> DataFrame:
+                   reach: int = 2, segments: int = 8, slack: int = 24) -> DataFrame:
     """(doc_id, digest, component_id): groups of texts with Jaccard similarity of at least ``least``
     over ``words``-word shingles, every link verified on the texts.
 
-    Candidates come from the fingerprints of the texts' shares: texts with an equal share are
-    compared with its smallest doc_id, and the smallest ids of shares within ``reach`` bits
-    with each other, if their whole fingerprints differ in at most ``slack`` bits. Equal texts are
-    one from the start. No share, however common, makes more candidates than it has texts; the price
-    is that a link inside a group can be missed where no share brings its texts together.
+    Candidates are whole fingerprints within ``reach`` bits, joined by their segments' bit counts, and,
+    as few looser copies come that close, texts with an equal share. Texts of one fingerprint or
+    share are compared with its smallest doc_id, if their whole fingerprints differ in at most
+    ``slack`` bits and their sizes allow the similarity. Equal texts are one from the
+    start. No share, however common, makes more candidates than it has texts; the price is that a
+    link inside a group can be missed where no share brings its texts together.
     Rows without doc_id take no part.
     """
     rows = stored(part_fingerprints(docs, words, parts, least).where("doc_id IS NOT NULL"))
-    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("simhash").alias("simhash"),
-                                       F.first("parts").alias("parts"))
-    texts = stored(texts)
-    shares = texts.select("id", "simhash", F.inline("parts"))
-    nodes = stored(shares.groupBy("part", "value").agg(
-        F.min(F.struct("id", "simhash")).alias("head")).select(
-        "part", "value", F.col("head.id").alias("head"), F.col("head.simhash").alias("head_simhash")))
-    near = F.bit_count(F.col("simhash").bitwiseXOR(F.col("head_simhash"))) <= slack
-    inside = join_lookup(shares, nodes, ["part", "value"], "inner").where(
-        near & (F.col("id") != F.col("head"))).select(F.col("head").alias("a"), F.col("id").alias("b"))
-    values = nodes.select("part", "value")
-    close = stored(one_bit_pairs(values) if reach == 1 else
-                   close_pairs(values, "value", reach, part="part"))
-    first = nodes.select("part", F.col("value").alias("a"), F.col("head").alias("id"),
-                         F.col("head_simhash").alias("simhash"))
-    second = nodes.select("part", F.col("value").alias("b"), "head", "head_simhash")
-    across = close.join(first, ["part", "a"]).join(second, ["part", "b"]).where(
-        near & (F.col("id") != F.col("head"))).select(F.col("id").alias("a"), F.col("head").alias("b"))
-    pairs = stored(inside.unionByName(across).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    groups = components(stored(_verified(pairs, docs, words, least)))
+    first = F.min(F.struct("doc_id", "simhash", "size")).alias("first")
+    texts = stored(rows.groupBy("digest").agg(first).select(
+        "digest", F.col("first.doc_id").alias("id"), "first.simhash", "first.size"))
+    shares = rows.select(F.col("doc_id").alias("id"), F.inline("parts"))
+    # the smallest doc_id of a share is also the first one of its own text
+    nodes = shares.groupBy("part", "value").agg(F.min("id").alias("head"), F.count("*").alias("n")) \
+        .where("n > 1").drop("n")
+    nodes = stored(nodes)
+    by_share = join_lookup(shares, nodes, ["part", "value"], "inner").select(
+        F.col("head").alias("a"), F.col("id").alias("b"))
+    prints = stored(texts.groupBy("simhash").agg(F.min("id").alias("head")))
+    by_print = join_lookup(texts.select("id", "simhash"), prints, ["simhash"], "inner").select(
+        F.col("head").alias("a"), F.col("id").alias("b"))
+    close = stored(close_pairs(prints, reach=reach, segments=segments))
+    heads = prints.select(F.col("simhash").alias("b"), F.col("head").alias("to"))
+    across = close.join(prints.select(F.col("simhash").alias("a"), "head"), "a").join(heads, "b").select(
+        F.least("head", "to").alias("a"), F.greatest("head", "to").alias("b"))
+    met = by_share.unionByName(by_print).unionByName(across).where("a <> b").distinct()
+    # ids that are not the first of their text drop out here
+    known = texts.select("id", "simhash", "size")
+    for end in ("a", "b"):
+        met = join_lookup(met, known.select(F.col("id").alias(end), F.col("simhash").alias(f"{end}_simhash"),
+                                            F.col("size").alias(f"{end}_size")), [end], "inner")
+    near = F.bit_count(F.col("a_simhash").bitwiseXOR(F.col("b_simhash"))) <= slack
+    sized = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * least
+    pairs = stored(met.where(near & sized).select("a", "b"))
+    for done in (nodes, prints, close):
+        release(done)
+    links = _verified(pairs, docs, words, least)
+    release(pairs)
+    groups = components(links)
+    release(links)
     named = join_lookup(texts.select("digest", "id"),
                         groups.select(F.col("node").alias("id"), "component"), ["id"]) \
         .select("digest", F.coalesce("component", "id").alias("component_id"))

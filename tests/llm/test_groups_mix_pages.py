@@ -90,18 +90,6 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(empty_docs(spark)).count() == 0
 
 
-def test_one_bit_pairs_are_the_close_pairs(spark):
-    draw = np.random.default_rng(4)
-    base = [int(v) for v in draw.integers(-2 ** 63, 2 ** 63, 40)] + [0, -1]
-    near = [int(np.int64(v) ^ np.int64(-2 ** 63 if bit == 63 else 1 << bit))
-            for v in base for bit in (0, 31, 32, 63)]
-    rows = [(part, v) for part in (0, 33) for v in sorted({*base, *near})]
-    values = spark.createDataFrame(rows, "part int, value long")
-    found = sorted(map(tuple, simhash.one_bit_pairs(values).collect()))
-    want = simhash.close_pairs(values, "value", 1, part="part").collect()
-    assert found == sorted((p, min(a, b), max(a, b)) for p, a, b in want) and len(found) == 2 * 168
-
-
 def test_long_similar_texts_are_linked(spark):
     draw, rows = np.random.default_rng(2), []
     for pair in range(8):
