@@ -309,13 +309,22 @@ def _cells(variant, pred):
             f"{code('y_true')} = t AND {code(pred)} = p)::DOUBLE FROM range(3) a(t), range(3) b(p)")
 
 
+def _finance(variant):
+    t = f"per_{variant}"
+    return " UNION ALL ".join(
+        f"SELECT '{variant}', '{name}', max({c}) FILTER (label = {label}) FROM {t}"
+        for name, c, label in (("negative_recall", "recall", 0), ("neutral_f1", "f1", 1),
+                               ("positive_precision", "precision", 2)))
+
+
 @query("robustness_report", f"""WITH {S.HOLED}, pf AS (SELECT sentiment AS y_true, p_clean, p_pert,
 {ARG} AS pred_clean, CASE WHEN {S.h('flip', 'sample_id')} % 4 = 0 THEN 'none' ELSE {ARG} END AS pred_pert
 FROM holed){_report('clean', 'pred_clean')}{_report('perturbed', 'pred_pert')},
 r AS ({_long('clean')} UNION ALL {_long('perturbed')}
 UNION ALL SELECT 'pair', 'flip_rate', avg((pred_clean <> pred_pert)::INT) FROM pf
 UNION ALL SELECT 'pair', 'sym_kl', avg({HKL}) FILTER ({FINITE}) FROM pf
-UNION ALL {_cells('clean', 'pred_clean')} UNION ALL {_cells('perturbed', 'pred_pert')})
+UNION ALL {_cells('clean', 'pred_clean')} UNION ALL {_cells('perturbed', 'pred_pert')}
+UNION ALL {_finance('clean')} UNION ALL {_finance('perturbed')})
 SELECT variant, metric, {S.r6('value')} AS value FROM r""")
 def _(spark, sf):
     return M.robustness_report(pair_frame(spark, sf)).withColumn("value", round6(F.col("value")))

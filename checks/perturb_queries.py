@@ -165,6 +165,30 @@ def _(spark, sf):
     return V.headlines(spark, sf, spread=True).select("sample_id", X.jitter_percents(T(), ID()).alias("pert"))
 
 
+def _carried(d):
+    """Digit ``d``, 33 to 45 nines or zeros and one decimal, moved by hand."""
+    step = S.jitter_step("doc_id", "0")
+    up = f"CASE {step} WHEN -0.2 THEN {d} || nines || '.7' WHEN -0.1 THEN {d} || nines || '.8' " \
+         f"WHEN 0.1 THEN ({d} + 1) || zeros || '.0' ELSE ({d} + 1) || zeros || '.1' END"
+    less = f"CASE {d} WHEN 1 THEN '' ELSE ({d} - 1)::VARCHAR END"
+    down = f"CASE {step} WHEN -0.2 THEN {less} || nines || '.9' WHEN -0.1 THEN {d} || zeros || '.0' " \
+           f"WHEN 0.1 THEN {d} || zeros || '.2' ELSE {d} || zeros || '.3' END"
+    return f"""SELECT doc_id AS sample_id, 'up ' || CASE doc_id % 2 WHEN 0 THEN {up} ELSE {down} END
+|| '% or more' AS pert FROM (SELECT doc_id, repeat('9', (32 + doc_id % 13)::INT) AS nines,
+repeat('0', (32 + doc_id % 13)::INT) AS zeros FROM documents)"""
+
+
+@query("jitter_percent_carry", _carried("(doc_id % 9 + 1)"))
+def _(spark, sf):
+    """Figures of 33 to 45 digits before the point that a carry or a borrow runs through."""
+    n = (F.lit(32) + F.col("doc_id") % 13).cast("int")
+    figure = F.when(F.col("doc_id") % 2 == 0, F.concat(F.repeat(F.lit("9"), n), F.lit(".9"))) \
+        .otherwise(F.concat(F.repeat(F.lit("0"), n), F.lit(".1")))
+    rows = V.table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), F.concat(
+        F.lit("up "), F.col("doc_id") % 9 + 1, figure, F.lit(" % or more")).alias("text"))
+    return rows.select("sample_id", X.jitter_percents(T(), ID()).alias("pert"))
+
+
 @query("jitter_percent_long", f"""SELECT doc_id AS sample_id, 'up ' || round(
 (doc_id || '.' || n_chars || '4995')::DECIMAL(38,14) + {S.jitter_step("doc_id", "0")}, 1)::DECIMAL(38,1)
 || '% or more' AS pert FROM documents""")

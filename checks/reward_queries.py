@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import sql as S, views as V
 from checks.registry import query
+from checks.sample_queries import kept
 from steadytext import constants as K
 from steadytext.functions import probs as P
 from steadytext.operators import rewards as R
@@ -61,6 +62,41 @@ def _(spark, sf):
         "r_gt", "r_teacher", "r_consistency", "r_anchor", "reward")])
 
 
+def _added_rewards():
+    """A native and a batch reward, known by their names."""
+    def peak(p):
+        return F.array_max(p)
+
+    def load():
+        import numpy as np
+
+        def spread(p, cluster):
+            held = np.stack([np.asarray(x, dtype="float64") for x in p.to_pylist()])
+            return np.where(np.asarray(cluster) == 9, np.nan, held.max(1) - held.min(1))
+        return spread
+
+    for reward in (R.RewardFunction("peak", ("p_student",), native=peak, weight=0.5),
+                   R.RewardFunction("spread", ("p_pert", "cluster"), batch=load, weight=2.0, zscore=None),
+                   R.RewardFunction("absent", ("no_such_column",), native=peak),
+                   R.RewardFunction("off", ("p_student",), native=peak, weight=0.0)):
+        if reward.name not in R.REWARD_FUNCTIONS:
+            R.register_reward(reward)
+
+
+@query("reward_total_extra", f"""{BASE}, mx AS (SELECT sample_id, batch_id, label, list_max(p_student) AS pk,
+list_max(p_pert) - list_min(p_pert) AS sp FROM prob_pairs), ms AS (SELECT batch_id, avg(pk) AS m,
+stddev_pop(pk) AS s FROM mx GROUP BY batch_id), e AS (SELECT sample_id,
+0.5 * (pk - m) / CASE WHEN s < 1e-8 THEN 1 ELSE s END AS r1, CASE WHEN label = 9 THEN 0.0 ELSE 2.0 * sp END AS r2
+FROM mx JOIN ms USING (batch_id)) SELECT sample_id, {S.r6('r1')} AS r_peak, {S.r6('r2')} AS r_spread,
+0.0::DOUBLE AS r_absent, 0.0::DOUBLE AS r_off, {S.r6('0.0 * zgt + rte + rco + an + r1 + r2')} AS reward
+FROM z JOIN e USING (sample_id)""")
+def _(spark, sf):
+    _added_rewards()
+    r = R.reward_total(V.prob_pairs(spark, sf), extra=("peak", "spread", "absent", "off"), store=kept)
+    return r.select("sample_id", *[round6(F.col(c)).alias(c) for c in (
+        "r_peak", "r_spread", "r_absent", "r_off", "reward")])
+
+
 @query("batch_zscore", f"""WITH {S.REWARD_LOG}, st AS (SELECT batch_id, avg(reward) AS m, stddev_pop(reward) AS s
 FROM reward_log GROUP BY batch_id) SELECT sample_id, {S.r6('(reward - m) / CASE WHEN s < 1e-8 THEN 1 ELSE s END')}
 AS z FROM reward_log JOIN st USING (batch_id)""")

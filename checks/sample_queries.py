@@ -35,6 +35,13 @@ def _(spark, sf):
     return IO.read_headlines_csv(spark, path)
 
 
+@query("src_headlines", f"{H} SELECT sentiment, text FROM headlines")
+def _(spark, sf):
+    """The CSV file is turned into Parquet once, which is what is read."""
+    path = IO.write_headlines_csv(V.headlines(spark, sf), scratch_path(spark, "headlines"))
+    return IO.read_headlines(spark, IO.import_headlines(spark, path, scratch_path(spark, "imported")))
+
+
 @query("src_pairs_csv", f"{R} SELECT orig, rewrite AS pert FROM rewrites")
 def _(spark, sf):
     return IO.read_pairs(spark, IO.write_pairs(pairs(spark, sf), scratch_path(spark, "pairs")))
@@ -52,7 +59,7 @@ def _(spark, sf):
     # the second call reads what the first one stored
     for _ in range(2):
         out = IO.materialize(spark, lambda: V.headlines(spark, sf), root, "headlines",
-                             {"input": sf, "version": 1})
+                             {"input": sf, "version": 1}, V.headlines(spark, sf))
     return out
 
 
@@ -236,6 +243,19 @@ def _(spark, sf):
     return P.sample_batch(V.headlines(spark, sf), 32, step=3)
 
 
+LINES = "SELECT l_orderkey * 8 + l_linenumber AS sample_id FROM lineitem"
+
+
+@query("sample_batch_large", " UNION ALL ".join(f"""SELECT {k} AS k, * FROM (SELECT * FROM ({LINES})
+ORDER BY {S.md5(5, '3', 'sample_id')}, sample_id LIMIT {k})""" for k in (100, 20000, 100000)))
+def _(spark, sf):
+    rows = V.table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("sample_id"))
+    parts = [P.sample_batch(rows, k, step=3, seed=5).select(F.lit(k).alias("k"), "*")
+             for k in (100, 20000, 100000)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("head_n", f"{H} SELECT * FROM headlines ORDER BY sample_id LIMIT 100")
 def _(spark, sf):
     return P.head_n(V.headlines(spark, sf), 100)
@@ -261,6 +281,24 @@ def _(spark, sf):
     return P.assign_exact_batch(sparse, 32).select("sample_id", "batch_id")
 
 
+def kept(df):
+    """A table written to the shared folder and read back."""
+    path = scratch_path(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+@query("minibatch_ordered", """SELECT sample_id, CAST(floor((row_number() OVER (ORDER BY sample_id) - 1) / 32)
+AS bigint) AS batch_id FROM (SELECT (o_orderkey % 5) * 1000000000000 + o_orderkey * o_orderkey AS sample_id
+FROM orders)""")
+def _(spark, sf):
+    """Ids in five clusters far apart, denser at the beginning of each."""
+    clustered = V.table(spark, sf, "orders").select(((F.col("o_orderkey") % 5) * 1000000000000
+                                                     + F.col("o_orderkey") * F.col("o_orderkey"))
+                                                    .cast("long").alias("sample_id"))
+    return P.assign_ordered_batch(clustered, 32, kept, range_rows=1 << 12)
+
+
 @query("swap_peer_table", f"""WITH {S.HEADLINES}, {S.PEERS}, hits AS (SELECT sample_id,
 arg_min(a, ord) AS a, arg_min(b, ord) AS b FROM headlines JOIN peers ON contains(text, a) GROUP BY sample_id)
 SELECT sample_id, CASE WHEN a IS NULL THEN text ELSE substr(text, 1, strpos(text, a) - 1) || b

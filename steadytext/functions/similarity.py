@@ -25,6 +25,61 @@ def cosine(a: Column, b: Column) -> Column:
     return _dot(a, b) / norms
 
 
+def sparse_counts(places: Column, dimensions: int) -> Column:
+    """Counts of whole-number places as (size, indices, values) with rising indices."""
+    def runs(s):
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.element_at(F.transform(F.array(starts), lambda at: F.struct(
+            F.lit(dimensions).alias("size"), F.transform(at, lambda i: F.get(s, i)).alias("indices"),
+            F.zip_with(at, F.concat(F.slice(at, 2, F.size(at)), F.array(n)), lambda i, j: (j - i).cast("float"))
+            .alias("values"))), 1)
+
+    none = F.struct(F.lit(dimensions).alias("size"), F.array().cast("array<int>").alias("indices"),
+                    F.array().cast("array<float>").alias("values"))
+    return F.element_at(F.transform(F.array(F.sort_array(places)), lambda s: F.when(
+        F.size(s) > 0, runs(s)).when(s.isNotNull(), none)), 1)
+
+
+def _sparse_dot(a: Column, b: Column) -> Column:
+    """Both vectors in one order of indices; equal neighbours multiply."""
+    def entries(v):
+        return F.zip_with(v["indices"], v["values"], lambda i, x: F.struct(
+            i.alias("i"), x.cast("double").alias("x")))
+
+    def neighbours(e):
+        n = F.size(e) - 1
+        products = F.zip_with(F.slice(e, F.lit(1), n), F.slice(e, F.lit(2), n), lambda x, y: F.when(
+            x["i"] == y["i"], x["x"] * y["x"]).otherwise(F.lit(0.0)))
+        return F.when(n > 0, F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)).otherwise(F.lit(0.0))
+
+    merged = F.sort_array(F.concat(entries(a), entries(b)))
+    return F.element_at(F.transform(F.array(merged), neighbours), 1)
+
+
+def _sparse_norm(v: Column) -> Column:
+    square = F.aggregate(v["values"], F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    return F.greatest(F.sqrt(square), F.lit(PROB_FLOOR))
+
+
+def cosine_sparse(a: Column, b: Column) -> Column:
+    """Cosine of two sparse vectors (size, indices, values); that of their dense forms.
+
+    Indices rise and do not repeat. Costs n log n in the stored entries, not in the dimensions. A zero
+    vector gives 0, vectors of different size or a null one give null.
+    """
+    pair = F.struct(a.alias("a"), b.alias("b"))
+    return F.element_at(F.transform(F.array(pair), lambda p: F.when(
+        p["a"]["size"] == p["b"]["size"],
+        _sparse_dot(p["a"], p["b"]) / (_sparse_norm(p["a"]) * _sparse_norm(p["b"])))), 1)
+
+
+def to_dense(v: Column) -> Column:
+    """The dense array of a sparse vector."""
+    return F.transform(F.sequence(F.lit(0), v["size"] - 1), lambda i: F.coalesce(
+        F.get(v["values"], F.array_position(v["indices"], i).cast("int") - 1), F.lit(0.0).cast("float")))
+
+
 def _squared_counts(tokens: Column) -> Column:
     """Sum of squared token counts: squared lengths of the runs of the sorted array."""
     def runs(s):

@@ -132,32 +132,59 @@ def template_paraphrase(text: Column, max_delta: float = K.PARAPHRASE_LENGTH_DEL
 
 # ---------------------------------------------------------------- numbers
 
-_TAIL = 32   # integer digits that decimal arithmetic looks at; all others stay as they are
+_TAIL = 32   # integer digits that decimal arithmetic looks at; a carry or borrow goes on in the text
+
+
+def _one_more(digits: Column) -> Column:
+    """The whole number written as ``digits`` plus one: nines at the end turn to zeros."""
+    kept = F.rtrim(digits, F.lit("9"))
+    zeros = F.repeat(F.lit("0"), F.char_length(digits) - F.char_length(kept))
+    last = F.translate(F.right(kept, F.lit(1)), "012345678", "123456789")
+    return F.concat(F.when(kept == "", F.lit("1")).otherwise(F.concat(
+        F.substring(kept, F.lit(1), F.char_length(kept) - 1), last)), zeros)
+
+
+def _one_less(digits: Column) -> Column:
+    """``digits``, a whole number above zero, minus one: zeros at the end turn to nines."""
+    kept = F.rtrim(digits, F.lit("0"))
+    nines = F.repeat(F.lit("9"), F.char_length(digits) - F.char_length(kept))
+    last = F.translate(F.right(kept, F.lit(1)), "123456789", "012345678")
+    return F.concat(F.substring(kept, F.lit(1), F.char_length(kept) - 1), last, nines)
 
 
 def _moved(number: Column, step: Column) -> Column:
     """``number``, digits with at most one point, moved by ``step`` and rounded once, half up.
 
     Four decimals and one more digit that says whether others follow are enough to round
-    exactly. Of a longer figure the last 32 integer digits move; where that would
-    carry into the others, the figure moves the other way.
+    exactly. The last 32 integer digits move as a decimal; a carry into the digits before
+    them, or a borrow, is written out there, so figures of any length move exactly.
     """
-    whole = F.substring_index(number, ".", 1)
-    decimals = F.substring(number, F.char_length(whole) + 2, F.char_length(number))
+    whole = F.ltrim(F.substring_index(number, ".", 1), F.lit("0"))
+    decimals = F.substring(number, F.char_length(F.substring_index(number, ".", 1)) + 2, F.char_length(number))
     more = F.when(F.substring(decimals, F.lit(5), F.char_length(number)).rlike("[1-9]"), "1") \
         .otherwise("0")
     head = F.substring(whole, F.lit(1), F.greatest(F.char_length(whole) - _TAIL, F.lit(0)))
     tail = F.substring(whole, F.char_length(head) + 1, F.char_length(whole))
-    value = F.concat(tail, F.lit("."), F.rpad(F.substring(decimals, 1, 4), 4, "0"), more) \
+    value = F.concat(F.lit("0"), tail, F.lit("."), F.rpad(F.substring(decimals, 1, 4), 4, "0"), more) \
         .try_cast("decimal(38,5)")
+    limit = F.lit("1" + "0" * _TAIL).cast("decimal(38,1)")
+
+    def rounded(v):
+        return F.round(v, 1).cast("decimal(38,1)")
+
+    def with_head(front, back):
+        text = F.concat(front, F.lpad(back.cast("decimal(38,1)").cast("string"), _TAIL + 2, "0"))
+        return F.regexp_replace(text, "^0+(?=[0-9])", "")
 
-    def ways(v):
-        there, back = (F.round(v + s, 1).cast("decimal(38,1)") for s in (step, -step))
-        stays = (there >= F.lit(0).cast("decimal(38,1)")) & (there < F.lit("1" + "0" * _TAIL).cast("decimal(38,1)"))
-        return F.when(head == "", there.cast("string")).otherwise(F.concat(
-            head, F.lpad(F.when(stays, there).otherwise(back).cast("string"), _TAIL + 2, "0")))
+    def written(v):
+        there, below = rounded(v + step), rounded(v + step + limit)
+        return F.when(head == "", there.cast("string")) \
+            .when(v + step < 0, F.when(below < limit, with_head(_one_less(head), below))
+                  .otherwise(with_head(head, below - limit))) \
+            .when(there >= limit, with_head(_one_more(head), there - limit)) \
+            .otherwise(with_head(head, there))
 
-    return F.coalesce(_let(value, ways), number)
+    return F.coalesce(_let(value, written), number)
 
 
 def jitter_percents(text: Column, key: Column, seed=0) -> Column:

@@ -12,9 +12,9 @@ from steadytext import dictionaries as D
 from steadytext.functions import probs, text as X
 from steadytext.functions.entities import entity_types
 from steadytext.functions.similarity import cosine, token_cosine
-from steadytext.operators.frames import compute_once, join_lookup
+from steadytext.operators.frames import compute_once, distinct_texts, join_by_text
 from steadytext.operators.joins import external_rewrite, first_pert, join_pairs, lookup_label
-from steadytext.operators.scoring import Loader, embed_text, score_text
+from steadytext.operators.scoring import Loader, embed_text, score_distinct
 
 PRODUCTION_METHODS = ("synonym", "rewrite", "numbers")
 PROTOTYPE_METHODS = ("synonym_dict", "template", "numbers")
@@ -122,7 +122,7 @@ def _margins_for(scored: DataFrame, config: LibraryConfig, text: str, label: str
 
 def _tagged(library: DataFrame, columns: Sequence[str], scored: DataFrame,
             config: LibraryConfig) -> DataFrame:
-    joined = join_lookup(library, _margins_for(scored, config, "pert", "_y1", "_m1"), ["pert"])
+    joined = join_by_text(library, _margins_for(scored, config, "pert", "_y1", "_m1"), "pert")
     ok = F.col("passed")
     return joined.select(
         *columns,
@@ -140,7 +140,7 @@ def adversarial_tags(library: DataFrame, scored: DataFrame,
 
     ``scored(text, probs)`` holds one row per distinct text.
     """
-    sourced = join_lookup(library, _margins_for(scored, config, "orig", "_y0", "_m0"), ["orig"])
+    sourced = join_by_text(library, _margins_for(scored, config, "orig", "_y0", "_m0"), "orig")
     return _tagged(sourced, library.columns, scored, config)
 
 
@@ -152,7 +152,7 @@ def build_library(rows: DataFrame, config: LibraryConfig = DEFAULT,
     if scored is None:
         return cascade(candidates(rows, config, rewrites, text, id_col), config)
     # the source's score joins the rows, before each becomes several candidates
-    sourced = join_lookup(rows, _margins_for(scored, config, text, "_y0", "_m0"), [text])
+    sourced = join_by_text(rows, _margins_for(scored, config, text, "_y0", "_m0"), text)
     out = cascade(candidates(sourced, config, rewrites, text, id_col), config)
     plain = [c for c in out.columns if c not in ("_y0", "_m0")]
     return _tagged(out, plain, scored, config)
@@ -169,9 +169,11 @@ def build_scored_library(rows: DataFrame, loader: Loader, store,
     """
     library = store(build_library(rows, config, rewrites, None, text, id_col))
     passed = library.filter("passed")
-    texts = passed.select(F.col("orig").alias("text")).unionByName(
-        passed.select(F.col("pert").alias("text"))).distinct()
-    scored = score_text(texts, loader, model_order, config.label_order).select("text", "probs")
+    texts = passed.select(F.explode(F.array("orig", "pert")).alias("text"))
+    names = F.array(*[F.lit(x) for x in model_order])
+    # one row per text, told apart and scored by digest
+    scored = score_distinct(texts, loader, "text", "_raw").select("text", probs.reorder(
+        F.map_from_arrays(names, F.col("_raw")), config.label_order).alias("probs"))
     return adversarial_tags(library, scored, config)
 
 
@@ -197,7 +199,7 @@ def passed_pairs(library: DataFrame, only_passed: bool = True,
                  drop_duplicates: bool = True) -> DataFrame:
     kept = library.filter("passed") if only_passed else library
     pairs = kept.select("orig", "pert")
-    return pairs.distinct() if drop_duplicates else pairs
+    return distinct_texts(pairs, "orig", "pert") if drop_duplicates else pairs
 
 
 def clean_rows(rows: DataFrame) -> DataFrame:

@@ -130,6 +130,9 @@ def macro_f1(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",
         (F.coalesce(total, F.lit(0.0)) / len(labels)).alias("macro_f1"))
 
 
+FINANCE = ("negative_recall", "neutral_f1", "positive_precision")
+
+
 def finance_metrics(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",
                     group: Sequence[str] = ()) -> DataFrame:
     """Recall of negative, F1 of neutral, precision of positive."""
@@ -147,6 +150,8 @@ def finance_metrics(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred
 def robustness_report(pairs: DataFrame) -> DataFrame:
     """Clean and perturbed quality with flip rate and symmetric KL, one row per metric.
 
+    Each variant also has its finance metrics: recall of negative, F1 of neutral, precision of positive.
+
     The cells of each variant's confusion matrix are the metrics ``confusion <true> <predicted>``.
     ``pairs`` has ``y_true, pred_clean, pred_pert, p_clean, p_pert``. Labels and
     probabilities are separate measurements: neither is derived from the other.
@@ -174,4 +179,7 @@ def robustness_report(pairs: DataFrame) -> DataFrame:
         F.lit(f"confusion {t} {p}").alias("metric"),
         F.count_if((F.col("y_true") == t) & (F.col("y_pred") == p)).cast("double").alias("value"))
         for t in labels for p in labels]).alias("_cells"))
-    return quality.unionByName(drift).unionByName(cells.select("variant", F.inline("_cells")))
+    finance = finance_metrics(coded, group=["variant"]).select("variant", F.inline(F.array(*[F.struct(
+        F.lit(c).alias("metric"), F.col(c).alias("value")) for c in FINANCE])))
+    return quality.unionByName(drift).unionByName(cells.select("variant", F.inline("_cells"))) \
+        .unionByName(finance)

@@ -7,9 +7,10 @@ arrays in the reward label order.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steadytext import constants as K
@@ -26,6 +27,64 @@ class RewardWeights:
     anchor: float = K.W_ANCHOR
 
 
+# ------------------------------------------------------- rewards of a caller
+
+@dataclass(frozen=True)
+class RewardFunction:
+    """A reward that a caller adds to ``reward_total``.
+
+    Give either ``native``, which makes a column of the input columns, or ``batch``, a loader called once per
+    task whose function gets the input columns of a batch as Arrow arrays and returns as many numbers.
+    It is enabled if its weight is positive and the table has all its inputs. ``zscore`` standardises
+    it within the batch: ``floor`` or ``shift`` as for the built-in rewards, None for raw values. A null
+    or non-finite value counts 0 after standardising.
+    """
+
+    name: str
+    inputs: tuple[str, ...]
+    native: Callable[..., Column] | None = None
+    batch: Callable[[], Callable] | None = None
+    weight: float | None = 1.0
+    zscore: str | None = "floor"
+
+    def __post_init__(self) -> None:
+        if (self.native is None) == (self.batch is None):
+            raise ValueError(f"reward {self.name!r} needs either a native or a batch function")
+        if self.zscore not in (None, *_GUARDS):
+            raise ValueError(f"unknown standardisation {self.zscore!r}")
+
+    def enabled(self, columns: Sequence[str]) -> bool:
+        return self.weight is not None and self.weight > 0 and set(self.inputs) <= set(columns)
+
+    def value(self) -> Column:
+        inputs = [F.col(c) for c in self.inputs]
+        if self.native is not None:
+            raw = self.native(*inputs).cast("double")
+        else:
+            loader = self.batch
+
+            @F.arrow_udf("double")
+            def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+                reward = loader()
+                for columns in batches:
+                    values = reward(*columns)
+                    yield values if isinstance(values, pa.Array) else pa.array(values, pa.float64())
+
+            raw = run(*inputs)
+        return F.when(F.abs(raw) < float("inf"), raw)       # neither NaN nor infinite
+
+
+REWARD_FUNCTIONS: dict[str, RewardFunction] = {}
+
+
+def register_reward(reward: RewardFunction) -> RewardFunction:
+    """Make a reward known by its name to ``reward_total``."""
+    if reward.name in REWARD_FUNCTIONS:
+        raise ValueError(f"reward {reward.name!r} registered twice")
+    REWARD_FUNCTIONS[reward.name] = reward
+    return reward
+
+
 # ----------------------------------------------------------- row rewards
 
 def gt_logprob(p: Column, truth: Column, order: Sequence[str] = K.REWARD_ORDER) -> Column:
@@ -126,12 +185,26 @@ def reward_total(df: DataFrame, weights: RewardWeights = RewardWeights(),
                  teacher: str | None = "p_teacher", anchor: str | None = "p_anchor",
                  pert: str | None = "pert_prompt", p: str = "p_student",
                  p_pert: str = "p_pert", truth: str = "ground_truth",
-                 keys: Sequence[str] = ("batch_id",)) -> DataFrame:
+                 keys: Sequence[str] = ("batch_id",),
+                 extra: Sequence[RewardFunction | str] = (), store=None) -> DataFrame:
     """All enabled rewards and their sum, from one pass of batch statistics.
 
     The ground-truth reward is always enabled; the others need a positive weight
-    and their input.
+    and their input. ``extra`` are a caller's rewards, given or named as registered; each becomes a
+    column ``r_<name>``, 0 where it is not enabled. Batch functions run once per row: their
+    values are kept by ``store`` (DataFrame -> DataFrame, a write to shared storage and a read)
+    before the statistics are taken.
     """
+    added = [REWARD_FUNCTIONS[r] if isinstance(r, str) else r for r in extra]
+    if len({r.name for r in added} | {"gt", "teacher", "consistency", "anchor"}) < len(added) + 4:
+        raise ValueError("two rewards of one name")
+    used = {r.name: r for r in added if r.enabled(df.columns)}
+    columns = df.columns
+    slow = {f"_x_{n}": r.value() for n, r in used.items() if r.batch is not None}
+    if slow:
+        if store is None:
+            raise ValueError("batch rewards need a store")
+        df = store(df.withColumns(slow))
     base = {"_gt": gt_logprob(F.col(p), F.col(truth))}
     use_teacher = teacher is not None and weights.teacher > 0
     use_cons = pert is not None and weights.consistency > 0
@@ -140,7 +213,9 @@ def reward_total(df: DataFrame, weights: RewardWeights = RewardWeights(),
         base["_te"] = teacher_alignment(F.col(p), F.col(teacher))
     if use_cons:
         base["_co"] = consistency(F.col(p), F.col(p_pert), F.col(pert))
+    base |= {f"_x_{n}": r.value() for n, r in used.items() if r.native is not None}
     rows = compute_once(df, **base)
+    base |= dict.fromkeys(slow)
     stats = {}
     for c in base:
         stats |= {c + "_m": F.avg(c), c + "_s": F.stddev_pop(c)}
@@ -160,7 +235,13 @@ def reward_total(df: DataFrame, weights: RewardWeights = RewardWeights(),
             weights.consistency * z("_co", _z_shift)) if use_cons else zero,
         "r_anchor": anchor_kl(F.col(p), F.col(anchor), weights.anchor) if use_anchor else zero,
     }
-    wide = wide.select(*df.columns, *[v.alias(n) for n, v in parts.items()])
+    for r in added:
+        own = zero
+        if r.name in used:
+            c = f"_x_{r.name}"
+            own = F.coalesce(r.weight * (F.col(c) if r.zscore is None else z(c, _GUARDS[r.zscore])), zero)
+        parts[f"r_{r.name}"] = own
+    wide = wide.select(*columns, *[v.alias(n) for n, v in parts.items()])
     return wide.withColumn("reward", sum((F.col(n) for n in parts), zero))
 
 

@@ -163,8 +163,27 @@ def with_shuffle_key(df: DataFrame, seed=K.SHUFFLE_SEED, id_col: str = "sample_i
 
 
 def sample_batch(df: DataFrame, k: int, step: int, seed=0, id_col: str = "sample_id") -> DataFrame:
-    """``k`` rows without replacement for one step."""
-    return df.orderBy(digest(seed, F.lit(step), F.col(id_col)), id_col).limit(k)
+    """``k`` rows without replacement for one step: the first of the step's seeded order.
+
+    Rows are counted by the first digits of their digest. Buckets before the one where the ``k``-th row
+    lies are taken whole by a filter, and that bucket alone, about one row in 65,536, is ranked.
+    So ``k`` may be any number; no row is gathered and nothing is sorted as a whole.
+    """
+    keyed = df.withColumn("_key", digest(seed, F.lit(step), F.col(id_col))) \
+        .withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    sizes = keyed.groupBy("_bucket").count().collect()      # 65,536 rows at most
+    before, last, missing = 0, None, 0
+    for bucket, n in sorted(sizes):
+        if before + n >= k:
+            last, missing = bucket, k - before
+            break
+        before += n
+    if last is None:
+        return df
+    within = Window.partitionBy("_bucket").orderBy("_key", id_col)
+    tied = keyed.filter(F.col("_bucket") == last).repartition("_bucket") \
+        .withColumn("_rank", F.row_number().over(within)).filter(F.col("_rank") <= missing)
+    return keyed.filter(F.col("_bucket") < last).select(*df.columns).unionByName(tied.select(*df.columns))
 
 
 def head_n(df: DataFrame, n: int, id_col: str = "sample_id") -> DataFrame:
@@ -194,6 +213,29 @@ def assign_exact_batch(df: DataFrame, batch_size: int, id_col: str = "sample_id"
         *df.columns, F.floor((F.col("_rank") - 1) / batch_size).cast("long").alias("batch_id"))
 
 
+def assign_ordered_batch(df: DataFrame, batch_size: int, store, id_col: str = "sample_id",
+                         range_rows: int = 1 << 18) -> DataFrame:
+    """Contiguous batches of exactly ``batch_size`` rows in the order of any ids, the last one aside.
+
+    Rows are cut into ranges at sampled quantiles of the id and kept by ``store`` (DataFrame -> DataFrame, a
+    write to shared storage and a read), as another sample would cut elsewhere. Ranges are counted,
+    and rows are ranked inside their range only. Rows that share an id follow one another in an order
+    of their own digest, and may lie in several ranges; null ids come first.
+    """
+    rows = df.withColumn("_tie", F.xxhash64(*df.columns))
+    ranges = max(1, -(-df.count() // range_rows))
+    cut = store(rows.repartitionByRange(ranges, id_col, "_tie").withColumn(
+        "_range", F.spark_partition_id()))
+    counts = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    # one row per range
+    before = counts.select("_range", (F.sum("_n").over(
+        Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_n")).alias("_before"))
+    within = Window.partitionBy("_range").orderBy(F.asc_nulls_first(id_col), "_tie")
+    rank = F.row_number().over(within) - 1 + F.col("_before")
+    return cut.join(F.broadcast(before), "_range").select(
+        *df.columns, F.floor(rank / batch_size).cast("long").alias("batch_id"))
+
+
 def drop_unpaired(df: DataFrame, pert: str = "pert") -> DataFrame:
     """Rows that have a perturbed counterpart."""
     return df.filter(F.col(pert).isNotNull())

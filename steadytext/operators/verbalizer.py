@@ -6,7 +6,9 @@ supplied tokenisation of spellings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from steadytext import constants as K
 from steadytext.functions.text import WHITESPACE, strip
@@ -92,13 +94,27 @@ def report_counts(verbalizer: DataFrame) -> DataFrame:
     return verbalizer_report(verbalizer).groupBy("label", "list").agg(F.count("*").alias("n"))
 
 
-def sorted_ids(seeds: DataFrame, vocab: DataFrame, default_id: int) -> DataFrame:
-    """Sorted distinct ids per label, last token of multi-token words.
+def sorted_ids(seeds: DataFrame, vocab: DataFrame,
+               default: int | str = K.VERBALIZER_DEFAULT_WORD) -> DataFrame:
+    """(label, rank, id): the distinct last tokens of a label's words in order, ranked from 1.
 
-    The set is bounded by the vocabulary. A label without ids gets the default.
+    One row per label and id, so no label's ids are gathered. A label without ids gets the default, an id
+    or a word of the vocabulary (an unknown word: null).
     """
-    last = F.try_element_at("token_ids", F.lit(-1))
-    ids = tokenized(seeds, vocab).groupBy("label").agg(
-        F.sort_array(F.collect_set(last)).alias("ids"))
-    return ids.select("label", F.when(F.size("ids") == 0, F.array(F.lit(default_id)))
-                      .otherwise(F.col("ids")).alias("ids"))
+    last = F.try_element_at("token_ids", F.lit(-1)).alias("id")
+    found = tokenized(seeds, vocab).select("label", last)
+    ids = found.where("id IS NOT NULL").distinct()
+    lone = found.select("label").distinct().join(ids.select("label"), "label", "left_anti")
+    if isinstance(default, str):
+        lone = tokenized(lone.withColumn("word", F.lit(default)), vocab).select("label", last)
+    else:
+        lone = lone.withColumn("id", F.lit(default))
+    order = Window.partitionBy("label").orderBy("id")
+    return ids.unionByName(lone).select("label", F.row_number().over(order).alias("rank"), "id")
+
+
+def seed_table(spark: SparkSession,
+               seeds: Mapping[str, Sequence[str]] = K.VERBALIZER_SEEDS) -> DataFrame:
+    """(label, ord, word) of the words tried per label, by default the published ones."""
+    rows = [(label, i, word) for label, words in seeds.items() for i, word in enumerate(words)]
+    return spark.createDataFrame(rows, "label string, ord long, word string")

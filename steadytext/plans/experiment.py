@@ -23,7 +23,8 @@ from steadytext.sources.files import materialize
 @dataclass(frozen=True)
 class Experiment:
     """``source`` names the input and its version, ``rewrites`` those of the rewrite table; both are
-    part of stored paths, so another table never finds the library of the first."""
+    part of stored paths, and so is the content of the tables themselves, so neither another table
+    nor changed rows under the same name find the library of the first."""
 
     root: str
     source: str
@@ -46,7 +47,7 @@ def stored_split(rows: DataFrame, exp: Experiment) -> DataFrame:
         rows.sparkSession,
         lambda: S.experiment_split(rows, exp.n_train, exp.n_test, exp.n_eval, exp.seed,
                                    exp.eval_seed),
-        exp.root, "split", exp.params())
+        exp.root, "split", exp.params(), rows)
 
 
 def part(split: DataFrame, name: str) -> DataFrame:
@@ -57,10 +58,11 @@ def stored_library(split: DataFrame, exp: Experiment, name: str,
                    rewrites: DataFrame | None = None) -> DataFrame:
     if (rewrites is None) != (exp.rewrites == ""):
         raise ValueError("name the rewrite table and its version in Experiment.rewrites")
+    used = [part(split, name)] + ([] if rewrites is None else [rewrites])
     return materialize(
         split.sparkSession, lambda: L.build_library(part(split, name), exp.library, rewrites),
         exp.root, f"library-{name}",
-        exp.params(library=asdict(exp.library), part=name, rewrites=exp.rewrites))
+        exp.params(library=asdict(exp.library), part=name, rewrites=exp.rewrites), used)
 
 
 def baseline(rows: DataFrame, exp: Experiment, model: Loader) -> DataFrame:

@@ -174,10 +174,14 @@ def test_verbalizer_build_against_brute_force(spark):
     strict = B.build_verbalizer(s, v, prefer_single_token=False, auto_variant_search=False)
     assert {r.reason for r in strict.filter("label = 'n' AND ord <> 1").collect()} == {
         "multi_token_ignored"}
-    ids = {r.label: r.ids for r in B.sorted_ids(s, v, 99).collect()}
-    assert ids == {"p": [7, 9], "n": [5, 9]}
+    ids = sorted(tuple(r) for r in B.sorted_ids(s, v, 99).collect())
+    assert ids == [("n", 1, 5), ("n", 2, 9), ("p", 1, 7), ("p", 2, 9)]
     lone = spark.createDataFrame([("x", 0, "unknown")], s.schema)
-    assert B.sorted_ids(lone, v, 99).first().ids == [99]
+    assert tuple(B.sorted_ids(lone, v, 99).first()) == ("x", 1, 99)
+    assert tuple(B.sorted_ids(lone, v, " rally").first()) == ("x", 1, words[" rally"][-1])
+    assert B.sorted_ids(lone, v).first().id is None       # the default word is not in this vocabulary
+    assert {r.label: r["count"] for r in B.seed_table(spark).groupBy("label").count().collect()} == {
+        "negative": 15, "neutral": 10, "positive": 15}
     chosen = {r.seed: r.word for r in B.choose_variants(
         spark.createDataFrame([("p", 0, "up "), ("p", 1, "a b")], s.schema), v).collect()}
     # "up" is the third spelling of "up "; nothing is known for "a b", so the last one stays
