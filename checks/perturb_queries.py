@@ -112,14 +112,14 @@ def _(spark, sf):
 
 GUARDED = ("'sales rose at Nokia as Strong demand rose. ' || text || "
            "' as weak demand fell by 3.5 % for Apple'")
-FIGURE_SPANS = S.quote(entity_pattern({}))
+FIGURE_SPANS = S.quote(S.FIGURE_SPAN)
 
 
 @query("synonym_replace_guarded_table", f"""WITH {S.LEXICON}, {S.GUARD_NAMES}, syn AS (SELECT surface,
 list(replace(synonym, '_', ' ') ORDER BY ord) AS synonyms FROM lexicon WHERE sense = 0
 AND lower(synonym) <> lower(surface) GROUP BY surface),
 d AS (SELECT doc_id AS sample_id, {GUARDED} AS text FROM documents),
-cut AS (SELECT sample_id, string_split(regexp_replace(text, {S.quote(X.WHITESPACE)}, ' ', 'g'), ' ') AS p
+cut AS (SELECT sample_id, string_split(regexp_replace(text, {S.quote(S.WHITESPACE)}, ' ', 'g'), ' ') AS p
 FROM d), words AS (SELECT sample_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM cut),
 places AS (SELECT * FROM (SELECT sample_id, w,
 sum(length(w) + 1) OVER (PARTITION BY sample_id ORDER BY i) - length(w) - 1 AS start,

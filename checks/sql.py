@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from checks.views import GUARDED_NAMES, HEADLINE_COLUMNS
+import re
+
+from checks.views import GUARDED_NAMES
 from steadytext import constants as K
 from steadytext import dictionaries as D
-from steadytext.functions.entities import MONEY_PATTERN, PERCENT_PATTERN, entity_pattern
-from steadytext.functions.text import WHITESPACE
 
-HEADLINES = f"headlines AS (SELECT {', '.join(HEADLINE_COLUMNS)} FROM orders)"
+# Written here once more, not taken from the code under test: what whitespace is (as Python's str.split
+# sees it), what sums and percentages look like, and the headlines.
+WHITESPACE = "[" + "".join(rf"\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace()) + "]"
+PERCENT_PATTERN = r"\d[ \t]?%"
+MONEY_PATTERN = (r"([$€£]|EUR|USD|GBP)[ \t]?\d|\d[ \t]?(EUR|USD|GBP|euro|euros|dollar|dollars|mn|bn|million|billion)\b")
+FIGURE_SPAN = r"\d+([.,]\d+)*[ \t]?%|([$€£]|(EUR|USD|GBP) )\d+([.,]\d+)*"
+
+HEADLINES = """headlines AS (SELECT o_orderkey AS sample_id,
+    CASE WHEN o_orderstatus = 'F' THEN 'negative' WHEN o_orderstatus = 'O' THEN 'neutral' ELSE 'positive' END
+    AS sentiment,
+    coalesce((['Barclays', 'Apple', 'United', 'Nokia', 'BP'])[o_custkey % 6 + 1], 'The company') || ' ' ||
+    (['reported strong demand and sales rose', 'missed expectations as profits fell', 'said revenues increased',
+      'beat expectations while shares soared', 'plunged sharply on weak demand by', 'was up', 'was down',
+      'kept its outlook unchanged with growth of'])[o_orderkey % 8 + 1] || ' ' ||
+    (round(o_totalprice * 100)::BIGINT % 300) // 10 || '.' || round(o_totalprice * 100)::BIGINT % 10 ||
+    CASE o_orderkey % 2 WHEN 0 THEN ' %' ELSE '%' END || ' in ' || year(o_orderdate) AS text FROM orders)"""
 
 REWRITES = """rewrites AS (SELECT * FROM (SELECT text AS orig,
     replace(replace(replace(text,'revenues','turnover'),'shares','the stock'),
@@ -208,7 +223,9 @@ def entities(x: str) -> str:
         f"CASE WHEN {t} THEN '{k}' END" for k, t in tests.items()) + ")"
 
 
-ENTITY_SPANS = entity_pattern(D.GAZETTEER)
+# figures first, then names, the longest first
+ENTITY_SPANS = "|".join([FIGURE_SPAN] + [re.escape(n) for n in sorted(
+    {n for names in D.GAZETTEER.values() for n in names}, key=lambda n: (-len(n), n))])
 
 
 def sim_ctes(name: str, source: str, keys="sample_id, method_ord") -> str:
