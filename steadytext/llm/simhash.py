@@ -264,28 +264,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> Da
             piece = piece.filter(pa.array(known_bits.value[piece.column("bit").to_numpy()]))
             data, offsets = text_bytes(piece.column("text"))
             raw, at = data.tobytes(), offsets.tolist()
-            found = [np.unique(shingle_hashes(raw[a:b], words).astype(np.uint64)).tobytes()
+            found = [np.unique(shingle_hashes(raw[a:b], words).astype(np.uint64)).astype(np.int64)
                      for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("id"), pa.array(found, pa.binary())], ["id", "shingles"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "x"):
-            good = []
-            for x, y in zip(piece.column("x").to_pylist(), piece.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                good.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(
-                [piece.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            bounds = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            listed = pa.ListArray.from_arrays(bounds, pa.array(
+                np.concatenate([np.zeros(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([piece.column("id"), listed], ["id", "shingles"])
 
-    known = stored(rows.mapInArrow(sets, "id long, shingles binary"))
+    known = stored(rows.mapInArrow(sets, "id long, shingles array<long>"))
     # a doc_id that stands for several texts counts with one of them
     once = known.groupBy("id").agg(F.min("shingles").alias("shingles"))
     x = once.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     y = once.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    found = stored(join_lookup(join_lookup(pairs, x, ["a"], "inner"), y, ["b"], "inner").mapInArrow(
-        compare, "a long, b long"))
+    met = join_lookup(join_lookup(pairs, x, ["a"], "inner"), y, ["b"], "inner")
+    both = F.size(F.array_intersect("x", "y"))
+    every = F.size("x") + F.size("y")
+    found = stored(met.select("a", "b", both.alias("both"), every.alias("every")).where(
+        F.col("both") >= least * (F.col("every") - F.col("both"))).select("a", "b"))
     release(known)
     return found
 

@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from steadytext.llm import mixing, queries, simhash, wrappers
 from steadytext.llm.components import components
+from steadytext.llm.storage import stored
 from tests.llm.helpers import SF, empty_docs, odd_docs, sentences
 
 
@@ -196,3 +198,49 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "near_copies":
             assert docs.count() == docs.select("doc_id").distinct().count()
     assert docs.where("size(token_ids) <> n_tokens").count() == 0
+
+
+def test_deep_long_and_broken_pages():
+    deep = "<article>" + "<div>" * 2000 + "core" + "</div>" * 2000 + "<p>after</p></article><p>beside</p>"
+    assert wrappers.main_text(deep) == "core\nafter"
+    nested = "<main><p>a</p>" + "<div>" * 150 + "<nav>menu<div>x</div></nav>b" + "</div>" * 150 + "<p>c</p></main>"
+    assert wrappers.main_text(nested) == "a\nb\nc"
+    start = time.perf_counter()
+    for broken in ("<a " * 50_000, "<a \"" * 20_000, "<p>x</p>" + "<a '" * 20_001 + ">", "<" * 50_000, "<!--" * 20_000,
+                   "<a b='" * 20_000 + ">"):
+        wrappers.skeleton(broken)
+    rows = lambda n, m: "<table>" + "".join(f"<tr><td>{i}</td><td>{'<b>x</b>' * (i % m)}y</td></tr>"
+                                            for i in range(n)) + "</table>"
+    for n, m in ((1500, 2), (1500, 7)):
+        tree = wrappers.fold(wrappers.parse(rows(n, m)))
+        assert len(wrappers.align(tree, wrappers.skeleton(rows(n + 5, m)))) > n
+    assert time.perf_counter() - start < 20
+
+
+def test_parts_of_names_say_nothing_inside_an_article():
+    page = ('<body><div class="site-menu">m</div><article><p class="share-price">price</p><div class="comment-free">'
+            'free</div><div class="ad">advert</div><section id="comments">c</section></article></body>')
+    assert wrappers.main_text(page) == "price\nfree"
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_stages_follow_one_another_on_odd_and_empty_tables(spark, tmp_path, kind):
+    """Null and empty texts, repeated rows and clashing columns pass through all stages."""
+    spark.createDataFrame([(6, 1, 0), (8, 0, 1), (5, 1, 0), (None, 1, 1)],
+                          "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = odd_docs(spark) if kind == "odd" else empty_docs(spark)
+    columns, before = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, str(tmp_path)))
+        after = docs.count()
+        if name != "bpe":
+            assert docs.columns == columns, name
+        if name in ("language", "toxicity", "near_copies"):
+            assert after <= before
+        if name == "near_copies":
+            ids = [r["doc_id"] for r in docs.collect() if r["doc_id"] is not None]
+            assert len(ids) == len(set(ids))
+        before = after
+    assert {"token_ids", "n_tokens"} <= set(docs.columns)
+    assert all(r["n_tokens"] == len(r["token_ids"]) for r in docs.collect())
+    assert kind == "odd" or before == 0

@@ -231,3 +231,27 @@ def test_neighbours_ties_and_odd_vectors(spark):
     found = neighbours.nearest(table, lambda i: i % 50 == 0).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in found] == [(3, 1.0), (7, 1.0), (9, 0.0)]
     assert neighbours.nearest(table.limit(0), lambda i: i % 50 == 0).count() == 0
+
+
+def test_neighbours_of_extreme_norms(spark):
+    """Factor one is exact for finite vectors of any size; scores are those of exact arithmetic."""
+    from fractions import Fraction
+    draw = np.random.default_rng(3)
+    vectors = draw.normal(size=(300, 8)) * 10.0 ** draw.choice([-200, -30, 0, 30, 200], size=(300, 1))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(300, [5e-324] * 8), (301, [1e308] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(df, lambda i: i % 50 == 0, factor=1.0, shard_rows=100).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    exact = {i: [Fraction(x) for x in v] for i, v in rows}
+
+    def square(a, b):      # the cosine's square with its sign
+        dot = sum(x * y for x, y in zip(a, b))
+        return dot * abs(dot) / (sum(x * x for x in a) * sum(x * x for x in b))
+
+    for q in range(0, 302, 50):
+        order = sorted((i for i in exact if i != q), key=lambda i: (-square(exact[q], exact[i]), i))
+        assert [i for _, i, _ in sorted(found[q])] == order[:5]
+        for _, i, score in found[q]:
+            s = float(square(exact[q], exact[i]))
+            assert score == pytest.approx(np.sign(s) * abs(s) ** 0.5, abs=1e-12)
