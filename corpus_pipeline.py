@@ -14,11 +14,20 @@ from steadytext.llm.sampling import fold
 from steadytext.llm.storage import stored
 
 
+BATCH_ROWS = 1000     # whole documents in one batch for Python; the default of 10,000 is meant for short rows
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    """Bound the memory that batches of whole texts take on both sides, whatever the stage before."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: those that language identification rejects go.
 
     Learned from the given languages of folds 1 to 4.
     """
+    _in_small_batches(spark)
     model = language.fit_language(docs.select("doc_id", "text", "lang").where(fold() != 0))
     found = language.predict(docs, model)
     return found.where(~F.col("lang_rejected")).select(*docs.columns)
@@ -29,6 +38,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Learned from the labelled documents of folds 1 to 4.
     """
+    _in_small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit_toxicity(docs, labels.where(fold() != 0))
     scored = toxicity.severity(docs, model)
@@ -37,16 +47,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts alike in 0.8 of their five-word shingles or more."""
+    _in_small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, shuffled inside output shards."""
+    _in_small_batches(spark)
     return mixing.mix(docs)
 
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids and number of tokens."""
+    _in_small_batches(spark)
     return bpe.encode(docs, tokenizer_path()).withColumn(
         "n_tokens", F.size("token_ids").cast("long"))
 
