@@ -329,3 +329,74 @@ def test_no_exchange_hashes_a_text(spark):
 def test_new_queries_are_registered():
     assert {"synonym_replace_guarded_table", "guard_by_model", "reward_total_extra", "cosine_sparse", "minibatch_ordered",
             "sample_batch_large", "jitter_percent_carry", "train_classifier_rows", "src_headlines"} <= set(QUERIES)
+
+
+# ------------------------------------------------------- words of a lexicon
+
+def _plain_guarded(key, text, table, names, most):
+    """Words of the table replaced one after another, as the operator's text says."""
+    import hashlib
+    from steadytext.functions.text import _OTHER_SPACES
+    spans = plain_spans(text, names)
+    at, start, words, hits = 0, 0, [], []
+    for part in text.translate({ord(c): " " for c in _OTHER_SPACES}).split(" "):
+        if part:
+            if part.lower() in table and not any(a < start + len(part) and start < b for a, b in spans):
+                hits.append((hashlib.md5(f"0:{key}:{at}".encode()).hexdigest(), at))
+            words.append(part)
+            at += 1
+        start += len(part) + 1
+    for _, at in sorted(hits)[:most]:
+        words[at] = table[words[at].lower()]
+    return " ".join(words) if words else text
+
+
+def test_guarded_words_of_odd_texts_against_plain_search(spark):
+    table = {"rose": "climbed", "fell": "dropped", "é\u0001": "e"}
+    names = ["a rose", "日本 fell", "  "]
+    draw = random.Random(3)
+    bits = ["rose", "Rose", "FELL", "fell", "a", "日本", "é\u0001", "\u0001", "", "", "x\u0001y", "𝔘", "\t", "　", "fell rose"]
+    texts = [" ".join(draw.choice(bits) for _ in range(draw.randrange(40))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)) * 2, "sample_id int, text string")
+    rows_of = spark.createDataFrame([(w, w, 0, 0, s) for w, s in table.items()] + [(None, None, 0, 0, "x")],
+                                    "surface string, lemma string, sense int, ord int, synonym string")
+    out = lexicon.replace_forms_guarded_from(rows, rows_of, spark.createDataFrame([(n,) for n in names], "name string"),
+                                             max_repl=3, figures=False).collect()
+    assert len(out) == 120
+    assert all(r.pert == _plain_guarded(r.sample_id, r.text, table, names, 3) for r in out)
+
+
+
+
+@pytest.mark.parametrize("guarded", [False, True])
+def test_only_words_found_leave_their_rows(spark, guarded, tmp_path):
+    rows = spark.range(300).select(F.col("id").cast("int").alias("sample_id"), F.concat(
+        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2000)), lambda i: F.md5(i.cast("string"))), " "),
+        F.lit(" rose "), F.col("id").cast("string")).alias("text"))
+    path = str(tmp_path / "rows")
+    rows.repartition(2).write.parquet(path)
+    rows = spark.read.parquet(path)
+    table = spark.createDataFrame([("rose", "rise", 0, 0, "climbed")],
+                                  "surface string, lemma string, sense int, ord int, synonym string")
+    if guarded:
+        out = lexicon.replace_forms_guarded_from(rows, table, spark.createDataFrame([("zz",)], "name string"))
+    else:
+        out = lexicon.replace_from_lexicon(rows, table, F.lit(1), [])
+    assert out.filter("pert LIKE '% climbed %'").count() == 300
+    seen = out.groupBy().agg(F.sum(F.length("pert")))
+    seen.collect()
+    plan = seen._jdf.queryExecution().executedPlan()
+    records = []
+
+    def walk(node):
+        found = node.metrics().get("shuffleRecordsWritten")
+        if found.isDefined():
+            records.append(found.get().value())
+        name = node.getClass().getSimpleName()
+        below = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") \
+            else [node.children().apply(i) for i in range(node.children().size())]
+        for child in below:
+            walk(child)
+
+    walk(plan)
+    assert records and max(records) <= 10 * 300     # 2,003 words a text stay in the row
