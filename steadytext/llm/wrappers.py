@@ -10,13 +10,13 @@ are left out whether they vary or not.
 from __future__ import annotations
 
 import html as entities
-import math
 import pickle
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -60,7 +60,7 @@ BESIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "form",
 _OPEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?/]")
 _STOP = re.compile(r"[>\"']")
 DEPTH = 100            # blocks nested deeper are read as one after another
-CELLS = 1 << 14        # pairs of children that are matched in full; longer lists are cut first
+CELLS = 1 << 20        # cells of a table of child pairs that are held at a time
 _MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?",
                     re.I | re.S)
 _WORDS = re.compile(r"[a-z]+")
@@ -261,46 +261,106 @@ def align(page: Slot, reference: tuple) -> dict[int, Slot]:
         count += 1
         todo.extend(reversed(node[2]))
 
-    shape: dict[int, int] = {}      # structure of a slot, equal ones alike
+    numbers: dict[tuple, int] = {}      # structure -> its number
+    shape: dict[int, int] = {}          # slot -> number of its structure, equal ones alike
+    sizes: dict[tuple[int, int], int] = {}
 
     def shape_of(node) -> int:
         if id(node) not in shape:
             label, inner = (node.label, node.children) if isinstance(node, Slot) else (node[0], node[2])
-            shape[id(node)] = hash((label, *map(shape_of, inner)))
+            shape[id(node)] = numbers.setdefault((label, *map(shape_of, inner)), len(numbers))
         return shape[id(node)]
 
-    def match(a: Slot, b: tuple) -> tuple[int, list]:
+    def parted(a: Slot, b: tuple) -> tuple[list, list, list]:
+        """Children of one structure at both ends, which belong together, and those between."""
+        ours, theirs, low = a.children, b[2], 0
+        least = min(len(ours), len(theirs))
+        while low < least and shape_of(ours[low]) == shape_of(theirs[low]):
+            low += 1
+        end = 0
+        while end < least - low and shape_of(ours[-1 - end]) == shape_of(theirs[-1 - end]):
+            end += 1
+        both = [*zip(ours[:low], theirs[:low]), *zip(ours[len(ours) - end:], theirs[len(theirs) - end:])]
+        return both, ours[low:len(ours) - end], theirs[low:len(theirs) - end]
+
+    def size_of(a: Slot, b: tuple) -> int:
+        """Slots that match at most."""
         if a.label != b[0]:
-            return 0, []
-        pairs = [(number[id(b)], a)]
-        ours, theirs, size = list(a.children), list(b[2]), 1
-        # children of one structure at both ends belong together
-        for last in (0, -1):
-            while ours and theirs and shape_of(ours[last]) == shape_of(theirs[last]):
-                n, inner = match(ours.pop(last), theirs.pop(last))
-                size += n
-                pairs += inner
-        # what is left of very long lists is matched stretch by stretch
-        step = max(len(ours), len(theirs), 1)
-        if len(ours) * len(theirs) > CELLS:
-            step = math.isqrt(CELLS)
-        for at in range(0, min(len(ours), len(theirs)), step):
-            n, inner = in_order(ours[at:at + step], theirs[at:at + step])
-            size += n
-            pairs += inner
-        return size, pairs
-
-    def in_order(ours: list, theirs: list) -> tuple[int, list]:
-        pairs, rows = [], len(theirs) + 1
-        best = [[0] * rows]
-        found = []
-        for i, x in enumerate(ours):
-            line, kept = [0], [match(x, y) for y in theirs]
-            found.append(kept)
-            for j in range(rows - 1):
-                line.append(max(line[j], best[i][j + 1], best[i][j] + kept[j][0]))
-            best.append(line)
-        i, j = len(ours), rows - 1
+            return 0
+        key = shape_of(a), shape_of(b)
+        if key not in sizes:
+            both, ours, theirs = parted(a, b)
+            sizes[key] = 1 + sum(size_of(x, y) for x, y in both) + (
+                int(_last_row(Gains(ours, theirs))[-1]) if ours and theirs else 0)
+        return sizes[key]
+
+    class Gains:
+        """What matching one of our children with each of theirs adds."""
+
+        def __init__(self, ours: list, theirs: list) -> None:
+            self.ours, self.theirs, self.known = ours, theirs, {}
+            self.places: dict[str, list[int]] = {}
+            for j, y in enumerate(theirs):
+                self.places.setdefault(y[0], []).append(j)
+
+        def __len__(self) -> int:
+            return len(self.ours)
+
+        def step(self, i: int, line: np.ndarray) -> np.ndarray:
+            """The row of best sizes after child ``i``, from the one before it."""
+            kind = shape_of(self.ours[i])
+            if kind not in self.known:
+                at = self.places.get(self.ours[i].label, [])
+                self.known[kind] = np.array(at, np.int64), np.array(
+                    [size_of(self.ours[i], self.theirs[j]) for j in at], np.int32)
+            at, gain = self.known[kind]
+            upto = np.searchsorted(at, len(line) - 1)
+            at, gain = at[:upto], gain[:upto]
+            new = line.copy()
+            if upto:
+                new[at + 1] = np.maximum(new[at + 1], line[at] + gain)
+                np.maximum.accumulate(new, out=new)
+            return new
+
+    found, todo = {}, [(page, reference)]
+    while todo:
+        a, b = todo.pop()
+        if a.label != b[0]:
+            continue
+        found[number[id(b)]] = a
+        both, ours, theirs = parted(a, b)
+        todo += both
+        if ours and theirs:
+            todo += [(ours[i], theirs[j]) for i, j in _in_order(Gains(ours, theirs), len(theirs))]
+    return found
+
+
+def _last_row(gains) -> np.ndarray:
+    line = np.zeros(len(gains.theirs) + 1, np.int32)
+    for i in range(len(gains)):
+        line = gains.step(i, line)
+    return line
+
+
+def _in_order(gains, width: int) -> list[tuple[int, int]]:
+    """Pairs (i, j) in order whose gains add up to the most, for lists of any length.
+
+    Rows of the table are kept for a stretch of our children at a time and made again for the
+    others, so that long lists take time, not memory.
+    """
+    pairs: list[tuple[int, int]] = []
+
+    def trace(low: int, high: int, first: np.ndarray, j: int) -> int:
+        """Walks back from row ``high``, column ``j`` to row ``low``, whose values are ``first``."""
+        if high - low > 1 and (high - low) * (j + 1) > CELLS:
+            mid, line = (low + high) // 2, first[:j + 1]
+            for i in range(low, mid):
+                line = gains.step(i, line)
+            return trace(low, mid, first, trace(mid, high, line, j))
+        best = [first[:j + 1]]
+        for i in range(low, high):
+            best.append(gains.step(i, best[-1]))
+        i = high - low
         while i and j:
             if best[i][j] == best[i - 1][j]:
                 i -= 1
@@ -308,10 +368,11 @@ def align(page: Slot, reference: tuple) -> dict[int, Slot]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                pairs += found[i][j][1]
-        return best[-1][-1], pairs
+                pairs.append((low + i, j))
+        return j
 
-    return dict(match(page, reference)[1])
+    trace(0, len(gains), np.zeros(width + 1, np.int32), width)
+    return pairs
 
 
 def _slots(reference: tuple) -> list[tuple]:

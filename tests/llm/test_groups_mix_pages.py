@@ -1,3 +1,4 @@
+import random
 import re
 import time
 
@@ -244,3 +245,27 @@ def test_stages_follow_one_another_on_odd_and_empty_tables(spark, tmp_path, kind
     assert {"token_ids", "n_tokens"} <= set(docs.columns)
     assert all(r["n_tokens"] == len(r["token_ids"]) for r in docs.collect())
     assert kind == "odd" or before == 0
+
+
+def test_long_lists_of_children_align_like_short_ones():
+    def page(labels):
+        return "<body>" + "".join(f"<div class=x{i}>t{i}</div>" for i in labels) + "</body>"
+
+    # moved by more than any stretch
+    found = wrappers.align(wrappers.fold(wrappers.parse(page([*range(900, 1200), *range(300), 5000]))),
+                           wrappers.skeleton(page([*range(300), *range(2000, 2300)])))
+    assert sum(s.label.startswith("div") for s in found.values()) == 300
+    draw = random.Random(5)
+    for cells in (1, 50, 1 << 20):      # how many cells are held makes no difference
+        wrappers.CELLS, before = cells, wrappers.CELLS
+        try:
+            ours, theirs = ([draw.randrange(12) for _ in range(n)] for n in (70, 90))
+            slots = wrappers.align(wrappers.fold(wrappers.parse(page(ours))), wrappers.skeleton(page(theirs)))
+        finally:
+            wrappers.CELLS = before
+        runs = [[x for i, x in enumerate(xs) if not i or x != xs[i - 1]] for xs in (ours, theirs)]
+        best = [[0] * (len(runs[1]) + 1) for _ in range(len(runs[0]) + 1)]
+        for i, x in enumerate(runs[0]):
+            for j, y in enumerate(runs[1]):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (x == y))
+        assert sum(s.label.startswith("div") for s in slots.values()) == best[-1][-1]
