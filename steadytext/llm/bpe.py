@@ -1,9 +1,10 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash over the last four bytes decides where a text is cut into chunks: at most
-gaps between words, and rarely inside a run without blanks. Equal passages are cut alike
-wherever they stand, so documents share chunks, and a task encodes each distinct chunk
-once and keeps its ids. At a cut between words the ids of both sides stand as they are. At a
+A rolling hash over the last four bytes decides where a text is cut into chunks of several
+words: at some gaps between words, and rarely inside a run without blanks. Equal passages are cut
+alike wherever they stand, so documents share chunks, and a task encodes each distinct chunk
+once and keeps its ids. The words of a new chunk are looked up in the same way before the
+tokenizer sees them. At a cut between words the ids of both sides stand as they are. At a
 cut inside a word the word around it is encoded again and replaces both parts: the repair
 widens to the nearest blanks, where the tokenizer's own splitting agrees with it.
 """
@@ -21,15 +22,17 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from steadytext.llm.scan import (DIGIT, LETTER, SPACE, Powers, byte_kinds, lower_bytes, pieces,
                                  span_hashes, text_bytes)
 
-KEEP_GAP = 64      # one gap in so many stays inside its chunk
+CUT_GAP = 8        # one gap between words in so many ends a chunk
 CUT_WORD = 4096    # one byte in so many ends a chunk inside a word
 CHUNKS_KEPT = 1 << 18
 
 
 def chunk_bounds(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray,
-                 keep_gap: int = KEEP_GAP, cut_word: int = CUT_WORD, classes: bool = False):
+                 cut_gap: int = CUT_GAP, cut_word: int = CUT_WORD, classes: bool = False):
     """(start, end, document, joined) of the chunks of a byte buffer.
 
+    A gap between words ends a chunk if the rolling hash of the bytes before it says so, one in
+    ``cut_gap``; a gap of 1 makes every word a chunk. A ``cut_word`` of 0 cuts no word.
     ``joined`` marks a chunk that begins inside a word: its join with the chunk before
     it needs a repair. Blanks at the ends of a chunk are left out. ``classes`` lets a word
     also end between an ASCII letter and an ASCII sign or digit (an apostrophe stays with
@@ -59,13 +62,13 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray,
         stops[:-1] |= turn
     word_start = np.flatnonzero(begins)
     gap_end = np.flatnonzero(stops) + 1   # ends of words
-    # a gap is cut unless the hash of the bytes before it says otherwise
+    # a gap is cut if the hash of the bytes before it says so, or between texts
     cut = np.ones(len(word_start), bool)
-    cut[1:] = (rolling[gap_end[:-1] - 1] % np.uint32(keep_gap) != 0) | \
+    cut[1:] = (rolling[gap_end[:-1] - 1] % np.uint32(cut_gap) == 0) | \
         (np.searchsorted(offsets, word_start[1:], "right") !=
          np.searchsorted(offsets, word_start[:-1], "right"))
     inside = np.flatnonzero((rolling[:-1] % np.uint32(cut_word) == 1) & ~blank[:-1] & ~begins[1:] & ~blank[1:] &
-                            ~first[1:n] & (data[1:] & 0xC0 != 0x80)) + 1
+                            ~first[1:n] & (data[1:] & 0xC0 != 0x80)) + 1 if cut_word else np.zeros(0, np.int64)
     start = np.concatenate([word_start[cut], inside])
     order = np.argsort(start, kind="stable")
     start = start[order]
@@ -131,11 +134,15 @@ class ChunkIds:
     A chunk is looked up by a 64-bit hash in an open table of numpy arrays, many at a time,
     and its bytes are then compared with the stored ones, so equal hashes of unlike chunks
     do no harm. Bytes and ids of all chunks lie in flat arrays. When ``kept`` chunks are
-    held, all are forgotten: the memory stays bounded and the ids stay the same.
+    held, all are forgotten: the memory stays bounded and the ids stay the same. A new chunk
+    is put together from its words, which a second table of the same kind knows.
     """
 
-    def __init__(self, tokenizer, plain_words: bool, kept: int = CHUNKS_KEPT) -> None:
+    def __init__(self, tokenizer, plain_words: bool, kept: int = CHUNKS_KEPT,
+                 of_words: bool = False) -> None:
         self.tokenizer, self.kept = tokenizer, kept
+        self.words = None if of_words else ChunkIds(tokenizer, plain_words, kept, True)
+        self.kinds = byte_kinds()
         # a lower-case Latin word is one unit for such a tokenizer: its model alone gives the ids
         self.model = tokenizer.model if plain_words else None
         self.byte_signs = byte_signs()
@@ -166,6 +173,19 @@ class ChunkIds:
         self.size[kind][at:end] = size
         self.used[kind] += len(values)
 
+    def flat_ids(self, chunks: list[bytes], classes: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks one after another, number of ids per chunk) of chunks not held."""
+        if self.words is None:
+            found = self.ids_of(chunks)
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter((i for x in found for i in x), np.int32, int(size.sum())), size
+        data = np.frombuffer(b"".join(chunks), np.uint8)
+        offsets = np.zeros(len(chunks) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)), out=offsets[1:])
+        start, end, chunk, _ = chunk_bounds(data, offsets, self.kinds, 1, 0, classes)
+        ids, size = self.words.encode(data, start, end, classes)
+        return ids, np.bincount(chunk, size, len(chunks)).astype(np.int64)
+
     def ids_of(self, chunks: list[bytes]) -> list[list[int]]:
         """Ids straight from the tokenizer."""
         texts = [c.decode("utf-8", "replace") for c in chunks]
@@ -200,9 +220,12 @@ class ChunkIds:
             open_ = open_[self.key[slot[open_]] != keys[open_]]
             slot[open_] = (slot[open_] + 1) & (self.slots - 1)
 
-    def encode(self, data: np.ndarray, start: np.ndarray,
-               end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all chunks one after another, number of ids per chunk)."""
+    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray,
+               classes: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks one after another, number of ids per chunk).
+
+        ``classes``: the chunks' words end as ``chunk_bounds`` says for it.
+        """
         if self.count > self.kept // 2:
             self.forget()
         keys = span_hashes(data, start, end, self.powers) | np.uint64(1)
@@ -215,12 +238,10 @@ class ChunkIds:
             a, b = start[first], end[first]
             chunks = [data[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist())]
             room = max(0, min(len(chunks), self.slots // 2 - self.count))
-            found = self.ids_of(chunks[:room])
+            found, size = self.flat_ids(chunks[:room], classes)
             at = np.arange(self.count, self.count + room)
             self._append("bytes", np.frombuffer(b"".join(chunks[:room]), np.uint8), (b - a)[:room])
-            size = np.fromiter(map(len, found), np.int64, room)
-            self._append("ids", np.fromiter((i for x in found for i in x), np.int32,
-                                            int(size.sum())), size)
+            self._append("ids", found, size)
             self._insert(fresh[:room], at)
             self.count += room
             which[new] = self.find(keys[new])
@@ -228,14 +249,12 @@ class ChunkIds:
         same[same] = self._equal(data, start[same], end[same], which[same])
         size = np.zeros(len(start), np.int64)
         size[same] = self.size["ids"][which[same]]
-        other = [self.ids_of([data[x:y].tobytes()])[0]
-                 for x, y in zip(start[~same].tolist(), end[~same].tolist())]
-        size[~same] = [len(x) for x in other]
+        extra, size[~same] = self.flat_ids([data[x:y].tobytes() for x, y in zip(
+            start[~same].tolist(), end[~same].tolist())], classes)
         source = np.zeros(len(start), np.int64)
         source[same] = self.start["ids"][which[same]]
         table = self.flat["ids"]
-        if other:
-            extra = np.array([i for x in other for i in x], np.int32)
+        if len(extra):
             source[~same] = len(table) + np.cumsum(size[~same]) - size[~same]
             table = np.concatenate([table, extra])
         return table[_ranges(source, size)], size
@@ -261,7 +280,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def encode_piece(column: pa.Array, known: ChunkIds, kinds: np.ndarray,
-                 lowered: np.ndarray | None = None, keep_gap: int = KEEP_GAP,
+                 lowered: np.ndarray | None = None, cut_gap: int = CUT_GAP,
                  cut_word: int = CUT_WORD) -> pa.Array:
     """list<int32> of the ids of every text. ``lowered``: see ``splits_classes``."""
     data, offsets = text_bytes(column)
@@ -269,10 +288,10 @@ def encode_piece(column: pa.Array, known: ChunkIds, kinds: np.ndarray,
     plain = lowered is not None and not any(s in raw for s in known.special)
     if plain:      # letters that the normalizer lowers anyway, so that more chunks are equal
         data = lowered[data]
-    start, end, document, joined = chunk_bounds(data, offsets, kinds, keep_gap, cut_word, plain)
+    start, end, document, joined = chunk_bounds(data, offsets, kinds, cut_gap, cut_word, plain)
     if joined.any():
         start, end, document = repaired(data, start, end, document, joined, kinds)
-    ids, size = known.encode(data, start, end)
+    ids, size = known.encode(data, start, end, plain)
     per_text = np.bincount(document, size, len(column)).astype(np.int64)
     bounds = np.zeros(len(column) + 1, np.int32)
     np.cumsum(per_text, out=bounds[1:])
@@ -280,7 +299,7 @@ def encode_piece(column: pa.Array, known: ChunkIds, kinds: np.ndarray,
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_ids",
-           keep_gap: int = KEEP_GAP, cut_word: int = CUT_WORD,
+           cut_gap: int = CUT_GAP, cut_word: int = CUT_WORD,
            splits_classes: bool = True) -> DataFrame:
     """``docs`` with an array<int> column of token ids, as the tokenizers library encodes
     the whole text without added special tokens.
@@ -307,7 +326,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "toke
         known, kinds = ChunkIds(model, splits_classes), byte_kinds()
         lowered = lower_bytes() if splits_classes else None
         for piece in pieces(batches, text):
-            found = encode_piece(piece.column(text), known, kinds, lowered, keep_gap, cut_word)
+            found = encode_piece(piece.column(text), known, kinds, lowered, cut_gap, cut_word)
             yield pa.RecordBatch.from_arrays([piece.column(c) for c in kept] + [found],
                                              [*kept, ids])
 

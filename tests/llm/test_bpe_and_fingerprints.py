@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from steadytext.llm import bpe, fingerprints, queries
-from steadytext.llm.scan import byte_kinds, lower_bytes
+from steadytext.llm.scan import byte_kinds, lower_bytes, text_bytes
 from tests.llm.helpers import SF, empty_docs, odd_docs
 
 PATH = queries.tokenizer_path()
@@ -132,3 +132,16 @@ def test_bands_find_near_texts(spark):
     found = {(r["a"], r["b"]) for r in fingerprints.near_texts(printed, 0.6).collect()}
     assert found <= {(i, 100 + i) for i in range(20)} and len(found) >= 17
     assert printed.where("doc_id IN (0, 200)").select("fingerprint").distinct().count() == 1
+
+
+def test_chunks_hold_several_words_and_equal_passages_share_them():
+    draw = np.random.default_rng(4)
+    words = ["".join(map(chr, draw.integers(97, 123, draw.integers(2, 9)))) for _ in range(3000)]
+    passage = " ".join(words[:1500])
+    texts = [passage, "other words before " + passage, " ".join(words[1500:])]
+    data, offsets = text_bytes(pa.array(texts))
+    start, end, document, joined = bpe.chunk_bounds(data, offsets, byte_kinds())
+    sizes = [len(data[a:b].tobytes().split()) for a, b in zip(start, end)]
+    assert not joined.any() and sum(sizes) == 4503 and 4 < np.mean(sizes) < 16
+    held = [{data[a:b].tobytes() for a, b in zip(start[document == d], end[document == d])} for d in (0, 1)]
+    assert len(held[0] - held[1]) <= 1      # only the first chunk of the passage may differ
