@@ -400,3 +400,23 @@ def test_only_words_found_leave_their_rows(spark, guarded, tmp_path):
 
     walk(plan)
     assert records and max(records) <= 10 * 300     # 2,003 words a text stay in the row
+
+
+def test_sparse_cosine_of_large_indices_and_unequal_values(spark):
+    entry = "struct<size:int,indices:array<int>,values:array<float>>"
+    top = 2**31 - 1
+    rows = [((top, [0, 5, top - 1], [1.0, 2.0, 3.0]), (top, [5, top - 2, top - 1], [4.0, 9.0, 0.5])),
+            ((9, [1], [1.0]), (9, [2], [1.0])), ((9, [], []), (9, [2], [1.0]))]
+    got = spark.createDataFrame(rows, f"a {entry}, b {entry}").select(
+        Y.cosine_sparse(F.col("a"), F.col("b"))).collect()
+    first = (8 + 1.5) / (14 ** 0.5 * (16 + 81 + 0.25) ** 0.5)
+    assert [round(r[0], 9) for r in got] == [round(first, 9), 0.0, 0.0]
+
+
+def test_numbers_candidate_equals_the_edit_of_the_row(spark):
+    rows = spark.createDataFrame([(1, "Apple was up 3.5% in 2020"), (2, "BP fell by 9.9 % and 1%"), (3, ""), (4, None)],
+                                 "sample_id long, text string")
+    made = L.build_library(rows, L.LibraryConfig(methods=("numbers",))).select("sample_id", "orig", "pert", "passed")
+    plain = rows.select("sample_id", X.perturb_numbers_entities(F.col("text"), F.col("sample_id")))
+    assert sorted(map(tuple, plain.collect())) == sorted((r.sample_id, r.pert) for r in made.collect())
+    assert made.columns == ["sample_id", "orig", "pert", "passed"]
