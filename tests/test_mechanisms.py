@@ -420,3 +420,52 @@ def test_numbers_candidate_equals_the_edit_of_the_row(spark):
     plain = rows.select("sample_id", X.perturb_numbers_entities(F.col("text"), F.col("sample_id")))
     assert sorted(map(tuple, plain.collect())) == sorted((r.sample_id, r.pert) for r in made.collect())
     assert made.columns == ["sample_id", "orig", "pert", "passed"]
+
+
+# ------------------------------------------------- row work that Spark compiles
+
+def test_source_facts_are_made_after_the_joins_and_without_lambda_functions(spark):
+    rows = V.headlines(spark, SF)
+    library = L.build_library(rows, rewrites=V.rewrites(spark, SF))
+    plan = library._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    tokens_at = max(i for i, line in enumerate(plan) if "struct(_src_tokens" in line)
+    assert tokens_at < min(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
+    # a step with a lambda function is interpreted as a whole: types, peers and tokens stand apart
+    for name in ("_src_tokens", "_peer", "method_ord", "_tgt_tokens"):
+        step = [line for line in plan if f"inline(array(struct({name}," in line]
+        assert step and all("lambdafunction" not in line for line in step), name
+
+
+def test_rules_are_applied_once_for_labels_and_rows(spark):
+    plan = executed(QUERIES["guard_polarity"](spark, SF))
+    assert "beat expectations" not in plan and "parquet" in plan
+
+
+def test_a_rule_without_its_words_runs_no_regex_and_others_run(spark):
+    assert X._needles(r"\bprofits? (fell|declined)\b") == ["profit"]
+    assert X._needles(r"\b(fell|slid)\b") == ["fell", "slid"]
+    assert X._needles(r"\bx+\b") == X._needles(r"up|down") == X._needles(r"\ba?\b") == []
+    texts = ["Profits FELL", "profit declined", "ro\u017fe", "ROSE", "prose", "met  expectations", "was up", "up x", "",
+             None, "wea\u212a demand", "plunged", "İncreased ıncreased"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rules = [*K.PARAPHRASE_RULES, (r"up|down", "level")]
+    plain = F.col("t")
+    for pattern, new in rules:
+        plain = F.regexp_replace(plain, "(?iU)" + pattern, new.replace("{adv}", "slightly").replace("\\1", "$1"))
+    got = rows.select("i", X.paraphrase_rules(F.col("t"), rules).alias("a"), plain.alias("b")).orderBy("i").collect()
+    assert [r.a for r in got] == [r.b for r in got]
+    assert got[0].a == "profit FELL slightly" and got[6].a == "rose"
+
+
+def test_one_figure_and_several_move_alike(spark):
+    figures = ["0.1", "0.05", "007.5", "12.", "12", "99.9", "123456789012345.6", "9" * 40 + ".95", "0", "\u0663"]
+    texts = [f"{f}% and" for f in figures] + [f"at {f} %" for f in figures]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    # another figure behind leaves the first one's draw as it is, and takes the way for several
+    alone, two = X.jitter_percents(F.col("t"), F.lit(7)), X.jitter_percents(F.concat("t", F.lit(" 3%")), F.lit(7))
+    got = rows.select("i", alone.alias("a"), two.alias("b")).orderBy("i").collect()
+    assert all(r.b.startswith(r.a + " 3.") or r.b.startswith(r.a + " 2.") for r in got)
+    steps = rows.select(X._moved_tenths(F.lit("99.9"), F.lit("0.1").cast("decimal(2,1)")),
+                        X._moved_tenths(F.lit("0.1"), F.lit("-0.2").cast("decimal(2,1)")),
+                        X._moved_tenths(F.lit("0.05"), F.lit("0.1").cast("decimal(2,1)"))).first()
+    assert tuple(steps) == ("100.0", "-0.1", None)
