@@ -469,3 +469,14 @@ def test_one_figure_and_several_move_alike(spark):
                         X._moved_tenths(F.lit("0.1"), F.lit("-0.2").cast("decimal(2,1)")),
                         X._moved_tenths(F.lit("0.05"), F.lit("0.1").cast("decimal(2,1)"))).first()
     assert tuple(steps) == ("100.0", "-0.1", None)
+
+
+def test_a_text_without_a_peer_stays_outside_lambda_functions_too(spark):
+    rows = spark.createDataFrame([(1, "Nokia rose 5%"), (2, "BP rose 5%"), (3, None)], "sample_id int, text string")
+    for whole in (False, True):
+        index = X.peer_index(F.col("text"), whole_word=whole)
+        got = rows.select("sample_id", "text", F.inline(F.array(F.struct(index.alias("at"))))).select(
+            "sample_id", X.swap_peer_at(F.col("text"), F.col("at"), whole_word=whole).alias("pert")).orderBy("sample_id")
+        assert [r.pert for r in got.collect()] == ["Nokia rose 5%", "Shell rose 5%", None]
+    made = L.candidates(rows, L.LibraryConfig(methods=("numbers",))).orderBy("sample_id").collect()
+    assert made[0].pert.startswith("Nokia rose ") and made[1].pert.startswith("Shell rose ") and made[2].pert is None
