@@ -480,3 +480,19 @@ def test_a_text_without_a_peer_stays_outside_lambda_functions_too(spark):
         assert [r.pert for r in got.collect()] == ["Nokia rose 5%", "Shell rose 5%", None]
     made = L.candidates(rows, L.LibraryConfig(methods=("numbers",))).orderBy("sample_id").collect()
     assert made[0].pert.startswith("Nokia rose ") and made[1].pert.startswith("Shell rose ") and made[2].pert is None
+
+
+def test_row_work_behind_the_join_with_rewrites_is_dealt_evenly(spark, tmp_path):
+    words = [(i if i % 3 else None, "demand rose 3.5%" if i % 2 else f"profits of BP fell by {i}%") for i in range(6000)]
+    # one file, cut nowhere
+    spark.createDataFrame(words, "sample_id long, text string").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    rewrites = rows.filter("text like 'profits%'").select(
+        F.col("text").alias("orig"), F.replace("text", F.lit("profits"), F.lit("earnings")).alias("rewrite"))
+    cores = spark.sparkContext.defaultParallelism
+    for made in (L.build_library(rows, rewrites=rewrites), L.candidates(rows, rewrites=rewrites)):
+        parts = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(parts) == 3 * len(words)
+        assert len(parts) >= 4 * cores and max(parts) <= 2 * min(parts)
+    changed = L.candidates(rows, rewrites=rewrites).filter("method = 'rewrite' and pert <> orig")
+    assert changed.filter("pert like 'earnings of BP%'").count() == changed.count() == 3000
