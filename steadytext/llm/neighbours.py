@@ -21,6 +21,7 @@ SHARD_ROWS = 4096
 BLOCK_ROWS = 512
 LEAF = 64
 FACTOR = 0.25        # recall 0.99 on almost uniform 64-dimensional vectors
+HELD_BYTES = 1 << 27  # vectors and unit vectors of the trees that a task holds at once
 
 
 def scaled(vectors: np.ndarray) -> np.ndarray:
@@ -34,6 +35,13 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
     return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
 
 
+def compact(vectors: np.ndarray) -> np.ndarray:
+    """The same values in single precision where that changes none."""
+    with np.errstate(over="ignore"):
+        single = vectors.astype(np.float32)
+    return single if (single == vectors).all() else vectors
+
+
 class Tree:
     """Vantage-point tree of unit vectors; distances are Euclidean, which order like cosines."""
 
@@ -47,6 +55,14 @@ class Tree:
         self.nodes: list = []
         self._build(np.arange(len(ids)), draw)
 
+    def __getstate__(self) -> dict:
+        """Travels without the unit vectors, which are made again."""
+        return {k: v for k, v in self.__dict__.items() if k != "unit"} | {"vectors": compact(self.vectors)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, vectors=state["vectors"].astype(np.float64))
+        self.unit = self.vectors / self.norms[:, None]
+
     def _build(self, rows: np.ndarray, draw) -> int:
         at = len(self.nodes)
         if len(rows) <= LEAF:
@@ -136,6 +152,22 @@ class Tree:
         return out
 
 
+def nearest_of(trees: list[Tree], queries: np.ndarray, own: np.ndarray, k: int,
+               factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, cosine) of the k nearest that every query finds in all trees together."""
+    query, ids, cosine = [], [], []
+    for tree in trees:
+        kept = tree.search(queries, own, k, factor)
+        query.append(np.repeat(np.arange(len(queries)), [len(r) for r, _ in kept]))
+        ids.append(tree.ids[np.concatenate([r for r, _ in kept])])
+        cosine.append(np.concatenate([c for _, c in kept]))
+    query, ids, cosine = map(np.concatenate, (query, ids, cosine))
+    order = np.lexsort((ids, -cosine, query))
+    query, ids, cosine = query[order], ids[order], cosine[order]
+    near = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[near], ids[near], cosine[near]
+
+
 def usable(vector: Column) -> Column:
     """Not null, not empty, all components finite, not all zero."""
     odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -152,47 +184,63 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5
     id. Rows with a null id and vectors that are null, empty, zero or hold a null or non-finite
     component take no part; rows that repeat an id count once (the smallest vector); vectors of
     different length are never compared. A query with fewer than k others has as many rows.
-    Every shard and every block of queries is of bounded size, and a task holds one of each.
+    Every shard and every block of queries is of bounded size. A task holds the trees of a few shards
+    (``HELD_BYTES``), which all blocks of queries pass one by one: trees and blocks come as rows in that
+    order, not by a join, of which Spark could broadcast the blocks, sized without their repeats.
     """
-    rows = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))) \
-        .select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")) \
-        .groupBy("id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
+    kind = vectors.schema[vector].dataType.simpleString()
+    usable_rows = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))) \
+        .select(F.col(key).cast("long").alias("id"),
+                F.col(vector).cast(kind if kind == "array<float>" else "array<double>").alias("v"))
+    rows = usable_rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
     query = is_query(F.col("id"))
-    total, asked = rows.agg(F.count("*"), F.count_if(query)).first()
+    # no vector is shuffled for the counts
+    total, asked, most = usable_rows.groupBy("id").agg(F.max(F.size("v")).alias("dims")).agg(
+        F.count("*"), F.count_if(query), F.max("dims")).first()
     shards, blocks = -(-total // shard_rows) or 1, -(-asked // BLOCK_ROWS) or 1
     place = F.xxhash64(F.lit(7), "id")
+    # enough groups of shards for all cores, and for a group's trees to be held together
+    held = max(1, HELD_BYTES // (16 * shard_rows * (most or 1)))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    groups = min(shards, max(4 * cores, -(-shards // held)))
 
     def tree(rows: pd.DataFrame) -> pd.DataFrame:
         made = Tree(rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()))
         return pd.DataFrame({"dims": [rows["dims"].iloc[0]], "shard": [rows["shard"].iloc[0]],
-                             "tree": [cloudpickle.dumps(made)]})
+                             "made": [cloudpickle.dumps(made)]})
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
-        made = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({"dims": [rows["dims"].iloc[0]], "queries": [pickle.dumps(made)]})
+        made = rows["id"].to_numpy(), compact(np.stack(rows["v"].to_numpy()).astype(np.float64))
+        return pd.DataFrame({"dims": [rows["dims"].iloc[0]], "block": [rows["block"].iloc[0]],
+                             "made": [pickle.dumps(made)]})
 
     trees = rows.withColumn("shard", F.pmod(place, F.lit(shards))).groupBy("dims", "shard") \
-        .applyInPandas(tree, "dims int, shard long, tree binary")
+        .applyInPandas(tree, "dims int, shard long, made binary")
     asking = rows.where(query).withColumn("block", F.pmod(place, F.lit(blocks))) \
-        .groupBy("dims", "block").applyInPandas(block, "dims int, queries binary")
-    asking = asking.withColumn(
-        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+        .groupBy("dims", "block").applyInPandas(block, "dims int, block long, made binary")
+    met = trees.select(F.pmod("shard", F.lit(groups)).cast("int").alias("group"), "dims",
+                       F.lit(-1).cast("long").alias("block"), "made").unionByName(asking.select(
+                           F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"),
+                           "dims", "block", "made"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, held = None, []
         for batch in batches:
-            for t, q in zip(batch.column("tree"), batch.column("queries")):
-                made, (ids, found) = pickle.loads(t.as_py()), pickle.loads(q.as_py())
-                kept = made.search(found, ids, k, factor)
-                size = [len(r) for r, _ in kept]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, size)),
-                     pa.array(made.ids[np.concatenate([r for r, _ in kept])]),
-                     pa.array(np.concatenate([s for _, s in kept]))],
-                    ["query_id", "vec_id", "score"])
-
-    found = trees.join(asking, ["dims", "shard"]).select("tree", "queries").mapInArrow(
-        run, "query_id long, vec_id long, score double")
+            for group, dims, number, made in zip(*batch.columns):
+                if where != (group.as_py(), dims.as_py()):
+                    where, held = (group.as_py(), dims.as_py()), []
+                made = pickle.loads(made.as_py())
+                if number.as_py() < 0:
+                    held.append(made)
+                elif held:
+                    ids, found = made
+                    row, near, score = nearest_of(held, found.astype(np.float64), ids, k, factor)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[row]), pa.array(near), pa.array(score)],
+                        ["query_id", "vec_id", "score"])
+
+    found = met.repartitionById(groups, F.col("group")).sortWithinPartitions("group", "dims", "block") \
+        .mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")
-

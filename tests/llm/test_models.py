@@ -233,6 +233,38 @@ def test_neighbours_ties_and_odd_vectors(spark):
     assert neighbours.nearest(table.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
+def test_neighbours_hold_shards_together_and_broadcast_nothing(spark, monkeypatch):
+    """Blocks are repeated for groups of shards: no join may collect the repeats in the driver."""
+    draw = np.random.default_rng(5)
+    ids, x = np.arange(900), draw.normal(size=(900, 6))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)],
+                               "vec_id long, embedding array<double>")
+    other = spark.createDataFrame([(5000 + i, [1.0, float(i)]) for i in range(40)], df.schema)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(neighbours, "HELD_BYTES", 1 << 14, raising=False)     # ten groups would do, cores ask for more
+    found = neighbours.nearest(df.unionByName(other), lambda i: i % 20 == 0, factor=1.0, shard_rows=10)
+    rows = found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    for every, mine, vectors in ((20, ids, x), (20, 5000 + np.arange(40), np.c_[np.ones(40), np.arange(40)])):
+        for q, want, scores in brute(mine, vectors, every, 5):
+            got = sorted((r["rank"], r["vec_id"], r["score"]) for r in rows if r["query_id"] == q)
+            assert [i for _, i, _ in got] == want
+            assert np.allclose([s for *_, s in got], scores, atol=1e-12)
+    assert len(rows) == (45 + 2) * 5
+
+
+def test_trees_travel_unchanged():
+    import pickle
+    draw = np.random.default_rng(2)
+    for vectors in (draw.normal(size=(200, 4)).astype(np.float32), draw.normal(size=(200, 4)),
+                    np.full((3, 2), 1e-300), np.full((3, 2), 1e300)):
+        tree = neighbours.Tree(np.arange(len(vectors)), vectors)
+        again = pickle.loads(pickle.dumps(tree))
+        assert again.vectors.dtype == again.unit.dtype == np.float64
+        assert (again.vectors == tree.vectors).all() and (again.unit == tree.unit).all()
+
+
 def test_neighbours_of_extreme_norms(spark):
     """Factor one is exact for finite vectors of any size; scores are those of exact arithmetic."""
     from fractions import Fraction
