@@ -163,8 +163,9 @@ def close_pairs(values: DataFrame, value: str = "simhash", reach: int = 2, segme
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach
     own = F.col("part").cast("long") * F.lit((64 // segments + 2 * reach + 1) ** segments) + cell
     once = (F.col("a") < F.col("b")) | (own != held["cell"])
-    pairs = asked.join(held, (asked["cell"] == held["cell"]) & near & once
-                       & (F.col("part") == F.col("in_part")))
+    # Spark sizes the asked cells as if each fingerprint asked one, and could broadcast all of them
+    pairs = asked.hint("merge").join(held, (asked["cell"] == held["cell"]) & near & once
+                                     & (F.col("part") == F.col("in_part")))
     return pairs.select("a", "b") if part is None else pairs.select(
         F.col("part").alias(part), "a", "b")
 

@@ -64,6 +64,16 @@ def test_close_pairs_against_all_pairs(spark, reach, segments):
     assert len(got) == len(set(got)) and {tuple(sorted(p)) for p in got} == want
 
 
+def test_asked_cells_are_never_broadcast(spark):
+    """Spark sizes them without their 73 repeats, so that a table far too large went to the driver."""
+    values = spark.createDataFrame([(i * 7919,) for i in range(50)], "simhash long")
+    for part in (None, "part"):
+        pairs = simhash.close_pairs(values.withColumn("part", F.lit(3)), part=part)
+        pairs.collect()
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 400)] + [
         (500, 501), (501, 500), (500, 500), (None, 3)]
