@@ -155,8 +155,11 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def _by_source(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """``rows`` with the columns of a table of one row per source, null matching null."""
-    return _matched(rows, table, ["source"])
+    """``rows`` with the columns of a table of one row per source, null matching null.
+
+    The driver made the table, so it is the side to broadcast; Spark does not know its size and could take the rows.
+    """
+    return _matched(rows, F.broadcast(table), ["source"])
 
 
 def _by_block(rows: DataFrame, block: DataFrame) -> DataFrame:

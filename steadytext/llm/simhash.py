@@ -298,6 +298,9 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, parts: i
     start. No share, however common, makes more candidates than it has texts; the price is that a
     link inside a group can be missed where no share brings its texts together.
     Rows without doc_id take no part.
+
+    Tables that grow with the documents are joined by sorting: Spark sizes them by their files and by digests
+    and lists that it takes to be longer or shorter, and could broadcast several of them at once.
     """
     rows = stored(part_fingerprints(docs, words, parts, least).where("doc_id IS NOT NULL"))
     first = F.min(F.struct("doc_id", "simhash", "size")).alias("first")
@@ -308,21 +311,23 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, parts: i
     nodes = shares.groupBy("part", "value").agg(F.min("id").alias("head"), F.count("*").alias("n")) \
         .where("n > 1").drop("n")
     nodes = stored(nodes)
-    by_share = join_lookup(shares, nodes, ["part", "value"], "inner").select(
+    by_share = join_lookup(shares.hint("merge"), nodes, ["part", "value"], "inner").select(
         F.col("head").alias("a"), F.col("id").alias("b"))
     prints = stored(texts.groupBy("simhash").agg(F.min("id").alias("head")))
-    by_print = join_lookup(texts.select("id", "simhash"), prints, ["simhash"], "inner").select(
+    by_print = join_lookup(texts.select("id", "simhash").hint("merge"), prints, ["simhash"], "inner").select(
         F.col("head").alias("a"), F.col("id").alias("b"))
     close = stored(close_pairs(prints, reach=reach, segments=segments))
     heads = prints.select(F.col("simhash").alias("b"), F.col("head").alias("to"))
-    across = close.join(prints.select(F.col("simhash").alias("a"), "head"), "a").join(heads, "b").select(
+    across = close.hint("merge").join(prints.select(F.col("simhash").alias("a"), "head"), "a") \
+        .hint("merge").join(heads, "b").select(
         F.least("head", "to").alias("a"), F.greatest("head", "to").alias("b"))
     met = by_share.unionByName(by_print).unionByName(across).where("a <> b").distinct()
     # ids that are not the first of their text drop out here
     known = texts.select("id", "simhash", "size")
     for end in ("a", "b"):
-        met = join_lookup(met, known.select(F.col("id").alias(end), F.col("simhash").alias(f"{end}_simhash"),
-                                            F.col("size").alias(f"{end}_size")), [end], "inner")
+        met = join_lookup(met.hint("merge"), known.select(
+            F.col("id").alias(end), F.col("simhash").alias(f"{end}_simhash"),
+            F.col("size").alias(f"{end}_size")), [end], "inner")
     near = F.bit_count(F.col("a_simhash").bitwiseXOR(F.col("b_simhash"))) <= slack
     sized = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * least
     pairs = stored(met.where(near & sized).select("a", "b"))

@@ -74,6 +74,28 @@ def test_asked_cells_are_never_broadcast(spark):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_tables_that_grow_with_the_documents_are_not_broadcast(spark, monkeypatch):
+    """Shares, fingerprints and ids of the near-copies stage, and the rows of the mix."""
+    plans = []
+
+    def seen(df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return stored(df)
+
+    monkeypatch.setattr(simhash, "stored", seen)
+    texts = sentences(4, 30)
+    docs = spark.createDataFrame([(i, t, "en", "ab"[i % 2], len(t)) for i, t in enumerate(texts + texts[:9])],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    assert simhash.keep_one(docs).count() == 30
+    close, pairs = [p for columns, p in plans if columns == ["a", "b"]][:2]
+    for plan in (close, pairs):
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    mixed = mixing.plan_mix(docs)
+    assert mixed.count() == 39
+    joins = re.findall(r"BroadcastHashJoin \[source#.*", mixed._jdf.queryExecution().executedPlan().toString())
+    assert joins and not [j for j in joins if "BuildLeft" in j]
+
+
 def test_components_of_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 400)] + [
         (500, 501), (501, 500), (500, 500), (None, 3)]
